@@ -2,7 +2,9 @@
 
 Each partition is one stream: documents are tokenized and cut into pieces of at
 most a window; a fixed number of windows stays open, a piece goes where it fits
-best, and when none has room the fullest is emitted and a new one opened. What
+best, and when none has room the fullest is emitted and a new one opened. (If
+the fullest still misses ``CUT`` tokens or more, the piece is cut to fill it
+first; smaller gaps are left as padding and documents whole.) What
 is still open at a partition's end is merged, window by window, in a second
 step over groups of bounded size. Both the stream's state and a group are
 bounded whatever the input, and token ids never leave the task that made them.
@@ -27,6 +29,8 @@ from leadlens.llm.common import blocks, column, materialize, texts
 
 WINDOW, OPEN, END_ID = 1024, 64, 0
 TOKENIZER = "byte_bpe_50k.json"
+#: The least gap of an emitted window that is worth cutting a piece for.
+CUT = 32
 #: Open windows that one group of the final merge holds, about.
 MERGE_GROUP = 4096
 #: Distinct pieces of text whose ids a worker remembers; then it starts anew.
@@ -134,22 +138,29 @@ class _Stream:
 
     def _emit(self, sequence: int, still_open: bool) -> None:
         offset = 0
-        for piece in self.held.pop(sequence):
-            self.out.append((*piece, sequence, offset, still_open))
-            offset += piece[2]
-
-    def put(self, piece: tuple) -> None:
-        length = piece[2]
+        for doc_id, start, raw, n in self.held.pop(sequence):
+            length = len(raw) // 4
+            self.out.append((doc_id, start, length, zlib.crc32(raw), n, sequence, offset, still_open))
+            offset += length
+
+    def put(self, doc_id: int | None, start: int, raw: bytes, n: int) -> None:
+        """raw: the piece's ids as little-endian uint32; n: the document's tokens."""
+        length = len(raw) // 4
         k = bisect.bisect_left(self.room, (length, -1))
         if k < len(self.room):
             free, sequence = self.room.pop(k)
         else:
             if len(self.room) == self.count:
-                self._emit(self.room.pop(0)[1], False)
+                gap, fullest = self.room.pop(0)
+                if gap >= CUT:
+                    self.held[fullest].append((doc_id, start, raw[: 4 * gap], n))
+                    self._emit(fullest, False)
+                    return self.put(doc_id, start + gap, raw[4 * gap :], n)
+                self._emit(fullest, False)
             free, sequence = self.window, self.next
             self.next += 1
             self.held[sequence] = []
-        self.held[sequence].append(piece)
+        self.held[sequence].append((doc_id, start, raw, n))
         if free == length:
             self._emit(sequence, False)
         else:
@@ -171,8 +182,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, open
 
     ``docs``: doc_id, text (null: empty, packed as the end id alone); other
     columns are ignored, a null doc_id stays null, repeated rows are packed
-    each. ``tokenizer``: a file of the public tokenizers. Only documents longer
-    than a window are cut. An empty table gives an empty result.
+    each. ``tokenizer``: a file of the public tokenizers. Documents longer than a
+    window are cut, others only to fill a window that is emitted. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +193,12 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, open
         stream = _Stream(window, open_windows, TaskContext.get().partitionId() << 40)
         for batch in blocks(batches):
             ids, counts = encoder.encode(texts(batch))
-            raw = memoryview(ids.astype("<u4").tobytes())
+            raw = ids.astype("<u4").tobytes()
             at = 0
             for doc_id, n in zip(column(batch, "doc_id").to_pylist(), counts.tolist()):
                 for start in range(0, n, window):
                     length = min(window, n - start)
-                    stream.put((doc_id, start, length, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + length)]), n))
+                    stream.put(doc_id, start, raw[4 * (at + start) : 4 * (at + start + length)], n)
                 at += n
             yield stream.batch()
         stream.close()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlens.llm import decontaminate, packing, simhash, token_counts
+from leadlens.llm import decontaminate, fingerprint, packing, simhash, token_counts
 from leadlens.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op6_packing, op8_simhash, op9_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
