@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlens.llm import decontaminate, fingerprint, packing, simhash, token_counts, toxicity
+from leadlens.llm import decontaminate, fingerprint, line_dedup, packing, simhash, token_counts, toxicity
 from leadlens.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,8 +39,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_toxicity, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_toxicity, op5_line_dedup, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
