@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlens.llm import decontaminate, fingerprint, line_dedup, packing, simhash, token_counts, toxicity
+from leadlens.llm import decontaminate, fingerprint, line_dedup, packing, quality, simhash, token_counts, toxicity
 from leadlens.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_toxicity, op5_line_dedup, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_quality, op4_toxicity, op5_line_dedup, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
