@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlens.llm import decontaminate, fingerprint, line_dedup, packing, quality, simhash, token_counts, toxicity
+from leadlens.llm import decontaminate, fingerprint, line_dedup, packing, pii, quality, simhash, token_counts, toxicity
 from leadlens.llm.common import table
 
 
@@ -42,8 +42,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_quality, op4_toxicity, op5_line_dedup, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_quality, op4_toxicity, op5_line_dedup, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
