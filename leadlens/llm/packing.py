@@ -34,7 +34,7 @@ CUT = 32
 #: Open windows that one group of the final merge holds, about.
 MERGE_GROUP = 4096
 #: Distinct pieces of text whose ids a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Longer pieces are encoded each time.
 LONG = 48
 
@@ -127,6 +127,18 @@ class Encoder:
         return flat, np.add.reduceat(sizes, np.cumsum(counts) - counts)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(name: str) -> Encoder:
+    """The worker's encoder: what it remembers serves the worker's later tasks too."""
+    import public_tokenizers
+
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(public_tokenizers.path(name))
+    return _ENCODERS[name]
+
+
 class _Stream:
     """The open windows of one partition."""
 
@@ -187,9 +199,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, open
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        encoder = Encoder(public_tokenizers.path(tokenizer))
+        encoder = encoder_of(tokenizer)
         stream = _Stream(window, open_windows, TaskContext.get().partitionId() << 40)
         for batch in blocks(batches):
             ids, counts = encoder.encode(texts(batch))
