@@ -17,6 +17,21 @@ SMALL = frozenset("a an and as at by for in of on or the to with".split())
 ABBREVIATIONS = {x.lower(): x for x in "CEO CFO COO CTO CIO CMO CRO CPO VP SVP EVP AVP HR IT PR QA R&D UI UX PhD MBA B2B SaaS AI ML".split()}
 #: Legal forms: (tokens at a name's end, displayed form).
 COMPANY_FORMS = (("incorporated", "Inc"), ("inc", "Inc"), ("llc", "LLC"), ("l l c", "LLC"), ("ltd", "Ltd"), ("limited", "Ltd"), ("pty ltd", "Pty Ltd"), ("gmbh", "GmbH"), ("ag", "AG"), ("sa", "SA"), ("s a", "SA"), ("bv", "BV"), ("corp", "Corp"), ("corporation", "Corp"), ("co", "Co"), ("company", "Co"), ("plc", "PLC"), ("srl", "SRL"), ("oy", "Oy"), ("ab", "AB"))
+
+
+def arrow(returns: str):
+    """A pandas function as a column function; the UDF is made when called, so that workers can import this module."""
+
+    def wrap(f):
+        def column(*cols):
+            return F.pandas_udf(f, returns)(*cols)
+
+        column.__doc__ = f.__doc__
+        return column
+
+    return wrap
+
+
 CJK = "[一-鿿぀-ヿ가-힯]"
 
 
@@ -38,13 +53,13 @@ def _fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC, trimmed, white space collapsed; blank as NULL."""
     return s.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()) or None, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def strip_diacritics(s: pd.Series) -> pd.Series:
     return s.map(_fold, na_action="ignore")
 
@@ -64,7 +79,7 @@ def split_person(full: str | None) -> tuple[str | None, str | None]:
     return " ".join(tokens[:cut]), " ".join(tokens[cut:])
 
 
-@F.pandas_udf("first string, last string")
+@arrow("first string, last string")
 def split_name(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([split_person(x) for x in s], columns=["first", "last"], index=s.index)
 
@@ -79,7 +94,7 @@ def _person(text: str) -> str | None:
     return " ".join(words) or None
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def norm_person(s: pd.Series) -> pd.Series:
     """Display case of a person's name; particles stay low, ' and - start a new capital."""
     return s.map(_person, na_action="ignore")
@@ -99,7 +114,7 @@ def _title(text: str) -> str | None:
     return " ".join(out) or None
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def norm_title(s: pd.Series) -> pd.Series:
     return s.map(_title, na_action="ignore")
 
@@ -122,12 +137,12 @@ def company_key(name: str | None) -> tuple[str | None, str | None]:
     return display or None, key or None
 
 
-@F.pandas_udf("display string, key string")
+@arrow("display string, key string")
 def norm_company(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([company_key(x) for x in s], columns=["display", "key"], index=s.index)
 
 
-@F.pandas_udf("double")
+@arrow("double")
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, 0 to 1."""
     from difflib import SequenceMatcher
@@ -152,7 +167,7 @@ def canonical_title(title: Column) -> tuple[Column, Column]:
     low = F.lower(F.trim(title))
     family = seniority = None
     for text, fam, sen in TITLE_RULES:
-        hit = low.rlike(rf"\\b{text}\\b") if len(text) <= 3 else low.contains(text)  # abbreviations as words only: a director is no CTO
+        hit = low.rlike(rf"\b{text}\b") if len(text) <= 3 else low.contains(text)  # abbreviations as words only: a director is no CTO
         family = F.when(hit, fam) if family is None else family.when(hit, fam)
         seniority = F.when(hit, sen) if seniority is None else seniority.when(hit, sen)
     for pattern, fam in FAMILIES:
