@@ -50,6 +50,18 @@ def scan(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32), first, grams, begin, end
 
 
+def pieces(rows: list[str], chars: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
+    """The rows in runs of about ``chars`` characters, with the place of each run's first: bounds the memory of a scan."""
+    begin, held = 0, 0
+    for k, text in enumerate(rows):
+        if held and held + len(text) > chars:
+            yield begin, rows[begin:k]
+            begin, held = k, 0
+        held += len(text)
+    if rows:
+        yield begin, rows[begin:]
+
+
 class Model:
     """Parameters; picklable, a few megabytes."""
 
@@ -67,17 +79,18 @@ class Model:
 
     # ---- features
     def fit_odds(self, rows: list[str], y: np.ndarray) -> None:
-        words, first, grams, begin, end = scan(rows)
-        for odds, bucket, owner in (
-            (self.word_odds, words, np.repeat(np.arange(len(rows)), np.diff(first))),
-            (self.gram_odds, *self._grams_with_rows(grams, begin, end, first)),
-        ):
-            seen = np.unique(owner.astype(np.int64) * len(odds) + bucket)
-            doc, bucket = seen // len(odds), seen % len(odds)
-            pos = np.bincount(bucket[y[doc] == 1], minlength=len(odds)) / max(1, (y == 1).sum())
-            neg = np.bincount(bucket[y[doc] == 0], minlength=len(odds)) / max(1, (y == 0).sum())
-            blur = 3 / max(8, len(y))  # a bucket needs several documents to stand out
-            odds[:] = np.clip(np.log((pos + blur) / (neg + blur)), -3, 5) / 2
+        counts = [np.zeros((2, len(odds))) for odds in (self.word_odds, self.gram_odds)]
+        for begin, part in pieces(rows):
+            words, first, grams, start, end = scan(part)
+            own = (words, np.repeat(np.arange(len(part)), np.diff(first))), self._grams_with_rows(grams, start, end, first)
+            for held, (bucket, doc) in zip(counts, own):
+                seen = np.unique(doc.astype(np.int64) * held.shape[1] + bucket)
+                doc, bucket = seen // held.shape[1], seen % held.shape[1]
+                for label in (0, 1):
+                    held[label] += np.bincount(bucket[y[begin + doc] == label], minlength=held.shape[1])
+        blur = 3 / max(8, len(y))  # a bucket needs several documents to stand out
+        for odds, (neg, pos) in zip((self.word_odds, self.gram_odds), counts):
+            odds[:] = np.clip(np.log((pos / max(1, (y == 1).sum()) + blur) / (neg / max(1, (y == 0).sum()) + blur)), -3, 5) / 2
 
     @staticmethod
     def _grams_with_rows(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +115,9 @@ class Model:
         out[:, 3 + EMBED :] = self.gram_emb[grams[begin] & 4095]
         return out
 
+    def padded(self, parts: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([*parts, np.zeros((1, self.inputs), np.float32)])
+
     # ---- network
     def forward(self, x: np.ndarray, keep: bool = False):
         """x: (time, windows, inputs) with a last input row of padding marked by nan-free zeros; mask: from `mask`."""
@@ -178,8 +194,8 @@ class Model:
         at = begin[:, None] + np.arange(WINDOW)
         return np.where(at < first[row + 1][:, None], at, -1), row, starts
 
-    def logits(self, feats: np.ndarray, at: np.ndarray) -> np.ndarray:
-        padded = np.concatenate([feats, np.zeros((1, feats.shape[1]), np.float32)])
+    def logits(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Logit of each window of rows of ``padded`` (features; the last row is padding)."""
         out = np.zeros(len(at), np.float32)
         for k in range(0, len(at), LANES):
             part = np.ascontiguousarray(at[k : k + LANES].T)
@@ -191,7 +207,7 @@ class Model:
         words, first, grams, begin, end = scan(rows)
         at, row, starts = self.windows(first)
         best = np.full(len(rows), -np.inf, np.float32)
-        np.maximum.at(best, row, self.logits(self.features(words, grams, begin, end), at))
+        np.maximum.at(best, row, self.logits(self.padded([self.features(words, grams, begin, end)]), at))
         return _sigmoid(best.astype(np.float64))
 
     def fit(self, rows: list[str], y: list[int], epochs: int = 8, seed: int = 11) -> Model:
@@ -201,16 +217,20 @@ class Model:
             self.p["c"][0] = 4.0 if len(y) and y[0] else -4.0
             return self
         rng = np.random.default_rng(seed)
-        words, first, grams, begin, end = scan(rows)
         # each half is described with the odds of the other, or a rare word would seem to tell its own document's label
-        half, feats = np.arange(len(rows)) % 2, None
-        for k in (0, 1):
-            other = np.flatnonzero(half != k)
+        halves = np.arange(0, len(rows), 2), np.arange(1, len(rows), 2)
+        parts, sizes = [], []
+        for own, other in (halves, halves[::-1]):
             self.fit_odds([rows[i] for i in other], y[other])
-            own = self.features(words, grams, begin, end)
-            feats = own if feats is None else np.where(np.repeat(half == 0, np.diff(first))[:, None], feats, own)
+            for _, part in pieces([rows[i] for i in own]):
+                words, first, grams, begin, end = scan(part)
+                parts.append(self.features(words, grams, begin, end))
+                sizes.append(np.diff(first))
         self.fit_odds(rows, y)
-        padded = np.concatenate([feats, np.zeros((1, feats.shape[1]), np.float32)])
+        y = y[np.concatenate(halves)]
+        padded = self.padded(parts)
+        first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        del parts
         at, row, starts = self.windows(first)
         strength = padded[:, 0] + padded[:, 1]  # before the first epoch: the window with the strongest word
         value = strength[at].max(axis=1)
@@ -219,7 +239,7 @@ class Model:
         step = 0
         for epoch in range(epochs):
             if epoch:
-                value = self.logits(feats, at)
+                value = self.logits(padded, at)
             order = np.lexsort((value, row))
             top = order[np.searchsorted(row[order], np.arange(len(rows)), "right") - 1]
             top = top[np.diff(starts) > 0]
