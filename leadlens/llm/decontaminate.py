@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import blocks, code_points, column, shingle_hashes, texts, words_of
+from leadlens.llm.common import blocks, code_points, column, materialize, maybe_broadcast, shingle_hashes, texts, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Items that one pass over the documents looks for; a larger benchmark takes several passes.
@@ -127,8 +127,6 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, thresho
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; rows without a doc_id are searched but only named ones can be dropped."""
-    from leadlens.llm.common import materialize, maybe_broadcast
-
     leaked = materialize(contamination(docs, items).where("doc_id is not null").select("doc_id").distinct())
     return docs.join(maybe_broadcast(leaked), "doc_id", "left_anti").select(docs.columns)
 

@@ -234,11 +234,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     long = docs.where(F.octet_length("text") >= LENGTH).select("doc", "text")
     order = long.mapInArrow(_scan, ANCHORS).repartition("core").sortWithinPartitions("core", "context")
     found = materialize(order.mapInArrow(_settle, "doc long, low int, span int, todo boolean"))
-    todo = found.where("todo").groupBy("doc").agg(F.collect_list(F.struct("low", "span")).alias("s"))
+    todo = found.where("todo").groupBy("doc").agg(F.collect_set(F.struct("low", "span")).alias("s"))
     starts = long.join(todo, "doc").select("doc", "text", F.col("s.low").alias("lows"), F.col("s.span").alias("spans")).mapInArrow(_starts, "pair long, doc long, low int")
     single = starts.repartition("pair").sortWithinPartitions("pair").mapInArrow(_repeated, "doc long, low int")
     spans = found.where("not todo").select("doc", "low", "span").union(single.select("doc", "low", F.lit(0).alias("span")))
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("low", "span")).alias("s"))
+    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("low", "span")).alias("s"))
     all_ = docs.join(spans, "doc", "left").select("doc_id", "text", F.col("s.low").alias("lows"), F.col("s.span").alias("spans"))
     return all_.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
