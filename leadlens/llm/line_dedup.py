@@ -53,6 +53,7 @@ def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, lead: int = LEAD, m
     classes = materialize(classes)
     # a leaf that only one document and line has can't make a template
     live = classes.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    live = maybe_broadcast(materialize(live), LEAVES)
     wide = classes.join(live, "leaf", "left_semi").select("leaf", "same", "docs", "first", F.posexplode(F.split("line", " ")).alias("place", "token"))
     support = wide.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs).withColumn("fixed", F.col("token") != FIELD)
     told = wide.join(support, ["leaf", "place", "token"], "left")
@@ -80,7 +81,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """
     own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.col("text").cast("string")})
     gone = recurring(own.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text")), **options)
-    gone = maybe_broadcast(gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone")))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone")).hint("merge")  # grows with the corpus: one shuffle of it at any size
     all_ = own.withColumn("__mark", F.xxhash64("__text")).join(gone, ["__id", "__mark"], "left")
     split = F.split("__text", "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
