@@ -94,3 +94,9 @@ def name_from_local(email: Column) -> Column:
     """A person's name from a separated local part (two title-cased pieces), else NULL."""
     parts = F.filter(F.split(F.split_part(local(email), F.lit("+"), F.lit(1)), "[._-]+"), lambda p: p.rlike("^[a-z]{2,}$"))
     return F.when(F.size(parts) >= 2, F.concat_ws(" ", F.initcap(parts[0]), F.initcap(F.element_at(parts, -1))))
+
+
+def pattern_of(local_part: Column, first: Column, last: Column) -> Column:
+    """The first pattern that gives a local part from a name; NULL if none does."""
+    every = permutations(first, last, limit=len(PATTERNS))
+    return F.try_element_at(F.filter(every, lambda x: x["localpart"] == local_part), F.lit(1))["pattern"]
