@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm import graph
+from leadlens.llm import graph, near_copies
 from leadlens.llm.common import column, materialize, maybe_broadcast
 
 WIDTH, SEED = 3, 42
@@ -187,13 +187,34 @@ def op8(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def near_copies_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, component_id) for every row: components by links of two bits and by those of ``near_copies``.
+
+    mark: xxhash64 of the text. component_id as in ``near_duplicates``.
+    """
+    signed = materialize(near_copies.signatures(docs, fingerprint))
+    held = materialize(signed.select("fp", "class").distinct())
+    least = materialize(held.groupBy("fp").agg(F.min("class").alias("least")))
+    same = held.join(least, "fp").select(F.col("least").alias("a"), F.col("class").alias("b")).where("a <> b")
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab"]
+    close = links(least.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    known = materialize(same.union(close.where("a <> b")).distinct())
+    roots = graph.connected_components(near_copies.links(docs, signed, known))
+    firsts = signed.groupBy("class").agg(F.min("doc_id").alias("least"))
+    rooted = materialize(firsts.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
+    named = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id"))
+    return signed.join(named, "class").select("doc_id", "mark", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one whose doc_id is the component's.
+    """``docs`` with one document of each group of near copies: the one whose doc_id is the component's.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id can't be named
-    by a component and stay.
+    Near copies: two bits of the SimHash at most, or a Jaccard similarity of
+    five-word shingles of 0.8 or more; links go on from text to text. Of rows
+    that repeat a doc_id one stays. Rows without a doc_id can't be named by a
+    component and stay.
     """
-    found = materialize(near_duplicates(docs))
+    found = materialize(near_copies_of(docs))
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(maybe_broadcast(materialize(gone)), "doc_id", "left_anti").select(docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
