@@ -8,6 +8,9 @@ of a line is its template. A template with enough constants that recurs in at
 least ``MIN_DOCS`` documents is boilerplate: its lines are dropped from every
 document but the first (smallest doc_id), so the text survives once.
 
+That is op5, as its SQL has it. The pipeline's stage (``drop_lines``) also drops
+lines that recur byte for byte, whatever their tokens are.
+
 The tree is never held anywhere: levels are grouped counts. Only leaves met in
 several documents go on to the second count, and equal lines are one row there.
 """
@@ -71,16 +74,36 @@ def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, lead: int = LEAD, m
     return materialize(hits.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("gone")))
 
 
-def dedup(docs: DataFrame, **options) -> DataFrame:
+def repeated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, mark, gone array<int>): lines that ``min_docs`` documents or more have byte for byte.
+
+    Any line with a letter or digit counts, whatever its length and however many
+    of its tokens hold digits. Lines are told apart by 96 bits of hashes.
+    """
+    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = keyed.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "mark", "line_no", F.xxhash64("line").alias("same"), F.hash("line").alias("also"))
+    # a document counts a line once; both levels combine before their shuffle
+    met = lines.select("same", "also", "doc_id").distinct().groupBy("same", "also").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    known = maybe_broadcast(materialize(met.where(F.col("docs") >= min_docs).select("same", "also", "first")), LEAVES)
+    hits = lines.join(known, ["same", "also"]).where("doc_id > first")
+    return materialize(hits.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("gone")))
+
+
+def dedup(docs: DataFrame, identical: bool = False, **options) -> DataFrame:
     """``docs`` with recurring lines removed from text, and n_lines and n_dropped added.
 
+    identical: lines that recur byte for byte go too (``repeated``), beside those of templates.
+
     All columns of ``docs`` (doc_id, text and any others) are kept; rows without
     doc_id or text stay as they are (no line of theirs counts). Two rows of
     one doc_id and text are treated alike. A text may become empty; its row stays.
     Leading tokens, counts and thresholds are as in ``recurring``.
     """
     own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.col("text").cast("string")})
-    gone = recurring(own.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text")), **options)
+    plain = own.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"))
+    gone = recurring(plain, **options)
+    if identical:
+        gone = gone.union(repeated(plain)).groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone")).hint("merge")  # grows with the corpus: one shuffle of it at any size
     all_ = own.withColumn("__mark", F.xxhash64("__text")).join(gone, ["__id", "__mark"], "left")
     split = F.split("__text", "\n")
@@ -94,8 +117,8 @@ def op5(docs: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with recurring lines removed and n_chars (if there is one) brought up to date."""
-    out = dedup(docs)
+    """``docs`` with recurring lines, identical ones included, removed and n_chars (if there is one) brought up to date."""
+    out = dedup(docs, identical=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
