@@ -9,7 +9,9 @@ least ``MIN_DOCS`` documents is boilerplate: its lines are dropped from every
 document but the first (smallest doc_id), so the text survives once.
 
 That is op5, as its SQL has it. The pipeline's stage (``drop_lines``) also drops
-lines that recur byte for byte, whatever their tokens are.
+lines that recur byte for byte, whatever their tokens are, and takes two
+documents as recurrence for these and for templates of ``LONG`` tokens; three
+remain for identical lines under ``MIN_TOKENS`` and for shorter templates.
 
 The tree is never held anywhere: levels are grouped counts. Only leaves met in
 several documents go on to the second count, and equal lines are one row there.
@@ -24,6 +26,8 @@ from leadlens.llm.common import materialize, maybe_broadcast
 
 #: Lines with fewer tokens are never dropped; tokens of a path; documents of a recurring template; least share of constants.
 MIN_TOKENS, LEAD, MIN_DOCS, CONSTANT = 5, 3, 3, 0.75
+#: The stage's rules: identical lines of MIN_TOKENS and templates of LONG tokens recur by so many documents.
+LONG, TWO = 50, 2
 FIELD = "<*>"
 BLANK = r"[ \t\x0B\f\r]+"
 #: Leaves (one long each) up to which they are broadcast.
@@ -42,9 +46,11 @@ def _lines(docs: DataFrame, min_tokens: int, lead: int) -> DataFrame:
     return parted.withColumn("leaf", F.xxhash64(F.size("parts"), *[F.col("parts")[k] for k in range(lead)]))
 
 
-def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, lead: int = LEAD, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, lead: int = LEAD, min_docs: int = MIN_DOCS, constant: float = CONSTANT, constants: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, mark, gone array<int>): the lines to drop of each document that has any.
 
+    constants: how many a template has at least.
+
     ``docs``: doc_id long, text string. mark: xxhash64 of the text, which tells rows of one doc_id apart.
     """
     lines = _lines(docs, min_tokens, lead)
@@ -66,7 +72,7 @@ def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, lead: int = LEAD, m
         F.count_if("fixed").alias("constants"),
         F.sum(F.when(F.col("fixed"), F.xxhash64("place", "token")).otherwise(F.xxhash64("place")).cast("decimal(38,0)")).alias("template"),
     )
-    parsed = materialize(parsed.where(F.col("constants") >= F.greatest(F.lit(min_tokens), F.col("n") * F.lit(constant))))
+    parsed = materialize(parsed.where(F.col("constants") >= F.greatest(F.lit(constants), F.col("n") * F.lit(constant))))
     templates = parsed.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
     known = parsed.select("leaf", "same", "template").join(templates.select("leaf", "template", "first"), ["leaf", "template"]).select("leaf", "same", "first")
     known = maybe_broadcast(materialize(known))
@@ -74,17 +80,18 @@ def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, lead: int = LEAD, m
     return materialize(hits.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("gone")))
 
 
-def repeated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def repeated(docs: DataFrame, min_docs: int = TWO, short_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, mark, gone array<int>): lines that ``min_docs`` documents or more have byte for byte.
 
-    Any line with a letter or digit counts, whatever its length and however many
-    of its tokens hold digits. Lines are told apart by 96 bits of hashes.
+    Any line with a letter or digit counts, however many of its tokens hold
+    digits; those of fewer than ``MIN_TOKENS`` tokens need ``short_docs``
+    documents. Lines are told apart by 96 bits of hashes.
     """
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = keyed.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "mark", "line_no", F.xxhash64("line").alias("same"), F.hash("line").alias("also"))
+    lines = keyed.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "mark", "line_no", F.xxhash64("line").alias("same"), F.hash("line").alias("also"), (F.size(tokens(F.col("line"))) < MIN_TOKENS).alias("short"))
     # a document counts a line once; both levels combine before their shuffle
-    met = lines.select("same", "also", "doc_id").distinct().groupBy("same", "also").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-    known = maybe_broadcast(materialize(met.where(F.col("docs") >= min_docs).select("same", "also", "first")), LEAVES)
+    met = lines.select("same", "also", "short", "doc_id").distinct().groupBy("same", "also", "short").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    known = maybe_broadcast(materialize(met.where(F.col("docs") >= F.when(F.col("short"), short_docs).otherwise(min_docs)).select("same", "also", "first")), LEAVES)
     hits = lines.join(known, ["same", "also"]).where("doc_id > first")
     return materialize(hits.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("gone")))
 
@@ -92,7 +99,8 @@ def repeated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def dedup(docs: DataFrame, identical: bool = False, **options) -> DataFrame:
     """``docs`` with recurring lines removed from text, and n_lines and n_dropped added.
 
-    identical: lines that recur byte for byte go too (``repeated``), beside those of templates.
+    identical: lines that recur byte for byte go too (``repeated``), and those of
+    templates of ``LONG`` tokens that two documents have, beside those of templates.
 
     All columns of ``docs`` (doc_id, text and any others) are kept; rows without
     doc_id or text stay as they are (no line of theirs counts). Two rows of
@@ -103,7 +111,7 @@ def dedup(docs: DataFrame, identical: bool = False, **options) -> DataFrame:
     plain = own.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"))
     gone = recurring(plain, **options)
     if identical:
-        gone = gone.union(repeated(plain)).groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+        gone = gone.union(repeated(plain)).union(recurring(plain, min_tokens=LONG, min_docs=TWO)).groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone")).hint("merge")  # grows with the corpus: one shuffle of it at any size
     all_ = own.withColumn("__mark", F.xxhash64("__text")).join(gone, ["__id", "__mark"], "left")
     split = F.split("__text", "\n")
