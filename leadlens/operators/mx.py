@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leadlens.operators import folds
+
 #: Probes of a host that count, share of a new value in the running average, limits of a tarpit.
 NEWEST, ALPHA, SLOW_MS, TEMP_RATE = 5000, 0.3, 2000, 0.30
 
@@ -31,12 +34,27 @@ def window_stats(probes: DataFrame, since: Column) -> DataFrame:
 
 
 def running_average(probes: DataFrame) -> DataFrame:
-    """(mx_host, n, average) with average = 0.3 * new + 0.7 * previous in time order; a previous 0 counts as missing.
+    """(mx_host, n, average) with average = 0.3 * new + 0.7 * previous in time order, over all probes; a previous 0 or null counts as missing.
 
-    The fold runs over bounded windows of a host's newest probes.
+    A range of probes is n, what it gives from nothing (fresh), and base and decay:
+    it takes a previous p to base + decay * p. A null resets, so after one both agree.
     """
-    w = Window.partitionBy("mx_host").orderBy(F.desc("checked_at"), F.desc("id"))
-    own = probes.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= NEWEST)
-    g = own.groupBy("mx_host").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("checked_at", "id", "elapsed_ms"))).alias("s"))
-    step = lambda prev, x: F.when(F.coalesce(prev, F.lit(0.0)) == 0, x["elapsed_ms"].cast("double")).otherwise(F.lit(ALPHA) * x["elapsed_ms"] + F.lit(1 - ALPHA) * prev)
-    return g.select("mx_host", "n", F.aggregate("s", F.lit(0.0), step).alias("average"))
+
+    def add(state: tuple, batch: pa.RecordBatch) -> tuple:
+        n, fresh, base, decay, _ = state
+        for x in folds.doubles(batch, "ms").tolist():
+            if x != x:
+                fresh = base = decay = 0.0
+            else:
+                fresh = ALPHA * x + (1 - ALPHA) * fresh if fresh else x
+                base, decay = (ALPHA * x + (1 - ALPHA) * base, (1 - ALPHA) * decay) if decay or base else (x, 0.0)
+        return n + batch.num_rows, fresh, base, decay, x != x
+
+    finish = lambda s: {"rows": s[0], "fresh": s[1], "base": s[2], "decay": s[3], "none": s[4]}
+    own = probes.select("mx_host", "checked_at", "id", F.col("elapsed_ms").alias("ms"))
+    g = folds.summaries(own, "mx_host", ["checked_at", "id", "ms"], lambda: (0, 0.0, 0.0, 1.0, False), add, finish, "rows long, fresh double, base double, decay double, none boolean")
+    step = lambda prev, x: F.when(prev == 0, x["fresh"]).otherwise(x["base"] + x["decay"] * prev)
+    n = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["rows"])
+    # a null newest probe leaves no average
+    average = F.when(~F.element_at("blocks", -1)["none"], F.aggregate("blocks", F.lit(0.0), step))
+    return g.select("mx_host", n.alias("n"), average.alias("average"))
