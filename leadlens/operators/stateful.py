@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadlens.functions import status
+from leadlens.operators import folds
 from leadlens.operators.latest import first_by
 
 #: Seconds of a throttle's gap, first and greatest backoff; a test send counts as delivered after so many hours.
@@ -32,19 +35,40 @@ def throttle(log: DataFrame, gap: float = GAP, base: float = BACKOFF, most: floa
 
     A refusal (403, 429) adds a strike and waits min(most, base * 2**strikes); a
     success clears strikes and waits the gap; anything else waits the gap.
+
+    A range of fetches takes ``next`` to max(next + wait, floor), with a wait and a
+    floor for each number of strikes before it (beyond the last, waits no longer grow).
     """
-    steps = F.array_sort(F.collect_list(F.struct("at", "id", "status")))
-    g = log.groupBy("host").agg(F.count("*").alias("n"), steps.alias("s"))
-    zero = F.struct(F.lit(0.0).alias("next"), F.lit(0).alias("strikes"))
+    top = next((k for k in range(31) if base * 2.0**k >= most), 30)
+
+    def add(state: tuple, batch: pa.RecordBatch) -> tuple:
+        n, cleared, more, wait, floor = state
+        at, code = folds.doubles(batch, "at"), folds.doubles(batch, "status")
+        refused, ok = (code == 403) | (code == 429), (code >= 200) & (code <= 299)
+        count = np.cumsum(refused)
+        since = np.maximum.accumulate(np.where(ok, count, -1))  # refusals up to the last success, -1 before any
+        before = np.arange(top + 1)[:, None] * (not cleared) + more
+        strikes = np.where(since < 0, before + count, count - since)
+        waits = np.where(refused, np.minimum(most, base * 2.0 ** np.minimum(strikes, 30)), gap)
+        left = np.cumsum(waits[:, ::-1], axis=1)[:, ::-1]
+        reached = (np.where(np.isnan(at), -np.inf, at) + left).max(axis=1)
+        done = bool(ok.any())
+        more = int(count[-1] - since[-1]) if done else more + int(count[-1])
+        return n + batch.num_rows, cleared or done, more, wait + left[:, 0], np.maximum(floor + left[:, 0], reached)
+
+    start = lambda: (0, False, 0, np.zeros(top + 1), np.full(top + 1, -np.inf))
+    finish = lambda s: {"rows": s[0], "cleared": s[1], "more": s[2], "wait": s[3].tolist(), "floor": s[4].tolist()}
+    g = folds.summaries(log.select("host", "at", "id", "status"), "host", ["at", "id", "status"], start, add, finish, "rows long, cleared boolean, more int, wait array<double>, floor array<double>")
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("next"), F.lit(0).alias("strikes"))
 
     def step(state, x):
-        refused, ok = x["status"].isin(403, 429), x["status"].between(200, 299)
-        strikes = F.when(refused, state["strikes"] + 1).when(ok, 0).otherwise(state["strikes"]).cast("int")
-        wait = F.when(refused, F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), F.least(strikes, F.lit(30))))).otherwise(F.lit(gap))
-        return F.struct((F.greatest(state["next"], x["at"]) + wait).alias("next"), strikes.alias("strikes"))
+        k = F.least(state["strikes"], F.lit(top)) + 1
+        after = F.greatest(state["next"] + F.element_at(x["wait"], k), F.element_at(x["floor"], k))
+        strikes = F.when(x["cleared"], x["more"]).otherwise(state["strikes"] + x["more"])
+        return F.struct((state["n"] + x["rows"]).alias("n"), after.alias("next"), strikes.alias("strikes"))
 
-    out = g.select("host", "n", F.aggregate("s", zero, step).alias("f"))
-    return out.select("host", "n", F.col("f.strikes").alias("strikes"), F.col("f.next").alias("next_allowed"))
+    out = g.select("host", F.aggregate("blocks", zero, step).alias("f"))
+    return out.select("host", F.col("f.n").alias("n"), F.col("f.strikes").alias("strikes"), F.col("f.next").alias("next_allowed"))
 
 
 def test_sends(events: DataFrame, now: Column, hours: int = DELIVERED_HOURS) -> DataFrame:

@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadlens.operators import mx
+from leadlens.operators import mx, stateful
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.fixture
@@ -30,3 +32,21 @@ def test_running_average_counts_every_probe(spark, ranges):
     got = {r["mx_host"]: (r["n"], r["average"]) for r in mx.running_average(df).collect()}
     assert {h: n for h, (n, _) in got.items()} == {h: n for h, (n, _) in want.items()}
     assert got["late"][1] is None and got["zero"][1] == 0 and got["hot"][1] == pytest.approx(want["hot"][1], abs=1e-9)
+
+
+def test_throttle_folds_ranges(spark, ranges):
+    rng = random.Random(2)
+    rows, at = [], 0
+    for k in range(5000):
+        at += rng.choice([0, 1, 1, 4, 300])
+        rows.append(("hot" if k % 4 else "cold", float(at), k, rng.choice([429, 403, 500, 500, 200] if k % 900 < 300 else [429, 500])))
+    want = {}
+    for host, at, _, code in rows:
+        n, s, nxt = want.get(host, (0, 0, 0.0))
+        s = s + 1 if code in (403, 429) else 0 if code == 200 else s
+        want[host] = (n + 1, s, max(nxt, at) + (min(60.0, 3.0 * 2.0 ** min(s, 30)) if code in (403, 429) else 1.0))
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "host string, at double, id long, status int")
+    got = stateful.throttle(log)
+    assert {r["host"]: (r["n"], r["strikes"], r["next_allowed"]) for r in got.collect()} == want
+    assert "rangepartitioning" in plan(got) and "collect_list(struct(at" not in plan(got)
