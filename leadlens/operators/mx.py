@@ -33,9 +33,11 @@ def window_stats(probes: DataFrame, since: Column) -> DataFrame:
     return out.withColumn("tarpit", (F.col("p95") > SLOW_MS) | (F.col("temp_rate") > TEMP_RATE))
 
 
-def running_average(probes: DataFrame) -> DataFrame:
+def running_average(probes: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(mx_host, n, average) with average = 0.3 * new + 0.7 * previous in time order, over all probes; a previous 0 or null counts as missing.
 
+    before: what earlier probes gave, to go on from; its hosts without new probes stay as they are.
+
     A range of probes is n, what it gives from nothing (fresh), and base and decay:
     it takes a previous p to base + decay * p. A null resets, so after one both agree.
     """
@@ -53,8 +55,14 @@ def running_average(probes: DataFrame) -> DataFrame:
     finish = lambda s: {"rows": s[0], "fresh": s[1], "base": s[2], "decay": s[3], "none": s[4]}
     own = probes.select("mx_host", "checked_at", "id", F.col("elapsed_ms").alias("ms"))
     g = folds.summaries(own, "mx_host", ["checked_at", "id", "ms"], lambda: (0, 0.0, 0.0, 1.0, False), add, finish, "rows long, fresh double, base double, decay double, none boolean")
+    if before is None:
+        g = g.withColumns({"held": F.lit(0).cast("long"), "prev": F.lit(0.0)})
+    else:
+        old = before.select(F.col("mx_host").alias("host"), F.col("n").alias("held"), F.col("average").alias("prev"))
+        g = g.join(old, F.col("mx_host").eqNullSafe(F.col("host")), "full").select(F.coalesce("mx_host", "host").alias("mx_host"), "blocks", F.coalesce("held", F.lit(0)).alias("held"), "prev")
     step = lambda prev, x: F.when(prev == 0, x["fresh"]).otherwise(x["base"] + x["decay"] * prev)
-    n = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["rows"])
+    n = F.aggregate("blocks", F.col("held"), lambda a, x: a + x["rows"])
     # a null newest probe leaves no average
-    average = F.when(~F.element_at("blocks", -1)["none"], F.aggregate("blocks", F.lit(0.0), step))
-    return g.select("mx_host", n.alias("n"), average.alias("average"))
+    average = F.when(~F.element_at("blocks", -1)["none"], F.aggregate("blocks", F.coalesce("prev", F.lit(0.0)), step))
+    new = F.col("blocks").isNotNull()
+    return g.select("mx_host", F.when(new, n).otherwise(F.col("held")).alias("n"), F.when(new, average).otherwise(F.col("prev")).alias("average"))

@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from leadlens.operators import mx
 
 #: How late an event may be before it is dropped.
 LATE = "1 hour"
-ALPHA = 0.3
+#: Files that one batch takes.
+FILES = 64
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, with event time."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # a stream source takes a folder or a glob
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{sf_dir}/events.parque[t]")
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
@@ -37,27 +38,33 @@ def sliding_quota(events: DataFrame) -> DataFrame:
     return g.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "used")
 
 
-def mx_state(events: DataFrame) -> DataFrame:
-    """Running average of each host's probe times, kept as state from batch to batch; a batch's rows count in time order."""
+def mx_state(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Running average of each host's probe times, going on from the state of the batches before; a batch's rows count in time order."""
+    keyed = batch.select(F.concat(F.lit("mx"), F.col("user_id") % 20).alias("mx_host"), F.col("at").alias("checked_at"), F.col("event_id").alias("id"), F.floor(F.col("value") * 10).cast("int").alias("elapsed_ms"))
+    return mx.running_average(keyed, before)
+
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, average = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
-        for ms in rows["ms"]:
-            average = float(ms) if average == 0 else ALPHA * float(ms) + (1 - ALPHA) * average
-            n += 1
-        state.update((n, average))
-        yield pd.DataFrame({"mx_host": [key[0]], "n": [n], "average": [round(average, 6)]})
+def run_to_end(spark: SparkSession, sf_dir: str, form: Callable[..., DataFrame]) -> DataFrame:
+    """Run a stream over all that is there and give the result table.
 
-    keyed = events.select(F.concat(F.lit("mx"), F.col("user_id") % 20).alias("mx_host"), "at", "event_id", F.floor(F.col("value") * 10).cast("int").alias("ms"))
-    return keyed.groupBy("mx_host").applyInPandasWithState(update, "mx_host string, n long, average double", "n long, average double", "update", GroupStateTimeout.NoTimeout)
+    Each batch writes the result as it then stands as Parquet to the checkpoint
+    folder, and the last one's is read; no rows come to the driver.
+    """
+    base = f"{spark.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='stream_')}/s_{uuid.uuid4().hex}"
+    events, done = source(spark, sf_dir), []
+    keyed = form is mx_state
+    rows = events if keyed else form(events)
 
+    def write(batch: DataFrame, k: int) -> None:
+        path = f"{base}/rows/{k}"
+        if keyed:
+            # a repeated batch goes on from the one before it, too
+            held = [p for p in done if p != path]
+            batch = mx_state(batch, batch.sparkSession.read.parquet(held[-1]) if held else None)
+        batch.write.mode("overwrite").parquet(path)
+        done.append(path)
 
-def run_to_end(spark: SparkSession, sf_dir: str, form: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a stream over all that is there and give the result table."""
-    name = f"s_{uuid.uuid4().hex}"
-    mode = "update" if form is mx_state else "complete"
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="stream_")
-    q = form(source(spark, sf_dir)).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    q = rows.writeStream.foreachBatch(write).outputMode("append" if keyed else "complete").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    out = spark.read.parquet(done[-1]) if done else spark.createDataFrame([], "mx_host string, n long, average double" if keyed else rows.schema)
+    return out.withColumn("average", F.round("average", 6)) if keyed else out
