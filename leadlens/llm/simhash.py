@@ -190,7 +190,8 @@ def op8(docs: DataFrame) -> DataFrame:
 def near_copies_of(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, component_id) for every row: components by links of two bits and by those of ``near_copies``.
 
-    mark: xxhash64 of the text. component_id as in ``near_duplicates``.
+    mark: xxhash64 of the text. component_id: a value of the component's own, no
+    doc_id: two components may hold rows of one doc_id.
     """
     signed = materialize(near_copies.signatures(docs, fingerprint))
     held = materialize(signed.select("fp", "class").distinct())
@@ -200,23 +201,24 @@ def near_copies_of(docs: DataFrame) -> DataFrame:
     close = links(least.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
     known = materialize(same.union(close.where("a <> b")).distinct())
     roots = graph.connected_components(near_copies.links(docs, signed, known))
-    firsts = signed.groupBy("class").agg(F.min("doc_id").alias("least"))
-    rooted = materialize(firsts.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
-    named = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id"))
-    return signed.join(named, "class").select("doc_id", "mark", "component_id")
+    rooted = signed.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    return rooted.select("doc_id", "mark", F.coalesce("root", "class").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one whose doc_id is the component's.
+    """``docs`` with one row of each group of near copies: of the smallest doc_id, and of its texts the one of least hash.
 
     Near copies: two bits of the SimHash at most, or a Jaccard similarity of
-    five-word shingles of 0.8 or more; links go on from text to text. Of rows
-    that repeat a doc_id one stays. Rows without a doc_id can't be named by a
-    component and stay.
+    five-word shingles of 0.8 or more; links go on from text to text. Rows are
+    told apart by doc_id and text, so rows that repeat a doc_id with different
+    texts are decided each by its own group. Rows without a doc_id can't be
+    named by a component and stay.
     """
-    found = materialize(near_copies_of(docs))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(maybe_broadcast(materialize(gone)), "doc_id", "left_anti").select(docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    found = materialize(near_copies_of(docs).where("doc_id is not null"))
+    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
+    gone = found.join(best, "component_id").where((F.col("doc_id") != F.col("best.doc_id")) | (F.col("mark") != F.col("best.mark"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": F.xxhash64(F.col("text").cast("string"))})
+    kept = own.join(maybe_broadcast(materialize(gone)), ["__id", "__mark"], "left_anti")
+    if not found.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+        kept = kept.where("__id is not null").dropDuplicates(["__id", "__mark"]).union(kept.where("__id is null"))
+    return kept.select(docs.columns)
