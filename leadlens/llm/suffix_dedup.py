@@ -1,23 +1,22 @@
-"""Exact substring dedup by prefix-free parsing.
+"""Exact substring dedup by trigger-anchored window hashing.
 
-A rolling hash of ``TRIGGER`` bytes marks trigger places; they cut each text
-into phrases, alike wherever the same bytes stand. A suffix of the corpus is a
-phrase suffix (from its start up to the first trigger) followed by the parse's
-suffix from that trigger, so two suffixes agree for ``LENGTH`` bytes exactly if
-they have the same phrase suffix and their parse suffixes agree for the rest.
-Dedup needs only which suffixes fall together in that order, not the order
-itself: the equal ranges of the combined order are found by sorting (in
-partitions) on hashes of phrase context and of parse suffixes.
+This stands in place of prefix-free parsing's dictionary and parse suffix
+arrays: none of them is built. Repeats of a fixed ``LENGTH`` need only which
+windows of that length are equal, not the order of suffixes, and a global order
+would have to be ranked in rounds of sorts. Taken over is the parsing: a
+rolling hash of ``TRIGGER`` bytes marks trigger places, alike wherever the same
+bytes stand. They place anchors; anchors' surroundings and, where these don't
+decide, whole windows are compared by 64-bit hashes, sorted in partitions.
+Equality rests on these hashes; the bytes aren't compared.
 
 1. Anchors: each trigger stands for the starts between the previous trigger and
    itself, in tiers of ``TIER`` starts. A tier's core, the bytes that all its
    windows share, and its context, the bytes that they cover together, are
    hashed from prefix sums. Starts without a trigger near stand for themselves.
-2. Sorted by core and context, an anchor whose core is alone can't repeat (its
-   phrases leave the dictionary); one whose context occurs twice repeats with
+2. Sorted by core and context, an anchor whose core is alone can't repeat; one whose context occurs twice repeats with
    all its starts; the others, where repeats begin or end, go on.
-3. Those are told apart start by start: the pair of phrase suffix and bounded
-   parse suffix is hashed and sorted again.
+3. Those are told apart start by start: the window of ``LENGTH`` bytes is
+   hashed and sorted again.
 
 Every exchange is by hash and every task streams sorted rows, looking at
 neighbours only; no group is held. Repeats inside a block of text are settled
