@@ -24,12 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder."""
+    """The folder that driver and executors share: the session's checkpoint folder (of its own only in local mode)."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    path = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="shared_")
+    path = spark.conf.get("spark.checkpoint.dir", "")
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="shared_")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -90,15 +94,20 @@ def word_table() -> np.ndarray:
 
 
 _POWERS: list[np.ndarray] = []
+#: Powers that a worker keeps; those of a longer text are made for it and let go.
+KEPT_POWERS = 1 << 22
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """MULT**k and its inverse modulo 2**64, for k < n at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        inverse = pow(int(MULT), -1, 1 << 64)
-        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, m, np.uint64))]) for m in (MULT, np.uint64(inverse))]
-    return _POWERS[0], _POWERS[1]
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = max(1 << 16, 1 << int(n - 1).bit_length()) if n <= KEPT_POWERS else n
+    inverse = pow(int(MULT), -1, 1 << 64)
+    made = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, m, np.uint64))]) for m in (MULT, np.uint64(inverse))]
+    if n <= KEPT_POWERS:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -13,8 +13,9 @@ bounded whatever the input, and token ids never leave the task that made them.
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import blocks, column, materialize, texts
+from leadlens.llm.common import blocks, column, materialize, mix, powers, texts
 
 WINDOW, OPEN, END_ID = 1024, 64, 0
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,27 +34,20 @@ TOKENIZER = "byte_bpe_50k.json"
 CUT = 32
 #: Open windows that one group of the final merge holds, about.
 MERGE_GROUP = 4096
-#: Distinct pieces of text whose ids a worker remembers; then it starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of remembered pieces (key, place, ids) that a worker keeps; then it starts anew.
+REMEMBERED = 40 << 20
 #: Longer pieces are encoded each time.
 LONG = 48
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
 
 
-class _Memory(dict):
-    """Text piece -> number; a new piece gets the next number and is noted."""
-
-    def __init__(self, noted: list[str], lead: str):
-        super().__init__()
-        self.noted, self.lead = noted, lead
-
-    def __missing__(self, piece: str) -> int:
-        n = len(self.noted)
-        self.noted.append(self.lead + piece)
-        if len(piece) <= LONG:
-            self[piece] = n
-        return n
+@functools.cache
+def _blank() -> np.ndarray:
+    """By code point: whether it is white space."""
+    out = np.zeros(0x110000, bool)
+    out[[i for i in range(0x3001) if chr(i).isspace()]] = True
+    return out
 
 
 class Encoder:
@@ -61,12 +55,10 @@ class Encoder:
 
     The tokenizer's own split always ends a unit before a space that is
     followed by a non-space, so pieces cut there are encoded independently. A
-    text that holds one of the tokenizer's added tokens is encoded in one go.
+    text that holds one of the tokenizer's added tokens is one piece. Pieces are
+    known by a 64-bit hash; what is remembered is arrays of bounded size.
     """
 
-    CUT = re.compile(r" (?=\S)")
-    ODD = re.compile(r" (?:\s|\Z)")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -76,55 +68,68 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.noted: list[str] = []
-        self.first, self.later = _Memory(self.noted, ""), _Memory(self.noted, " ")
-        self.ids, self.begin, self.size, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-        self.first[None] = 0  # number 0: the end-of-document id
-        self.noted.append("")
-        self._store([[END_ID]])
-
-    def _store(self, encoded: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        start = int(self.begin[self.known - 1] + self.size[self.known - 1]) if self.known else 0
-        flat = np.fromiter((i for x in encoded for i in x), np.uint32, int(sizes.sum()))
-        for name, need in (("ids", start + len(flat)), ("begin", self.known + len(sizes)), ("size", self.known + len(sizes))):
-            held = getattr(self, name)
-            if need > len(held):
-                setattr(self, name, np.concatenate([held, np.zeros(max(need - len(held), len(held)), held.dtype)]))
-        self.ids[start : start + len(flat)] = flat
-        self.begin[self.known : self.known + len(sizes)] = start + np.cumsum(sizes) - sizes
-        self.size[self.known : self.known + len(sizes)] = sizes
-        self.known += len(sizes)
+        self.keys, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
+
+    def _pieces(self, rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts as one string; begin, end and key of each piece; pieces of each row."""
+        joined = "".join(rows)
+        flat = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        start = np.cumsum(sizes) - sizes
+        if not len(flat):
+            return joined, *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0, np.uint64), np.zeros(len(rows), np.int64)
+        first = np.zeros(len(flat), bool)
+        first[:-1] = (flat[:-1] == 32) & ~_blank()[flat[1:]]
+        first[(start + sizes - 1)[sizes > 0]] = False  # a text's last space leads nothing
+        for k, text in enumerate(rows):
+            if any(t in text for t in self.added):
+                first[start[k] : start[k] + sizes[k]] = False
+        first[start[sizes > 0]] = True
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], len(flat))
+        up, down = powers(len(flat) + 1)
+        sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum((flat + np.uint64(1)) * up[: len(flat)], out=sums[1:])
+        keys = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+        return joined, begin, end, keys, np.diff(np.searchsorted(begin, np.append(start, len(flat))))
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, size and ids of the pieces, encoded now."""
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        return np.cumsum(size) - size, size, np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(size.sum()))
 
     def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and each text's number of them."""
-        if len(self.noted) > REMEMBERED:
+        if len(self.keys) * 14 + len(self.ids) * 4 > REMEMBERED:
             self.reset()
-        numbers: list[int] = []
-        counts = []
-        first, later = self.first.__getitem__, self.later.__getitem__
-        for text in rows:
-            before = len(numbers)
-            if any(t in text for t in self.added):
-                self.noted.append(text)
-                numbers.append(len(self.noted) - 1)
-            else:
-                parts = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
-                numbers.append(first(parts[0]))
-                numbers.extend(map(later, parts[1:]))
-            numbers.append(0)
-            counts.append(len(numbers) - before)
-        if len(self.noted) > self.known:
-            self._store([e.ids for e in self.tokenizer.encode_batch_fast(self.noted[self.known :], add_special_tokens=False)])
-            for k in range(len(self.noted) - 1, -1, -1):  # texts of numbers already stored aren't needed
-                if not self.noted[k]:
-                    break
-                self.noted[k] = ""
-        at = np.array(numbers, np.int64)
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.arange(ends[-1]) + np.repeat(self.begin[at] - (ends - sizes), sizes)]
-        return flat, np.add.reduceat(sizes, np.cumsum(counts) - counts)
+        joined, begin, end, keys, per = self._pieces(rows)
+        distinct, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        near = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[near] != distinct) if len(self.keys) else np.arange(len(distinct))
+        old = len(self.ids)
+        where, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        if len(self.keys):
+            where, size = self.begin[near].astype(np.int64), self.size[near].astype(np.int64)
+        ids = self.ids
+        if len(new):
+            b, n, more = self._learn(distinct[new], [joined[i:j] for i, j in zip(begin[at[new]].tolist(), end[at[new]].tolist())])
+            where[new], size[new] = old + b, n
+            ids = np.concatenate([ids, more])
+        # the end id of each text stands behind its pieces
+        ids = np.append(ids, np.uint32(END_ID))
+        ends = np.cumsum(per)
+        place, count = np.insert(where[which], ends, len(ids) - 1), np.insert(size[which], ends, 1)
+        stop = np.cumsum(count)
+        flat = ids[np.arange(stop[-1]) + np.repeat(place - (stop - count), count)] if len(rows) else ids[:0]
+        counts = np.diff(np.concatenate([[0], stop[ends + np.arange(len(rows))]]))
+        if len(new):
+            keep = new[(end - begin)[at[new]] <= LONG]
+            into = np.searchsorted(self.keys, distinct[keep])
+            self.keys = np.insert(self.keys, into, distinct[keep])
+            self.begin, self.size = np.insert(self.begin, into, where[keep].astype(np.uint32)), np.insert(self.size, into, size[keep].astype(np.uint16))
+            self.ids = ids[:-1]
+        return flat, counts
 
 
 _ENCODERS: dict[str, Encoder] = {}
