@@ -1,31 +1,33 @@
-"""Exact substring dedup by trigger-anchored window hashing.
-
-This stands in place of prefix-free parsing's dictionary and parse suffix
-arrays: none of them is built. Repeats of a fixed ``LENGTH`` need only which
-windows of that length are equal, not the order of suffixes, and a global order
-would have to be ranked in rounds of sorts. Taken over is the parsing: a
-rolling hash of ``TRIGGER`` bytes marks trigger places, alike wherever the same
-bytes stand. They place anchors; anchors' surroundings and, where these don't
-decide, whole windows are compared by 64-bit hashes, sorted in partitions.
-Equality rests on these hashes; the bytes aren't compared.
-
-1. Anchors: each trigger stands for the starts between the previous trigger and
-   itself, in tiers of ``TIER`` starts. A tier's core, the bytes that all its
-   windows share, and its context, the bytes that they cover together, are
-   hashed from prefix sums. Starts without a trigger near stand for themselves.
-2. Sorted by core and context, an anchor whose core is alone can't repeat; one whose context occurs twice repeats with
-   all its starts; the others, where repeats begin or end, go on.
-3. Those are told apart start by start: the window of ``LENGTH`` bytes is
-   hashed and sorted again.
-
-Every exchange is by hash and every task streams sorted rows, looking at
-neighbours only; no group is held. Repeats inside a block of text are settled
-before the first exchange.
+"""Exact substring dedup by prefix-free parsing.
+
+A rolling hash of ``TRIGGER`` bytes marks triggers, alike wherever the same
+bytes stand. From each trigger to the end of the next runs a phrase; the
+distinct phrases are the dictionary, and a document's sequence of phrases is
+its parse. A byte's place in the corpus order is given by the phrase suffix that begins
+there, ended by a trigger (no such suffix is a prefix of another), and then by the
+parse suffix behind it. Two strings of ``LENGTH`` bytes are neighbours in that order iff
+they are equal, so what repeats is read off two sorted tables:
+
+1. Suffix array of the parse: for each trigger, the parse suffix behind it, cut where it
+   covers ``LENGTH`` bytes, as names of its first, its next two and its other
+   phrases (64 bits each; with the name of the phrase before it, 256 bits a
+   comparison). The common prefix with its neighbours decides most starts: if
+   suffix and phrase before equal a neighbour's, every start in that phrase repeats; if the longest
+   common prefix that is possible is too short, none does.
+2. Suffix array of the dictionary, combined with the parse: the starts left, where repeats begin
+   or end, are sorted by the bytes of their phrase suffix, the name of the whole phrases
+   behind it, and the bytes of the phrase prefix that fills ``LENGTH``. Equal
+   neighbours repeat. Of occurrences that agree in step 1 one at either side stands for all.
+
+Phrases are ordered by name, not by the alphabet: any order of the phrases
+makes an order of the corpus in which equal strings meet. Both tables are range
+partitioned with the place itself as last key, so a passage that a third of all
+documents hold is spread over partitions as evenly as any other; a partition's first and last rows go on as
+undecided (step 1) or are compared once more (step 2). Nothing is collected.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +38,9 @@ from pyspark.sql import functions as F
 
 from leadlens.llm.common import MULT, blocks, column, materialize, mix, powers
 
-LENGTH, TRIGGER, PERIOD = 400, 12, 56
-TIER, TIERS = 80, 4
-REACH = TIER * TIERS
+LENGTH, TRIGGER, PERIOD = 400, 12, 40
+#: Furthest start before a trigger whose window still holds the trigger.
+REACH = LENGTH - TRIGGER
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * MULT)
 
@@ -69,138 +71,175 @@ class Text:
         inside = at + TRIGGER <= self.end[row]
         return at[inside], row[inside]
 
-    def anchors(self) -> tuple[np.ndarray, ...]:
-        """row, first start, last start, core hash, context hash of every anchor that has a whole window."""
+    def parse(self) -> dict[str, np.ndarray]:
+        """For each trigger that ends a phrase: row, place, names k1, k2, k3 of the parse suffix and ``before`` of the phrase before, packed distances.
+
+        Distances behind the trigger: where the first and the first three phrases
+        end; before it: the nearest and furthest start of a whole window in the phrase.
+        """
+        at, row = self.triggers()
+        n = len(at)
+        index = np.arange(n)
+        opens = np.concatenate([[True], row[1:] != row[:-1]]) if n else np.zeros(0, bool)
+        closes = np.concatenate([row[1:] != row[:-1], [True]]) if n else opens
+        begin = np.where(opens, self.start[row], np.concatenate([[0], at[:-1]])[:n])
+        end = np.where(closes, self.end[row], np.concatenate([at[1:], [0]])[:n] + TRIGGER)  # of the phrase that a trigger begins
+        row_last = np.flatnonzero(closes)[np.cumsum(opens) - 1] if n else index
+        last = np.minimum(np.searchsorted(at, at + LENGTH - 2 - TRIGGER, "right") - 1, row_last)  # the phrase that reaches LENGTH
+        second, third = np.minimum(index + 1, last), np.minimum(index + 2, last)
+        k1 = self.hash(at, end)
+        k2 = np.where(last > index, self.hash(at[second], end[third]), np.uint64(0))
+        fourth = np.minimum(index + 3, last)
+        k3 = np.where(last > index + 2, self.hash(at[fourth], end[last]), np.uint64(0))
+        before = self.hash(begin, at + TRIGGER)
+        far = np.minimum(at - begin, REACH)
+        near = np.clip(at + LENGTH - self.end[row], 1, 511)
+        one, three = (np.minimum(x - at, LENGTH) for x in (end, end[third]))
+        use = np.flatnonzero(far >= near)
+        packed = far | near << 9 | one << 18 | three << 27
+        return {k: v[use] for k, v in {"row": row, "at": at, "k1": k1, "k2": k2, "k3": k3, "before": before, "packed": packed}.items()}
+
+    def without_trigger(self) -> tuple[np.ndarray, np.ndarray]:
+        """row and start of the windows that hold no trigger behind their first byte."""
         at, row = self.triggers()
-        before = np.concatenate([[-1], at[:-1]])
-        before = np.where(np.concatenate([[-1], row[:-1]]) == row, before, self.start[row] - 1)  # else no earlier trigger in the row
-        found = []
-        for k in range(TIERS):
-            low = np.maximum(before + 1, at - TIER * (k + 1) + 1)
-            high = np.minimum(at - TIER * k, self.end[row] - LENGTH)
-            use = np.flatnonzero(high >= low)
-            a, lo, hi = at[use], low[use], high[use]
-            core = self.hash(a - TIER * k, a - TIER * (k + 1) + 1 + LENGTH) + np.uint64(k)
-            context = self.hash(lo, hi + LENGTH) ^ mix((a - lo).astype(np.uint64) * MULT + (hi - lo).astype(np.uint64))
-            found.append((row[use], lo, hi, core, context))
-        # starts with no trigger within reach
-        edge_row = np.concatenate([row, np.arange(len(self.size))])
-        left = np.concatenate([before, np.full(len(self.size), -1)])
-        last = np.full(len(self.size), -1, np.int64)
+        rows = np.concatenate([row, np.arange(len(self.size))])
+        last = self.start.copy()
         last[row] = at  # of repeated rows the last assignment stays
-        left[len(row) :] = np.where(last >= 0, last, self.start - 1)
-        right = np.minimum(np.concatenate([at - REACH + 1, self.end + 1]), self.end[edge_row] - LENGTH + 1)  # exclusive
-        count = np.maximum(right - (left + 1), 0)
-        own = np.repeat(left + 1 - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        h = self.hash(own, own + LENGTH)
-        found.append((np.repeat(edge_row, count), own, own, h + np.uint64(TIERS), h))
-        return tuple(np.concatenate(x) for x in zip(*found))
+        opens = np.concatenate([[True], row[1:] != row[:-1]]) if len(at) else np.zeros(0, bool)
+        low = np.concatenate([np.where(opens, self.start[row], np.concatenate([[0], at[:-1]])[: len(at)]), last])
+        high = np.minimum(np.concatenate([at - REACH, self.end + 1]), self.end[rows] - LENGTH + 1)  # exclusive
+        count = np.maximum(high - low, 0)
+        return np.repeat(rows, count), np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-ANCHORS = "core long, context long, doc long, low int, span int, settled boolean"
+PARSE = "k1 long, k2 long, k3 long, before long, doc long, low int, packed long"
+FOUND = "doc long, low int, span int, todo boolean"
+#: Values of ``packed`` for runs that only pass through step 1 (k2: their length less one): repeated, or to be sorted in step 2.
+REPEATED, TODO = -1, -2
 
 
 def _bytes(batch: pa.RecordBatch) -> list[bytes]:
     return column(batch, "text").cast(pa.binary()).to_pylist()
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted starts -> row, first and length less one of their runs."""
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
+    return row[new], start[new], np.diff(np.append(new, len(row))) - 1
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
-        text = Text(_bytes(batch))
-        row, low, high, core, context = text.anchors()
-        _, first, inverse, n = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
-        again = n[inverse] > 1
-        # repeats inside the block: their starts are settled, joined to runs, and one witness goes on
-        order = np.argsort(low[again], kind="stable")
-        r, lo, hi = (x[again][order] for x in (row, low, high))
-        if len(lo):
-            new = np.concatenate([[True], (r[1:] != r[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1] + 1)])
-            at = np.flatnonzero(new)
-            run = (r[at], lo[at], np.maximum.reduceat(hi, at))
-        else:
-            run = (r, lo, hi)
-        go = np.unique(np.concatenate([np.flatnonzero(~again), first[n > 1]]))
-        doc = column(batch, "doc").to_numpy()
-        rows = np.concatenate([row[go], run[0]])
-        lows = np.concatenate([low[go], run[1]])
-        spans = np.concatenate([high[go], run[2]]) - lows
-        settled = np.zeros(len(rows), bool)
-        settled[len(go) :] = True
-        spread = mix(doc[run[0]].view(np.uint64) + run[1].astype(np.uint64))  # any core: settled rows only pass through
-        cores, contexts = np.concatenate([core[go], spread]), np.concatenate([context[go], spread])
-        arrays = (cores.view(np.int64), contexts.view(np.int64), doc[rows], (lows - text.start[rows]).astype(np.int32), spans.astype(np.int32), settled)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], [c.split()[0] for c in ANCHORS.split(", ")])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
-    """Each batch with, for each prefix of the sort keys, whether a row equals its predecessor there; the last row is held back until the next is known.
-
-    Yields (rows, places, [equal to previous, equal to next] per key prefix).
-    """
+        text, doc = Text(_bytes(batch)), column(batch, "doc").to_numpy()
+        p = text.parse()
+        parts = [tuple(p[k].view(np.int64) for k in ("k1", "k2", "k3", "before")) + (doc[p["row"]], p["at"] - text.start[p["row"]], p["packed"])]
+        row, start = text.without_trigger()
+        _, first, which, n = np.unique(text.hash(start, start + LENGTH), return_index=True, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(n[which] > 1)  # periodic stretches: settled here but for one of each window
+        for at, kind in ((again, REPEATED), (np.sort(first), TODO)):
+            r, low, span = _runs(row[at], start[at])
+            spread = mix(doc[r].view(np.uint64) + low.astype(np.uint64)).view(np.int64)
+            parts.append((spread, span, np.zeros_like(span), spread, doc[r], low - text.start[r], np.full(len(r), kind)))
+        k1, k2, k3, before, docs, low, packed = (np.concatenate(x) for x in zip(*parts))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, k3, before, docs, low.astype(np.int32), packed)], _names(PARSE))
+
+
+def _with_next(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
+    """Sorted batches, each with (per key prefix) whether a row equals its predecessor and its successor, and which rows are the partition's first or last."""
     held: pa.RecordBatch | None = None
-    before: list | None = None  # key values of the row before the held one
-
-    def flush(rows: pa.RecordBatch, after: list | None):
-        nonlocal before
-        same_prev, same_next = np.ones(rows.num_rows, bool), np.ones(rows.num_rows, bool)
-        out = []
-        for k, name in enumerate(keys):
-            v = column(rows, name).to_numpy()
-            prev = np.concatenate([[False], v[1:] == v[:-1]])
-            nxt = np.concatenate([v[1:] == v[:-1], [False]])
-            if before is not None:
-                prev[0] = v[0] == before[k]
-            if after is not None:
-                nxt[-1] = v[-1] == after[k]
-            same_prev, same_next = same_prev & prev, same_next & nxt
-            out.append((same_prev, same_next))
-        before = [column(rows, name)[rows.num_rows - 1].as_py() for name in keys]
-        return rows, out
+    before: pa.RecordBatch | None = None  # one row
+
+    def told(rows: pa.RecordBatch, after: pa.RecordBatch | None):
+        n = rows.num_rows
+        prev_all, next_all, out = np.ones(n, bool), np.ones(n, bool), []
+        for name in keys:
+            col = column(rows, name)
+            inner = pc.equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+            prev_all = prev_all & np.concatenate([[before is not None and column(before, name)[0] == col[0]], inner])
+            next_all = next_all & np.concatenate([inner, [after is not None and column(after, name)[0] == col[n - 1]]])
+            out.append((prev_all, next_all))
+        edge = np.zeros(n, bool)
+        edge[0], edge[-1] = before is None, edge[-1] or after is None or (n == 1 and before is None)
+        return rows, out, edge
 
     for batch in batches:
         if not batch.num_rows:
             continue
         if held is not None:
-            yield flush(held, [column(batch, name)[0].as_py() for name in keys])
+            yield told(held, batch.slice(0, 1))
+            before = held.slice(held.num_rows - 1)
         held = batch
     if held is not None:
-        yield flush(held, None)
+        yield told(held, None)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by core and context -> settled starts, and (todo) the starts that step 3 tells apart.
+    """The parse's suffix array -> runs of starts that repeat, and (todo) those that step 2 tells apart."""
+    for rows, (one, three, all_, same), edge in _with_next(batches, ["k1", "k2", "k3", "before"]):
+        packed, at, span = (column(rows, c).to_numpy() for c in ("packed", "low", "k2"))
+        plain = packed >= 0
+        far, near, first, third = packed & 511, packed >> 9 & 511, packed >> 18 & 511, packed >> 27 & 511
+        reach = np.where(edge, LENGTH, 0)
+        for side in (0, 1):  # the longest common prefix that may be, with the next different neighbour on either side
+            reach = np.maximum(reach, np.where(same[side], 0, np.where(three[side], LENGTH, np.where(one[side], third, first))))
+        nearest = np.maximum(near, LENGTH - reach)
+        again, left = plain & (same[0] | same[1]), plain & (nearest <= far)
+        parts = [(again, at - far, far - near, False), (left, at - far, far - nearest, True), (packed == REPEATED, at, span, False), (packed == TODO, at, span, True)]
+        for pick, low, length, todo in parts:
+            if pick.any():
+                yield pa.RecordBatch.from_arrays([column(rows, "doc").filter(pa.array(pick)), pa.array(low[pick].astype(np.int32)), pa.array(length[pick].astype(np.int32)), pa.array(np.full(pick.sum(), todo))], _names(FOUND))
 
-    A context goes on by its first row if the core has an earlier context, and
-    by its last row if it has a later one.
-    """
-    for rows, ((core_prev, core_next), (context_prev, context_next)) in _neighbours(batches, ["core", "context"]):
-        settled = column(rows, "settled").to_numpy(zero_copy_only=False)
-        todo = ~settled & ((~context_prev & core_prev) | (~context_next & core_next))
-        for pick, flag in ((settled | context_prev | context_next, False), (todo, True)):
-            at = pa.array(np.flatnonzero(pick))
-            yield pa.RecordBatch.from_arrays([*(column(rows, c).take(at) for c in ("doc", "low", "span")), pa.array(np.full(len(at), flag))], ["doc", "low", "span", "todo"])
+
+STARTS = "alpha binary, mid long, tail binary, doc long, low int"
+
+
+def _cuts(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte strings flat[begin:end]."""
+    size = end - begin
+    stop = np.cumsum(size)
+    data = flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int32)), pa.py_buffer(data)])
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the anchors left to tell apart -> (pair hash, doc, start) of each of their starts."""
+    """Texts with the runs left -> each start's phrase suffix, name of the whole phrases behind it, and phrase prefix that fills the window."""
     for batch in blocks(batches, size=1 << 20):
-        text = Text(_bytes(batch))
+        raw = _bytes(batch)
+        text, flat = Text(raw), np.frombuffer(b"".join(raw), np.uint8)
+        at, _ = text.triggers()
+        at = np.append(at, text.n + LENGTH)
         lows, spans = column(batch, "lows"), column(batch, "spans")
         per = pc.list_value_length(lows).to_numpy()
         row = np.repeat(np.arange(batch.num_rows), per)
         low, span = lows.flatten().to_numpy().astype(np.int64), spans.flatten().to_numpy().astype(np.int64)
-        count = span + 1
-        start = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        row = np.repeat(row, count)
-        at = text.start[row] + start
-        pair = text.hash(at, at + LENGTH)
-        yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(column(batch, "doc").to_numpy()[row]), pa.array(start.astype(np.int32))], ["pair", "doc", "low"])
+        for part in np.array_split(np.arange(len(low)), 1 + int((span + 1).sum()) // 50_000):
+            count = span[part] + 1
+            own = np.repeat(row[part], count)
+            start = np.repeat(low[part] + text.start[row[part]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            k = np.searchsorted(at, start, "right")
+            q = np.searchsorted(at, start + REACH, "right") - 1
+            some = at[k] <= start + REACH
+            q = np.maximum(q, 0)
+            alpha_end = np.where(some, at[k] + TRIGGER, start + LENGTH)
+            tail = np.where(some, at[q] + TRIGGER, start + LENGTH)
+            mid = np.where(some, text.hash(np.where(some, at[k], 0), np.where(some, at[q] + TRIGGER, 0)), np.uint64(0))
+            arrays = [_cuts(flat, start, alpha_end), pa.array(mid.view(np.int64)), _cuts(flat, tail, start + LENGTH), pa.array(column(batch, "doc").to_numpy()[own]), pa.array((start - text.start[own]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, _names(STARTS))
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, ((prev, nxt),) in _neighbours(batches, ["pair"]):
-        at = np.flatnonzero(prev | nxt)
-        yield pa.RecordBatch.from_arrays([column(rows, "doc").take(pa.array(at)), column(rows, "low").take(pa.array(at))], ["doc", "low"])
+    """The combined order -> starts with an equal neighbour, and a partition's first and last rows, with their keys (a null mid: no such row)."""
+    for rows, equal, edge in _with_next(batches, ["alpha", "mid", "tail"]):
+        prev, after = equal[-1]
+        for pick, keyed in ((prev | after, False), (edge, True)):
+            if pick.any():
+                own = rows.filter(pa.array(pick))
+                keys = [column(own, c) if keyed else pa.nulls(own.num_rows, t) for c, t in (("alpha", pa.binary()), ("mid", pa.int64()), ("tail", pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*keys, column(own, "doc"), column(own, "low")], _names(STARTS))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +270,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("doc", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
     long = docs.where(F.octet_length("text") >= LENGTH).select("doc", "text")
-    order = long.mapInArrow(_scan, ANCHORS).repartition("core").sortWithinPartitions("core", "context")
-    found = materialize(order.mapInArrow(_settle, "doc long, low int, span int, todo boolean"))
+    order = ["k1", "k2", "k3", "before", "doc", "low"]
+    parse = long.mapInArrow(_scan, PARSE).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = materialize(parse.mapInArrow(_settle, FOUND))
     todo = found.where("todo").groupBy("doc").agg(F.collect_set(F.struct("low", "span")).alias("s"))
-    starts = long.join(todo, "doc").select("doc", "text", F.col("s.low").alias("lows"), F.col("s.span").alias("spans")).mapInArrow(_starts, "pair long, doc long, low int")
-    single = starts.repartition("pair").sortWithinPartitions("pair").mapInArrow(_repeated, "doc long, low int")
+    starts = long.join(todo, "doc").select("doc", "text", F.col("s.low").alias("lows"), F.col("s.span").alias("spans")).mapInArrow(_starts, STARTS)
+    order = ["alpha", "mid", "tail", "doc", "low"]
+    told = materialize(starts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeated, STARTS))
+    # windows that begin or end a partition: two rows of each
+    split = told.where("mid is not null").groupBy("alpha", "mid", "tail").agg(F.count("*").alias("n"), F.collect_set(F.struct("doc", "low")).alias("s")).where("n > 1").select(F.explode("s").alias("s")).select("s.doc", "s.low")
+    single = told.where("mid is null").select("doc", "low").union(split)
     spans = found.where("not todo").select("doc", "low", "span").union(single.select("doc", "low", F.lit(0).alias("span")))
     spans = spans.groupBy("doc").agg(F.collect_set(F.struct("low", "span")).alias("s"))
     all_ = docs.join(spans, "doc", "left").select("doc_id", "text", F.col("s.low").alias("lows"), F.col("s.span").alias("spans"))

@@ -359,3 +359,28 @@ def test_reliabilities():
 
 def test_registry():
     assert len([n for n in registry.queries() if re.match(r"op\d+_", n)]) == 10
+
+
+def test_cut_of_planted_repeats(spark):
+    """Passages of about 400 bytes at all offsets, periodic stretches, a passage that every document holds, repeated rows; over many partitions."""
+    rng = np.random.default_rng(8)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    own = lambda n: " ".join(word(int(k)) for k in rng.integers(2, 9, n))
+    common, rows = own(110), []
+    passages = [own(90)[:n] for n in (398, 399, 400, 401, 402, 450)]
+    for i in range(40):
+        rows.append((i, f"{own(int(rng.integers(1, 60)))}{common}{own(20)}"))
+        rows.append((100 + i, own(30) + passages[i % 6] + own(int(rng.integers(0, 40)))))
+    rows += [(200, "ab" * 900), (201, own(5) + "ab" * 300), (202, "x" * 5000), (203, word(3000)), (204, rows[1][1]), (204, rows[1][1]), (205, "é" * 420 + own(90)), (206, own(9) + "é" * 200)]
+    base = own(900)
+    rows += [(300 + i, base[: 37 * i] + word(3) + base[37 * i :]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute_cut(rows, suffix_dedup.LENGTH)
+    for partitions in ("4", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(partitions == "4"))
+        got = sorted((tuple(r) for r in suffix_dedup.op2(df).collect()), key=str)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert got == want
+    assert sum(r[2] > 0 for r in want) > 60
