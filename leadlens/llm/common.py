@@ -54,6 +54,17 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``size`` text bytes (one row at least)."""
     for batch in batches:
@@ -144,10 +155,10 @@ def words_of(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low, begin, end, hashes, np.searchsorted(begin, starts)
 
 
-def shingle_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(hashes: np.ndarray, first: np.ndarray, width: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``width`` word hashes that stays in its row, and the row of each.
 
-    A row of one to ``width`` - 1 words has its whole sequence as one shingle.
+    A row of one to ``width`` - 1 words has its whole sequence as one shingle (if ``short``).
     """
     n = len(hashes)
     if not n:
@@ -159,7 +170,7 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[n
         acc = acc * MULT + hashes[k : k + len(acc)]
     whole = row[: len(acc)] == row[width - 1 : width - 1 + len(acc)]
     out, rows = [mix(acc[whole])], [row[: len(acc)][whole]]
-    for r in np.flatnonzero((count > 0) & (count < width)):
+    for r in np.flatnonzero((count > 0) & (count < width)) if short else ():
         x = count[r : r + 1].astype(np.uint64)
         for k in range(first[r], first[r + 1]):
             x = x * MULT + hashes[k : k + 1]

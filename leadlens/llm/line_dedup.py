@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import materialize, maybe_broadcast
+from leadlens.llm.common import fresh, materialize, maybe_broadcast
 
 #: Lines with fewer tokens are never dropped; tokens of a path; documents of a recurring template; least share of constants.
 MIN_TOKENS, LEAD, MIN_DOCS, CONSTANT = 5, 3, 3, 0.75
@@ -30,8 +30,8 @@ MIN_TOKENS, LEAD, MIN_DOCS, CONSTANT = 5, 3, 3, 0.75
 LONG, TWO = 50, 2
 FIELD = "<*>"
 BLANK = r"[ \t\x0B\f\r]+"
-#: Leaves (one long each) up to which they are broadcast.
-LEAVES = 500_000
+#: Leaves (one long each) up to which they are broadcast: some 10 MB as a hashed relation.
+LEAVES = 200_000
 
 
 def tokens(line: Column) -> Column:
@@ -96,27 +96,36 @@ def repeated(docs: DataFrame, min_docs: int = TWO, short_docs: int = MIN_DOCS) -
     return materialize(hits.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("gone")))
 
 
+def _without(docs: DataFrame, identical: bool, **options) -> tuple[DataFrame, Column, Column, Column]:
+    """``docs`` with columns of its own names added, and of it: the text left, its lines before, and those dropped."""
+    id_, text_, mark_, gone_ = fresh(docs, "_id", "_text", "_mark", "_gone")
+    own = docs.withColumns({id_: F.col("doc_id").cast("long"), text_: F.col("text").cast("string")})
+    plain = own.select(F.col(id_).alias("doc_id"), F.col(text_).alias("text"))
+    gone = recurring(plain, **options)
+    if identical:
+        gone = gone.union(repeated(plain)).union(recurring(plain, min_tokens=LONG, min_docs=TWO)).groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark_), F.col("gone").alias(gone_)).hint("merge")  # grows with the corpus: one shuffle of it at any size
+    all_ = own.withColumn(mark_, F.xxhash64(text_)).join(gone, [id_, mark_], "left")
+    split = F.split(text_, "\n")
+    left = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(gone_, i)), "\n"))
+    lines = F.when(F.col(text_).isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
+    return all_, left, lines, F.coalesce(F.array_size(gone_), F.lit(0)).cast("long")
+
+
 def dedup(docs: DataFrame, identical: bool = False, **options) -> DataFrame:
-    """``docs`` with recurring lines removed from text, and n_lines and n_dropped added.
+    """``docs`` with recurring lines removed from text, and n_lines and n_dropped added (in place of columns so called).
 
     identical: lines that recur byte for byte go too (``repeated``), and those of
     templates of ``LONG`` tokens that two documents have, beside those of templates.
 
-    All columns of ``docs`` (doc_id, text and any others) are kept; rows without
+    All other columns of ``docs`` (doc_id, text and any more) are kept; rows without
     doc_id or text stay as they are (no line of theirs counts). Two rows of
     one doc_id and text are treated alike. A text may become empty; its row stays.
-    Leading tokens, counts and thresholds are as in ``recurring``.
+    An empty table gives an empty result. Leading tokens, counts and thresholds are as in ``recurring``.
     """
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.col("text").cast("string")})
-    plain = own.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"))
-    gone = recurring(plain, **options)
-    if identical:
-        gone = gone.union(repeated(plain)).union(recurring(plain, min_tokens=LONG, min_docs=TWO)).groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone")).hint("merge")  # grows with the corpus: one shuffle of it at any size
-    all_ = own.withColumn("__mark", F.xxhash64("__text")).join(gone, ["__id", "__mark"], "left")
-    split = F.split("__text", "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
-    return all_.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("__text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.array_size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    all_, left, lines, dropped = _without(docs, identical, **options)
+    kept = [left.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return all_.select(*kept, lines.alias("n_lines"), dropped.alias("n_dropped"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
@@ -125,11 +134,16 @@ def op5(docs: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with recurring lines, identical ones included, removed and n_chars (if there is one) brought up to date."""
-    out = dedup(docs, identical=True)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    """``docs`` with recurring lines, identical ones included, removed and n_chars (if there is one) brought up to date.
+
+    Every column is kept, whatever its name, and every row: rows without doc_id
+    or text as they are, repeated rows alike, a text of dropped lines only as an
+    empty one. Of a line that recurs the document with the smallest doc_id keeps it (rows that share that id all keep it).
+    An empty table gives an empty result.
+    """
+    all_, left, _, dropped = _without(docs, True)
+    counted = F.when(dropped > 0, F.length(left).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return all_.select(*[left.alias(c) if c == "text" else counted.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

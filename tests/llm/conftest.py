@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
-CLASHES = ["fp", "doc", "core", "low", "mark", "leaf", "bucket", "k", "h", "score", "gone", "row"]
+CLASHES = ["fp", "doc", "core", "low", "mark", "leaf", "bucket", "k", "h", "score", "gone", "row", "n_lines", "n_dropped", "_text", "_id", "__text", "__mark", "n_bytes", "start", "seq"]
 
 
 @pytest.fixture(scope="session")
