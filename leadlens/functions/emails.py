@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMAIL = r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
-#: Local parts of roles, of placeholders, and those that an export counts as roles.
-ROLE_LOCALS = ("info", "contact", "support", "sales", "hello", "team", "office", "admin", "help", "billing", "press", "media", "marketing", "jobs", "careers", "hr", "enquiries", "inquiries", "privacy", "legal", "security", "webmaster")
-PLACEHOLDERS = ("example", "test", "user", "username", "email", "name", "yourname", "firstname.lastname", "first.last", "john.doe", "jane.doe", "someone")
-EXPORT_ROLES = ("info", "contact", "support", "sales", "hello", "team", "office", "admin", "help", "billing", "press", "marketing", "jobs", "careers", "hr", "noreply", "no-reply", "webmaster")
+#: Local parts of roles and placeholders; those that an export counts as roles; role words on pages; roles left out of pattern inference.
+ROLE_LOCALS = ("info", "hello", "support", "help", "sales", "contact", "team", "office", "careers", "jobs", "hr", "billing", "accounts", "privacy", "legal", "security", "admin", "webmaster", "newsletter", "press", "media", "example")
+EXPORT_ROLES = ("info", "sales", "support", "help", "hello", "contact", "billing", "customerservice", "customersuccess", "careers", "jobs", "hr", "admin", "office", "team", "marketing", "press", "media")
+ROLE_WORDS = ("info", "contact", "hello", "hi", "support", "help", "success", "customersuccess", "cs", "sales", "marketing", "growth", "press", "media", "pr", "jobs", "job", "careers", "career", "hiring", "recruiting", "recruiter", "talent", "hr", "billing", "payments", "invoices", "accounts", "accounting", "finance", "legal", "privacy", "security", "abuse", "postmaster", "webmaster", "admin", "administrator", "root", "system", "no-reply", "noreply", "donotreply", "newsletter", "news", "updates", "alerts", "notifications", "notify", "bounce", "mailer-daemon", "team", "office", "partners", "partner", "founders", "founder", "example")
+INFERENCE_ROLES = ("info", "sales", "support", "hello", "marketing", "press", "admin")
 #: Local-part patterns in their order of preference.
 PATTERNS = ("first.last", "first_last", "firstlast", "first", "flast", "firstl", "f.last", "first.l", "first-last", "first_l", "f_last", "last", "lastfirst")
 MAX_PERMUTATIONS = 6
@@ -42,19 +43,21 @@ def deobfuscate(text: Column) -> Column:
 
 
 def is_role_or_placeholder(email: Column) -> Column:
+    """A role's address, with or without a +tag, or one that takes no replies."""
     loc = local(email)
-    base = F.split_part(loc, F.lit("+"), F.lit(1))
-    return base.isin(*ROLE_LOCALS) | loc.isin(*PLACEHOLDERS) | loc.rlike("^no-?reply")
+    base = F.regexp_replace(loc, r"^([^+]+)\+.+$", "$1")
+    return email.contains("@") & (loc.isin(*ROLE_LOCALS) | base.isin(*ROLE_LOCALS) | loc.rlike("^no-?reply"))
 
 
 def is_export_role(email: Column) -> Column:
-    return F.replace(F.split_part(local(email), F.lit("+"), F.lit(1)), F.lit("."), F.lit("")).isin(*EXPORT_ROLES)
+    """A role's address for exports: trimmed, without +tag and dots."""
+    return F.replace(F.split_part(F.trim(local(email)), F.lit("+"), F.lit(1)), F.lit("."), F.lit("")).isin(*EXPORT_ROLES)
 
 
 def role_like(email: Column) -> Column:
     """The local part or one of its words is a role."""
     loc = local(email)
-    return F.arrays_overlap(F.array_append(F.split(loc, "[^a-z]+"), loc), F.array(*map(F.lit, ROLE_LOCALS)))
+    return F.arrays_overlap(F.array_append(F.split(loc, "[^a-z]+"), loc), F.array(*map(F.lit, ROLE_WORDS)))
 
 
 def same_org(email_domain: Column, official: Column) -> Column:

@@ -150,71 +150,46 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-#: Title rules, the first match decides (substring, role family, seniority).
+#: Words that a line holds which may be a title.
+TITLE_WORDS = "chief|officer|director|manager|head|lead|president|vp|engineer|founder|partner|analyst|consultant|specialist|coordinator|assistant|developer|designer|sales|marketing|counsel|ceo|cfo|cto|coo"
+
+#: Titles known as a whole; rules, the first whose text a title holds anywhere decides (so abbreviations match inside words, as results need); words of role families and of the seniority ladder, the first met decides.
+EXACT_TITLES = (
+    ("ceo", "Executive", "C"), ("cto", "Engineering", "C"), ("cfo", "Finance", "C"), ("coo", "Operations", "C"), ("cio", "IT", "C"), ("cmo", "Marketing", "C"), ("cro", "Sales", "C"), ("chro", "HR", "C"), ("ciso", "Security", "C"),
+    ("general counsel", "Legal", "C"), ("product manager", "Product", "IC"),
+)
 TITLE_RULES = (
-    ("chief executive officer", "Executive", "C"), ("ceo", "Executive", "C"), ("chief revenue officer", "Sales", "C"), ("co-founder", "Founder", "C"), ("founder", "Founder", "C"),
-    ("vp, sales", "Sales", "VP"), ("head of sales", "Sales", "Director"), ("director of sales", "Sales", "Director"), ("sales manager", "Sales", "Manager"),
+    ("chief executive officer", "Executive", "C"), ("ceo", "Executive", "C"), ("chief revenue officer", "Sales", "C"), ("cro", "Sales", "C"), ("co-founder", "Founder", "C"), ("founder", "Founder", "C"),
+    ("svp, sales", "Sales", "VP"), ("evp, sales", "Sales", "VP"), ("vp, sales", "Sales", "VP"), ("head of sales", "Sales", "Director"), ("director of sales", "Sales", "Director"), ("sales manager", "Sales", "Manager"),
     ("chief marketing officer", "Marketing", "C"), ("cmo", "Marketing", "C"), ("vp, marketing", "Marketing", "VP"), ("head of marketing", "Marketing", "Director"), ("director of marketing", "Marketing", "Director"),
-    ("head of data", "Data", "Director"), ("data engineer", "Data", "IC"), ("chief technology officer", "Engineering", "C"), ("cto", "Engineering", "C"), ("vp, engineering", "Engineering", "VP"),
-    ("head of engineering", "Engineering", "Director"), ("product manager", "Product", "IC"), ("head of product", "Product", "Director"), ("cfo", "Finance", "C"), ("chief financial officer", "Finance", "C"), ("vp, finance", "Finance", "VP"), ("coo", "Operations", "C"),
+    ("head of data", "Data", "Director"), ("director of data", "Data", "Director"), ("data engineer", "Data", "IC"),
+    ("chief technology officer", "Engineering", "C"), ("cto", "Engineering", "C"), ("vp, engineering", "Engineering", "VP"), ("head of engineering", "Engineering", "Director"), ("director of engineering", "Engineering", "Director"),
+    ("product manager", "Product", "IC"), ("head of product", "Product", "Director"),
+    ("cfo", "Finance", "C"), ("chief financial officer", "Finance", "C"), ("vp, finance", "Finance", "VP"),
+    ("coo", "Operations", "C"), ("chief operating officer", "Operations", "C"), ("head of operations", "Operations", "Director"),
+    ("chro", "HR", "C"), ("chief human resources officer", "HR", "C"), ("general counsel", "Legal", "C"),
+)
+FAMILY_WORDS = (
+    ("Founder", ("founder", "co-founder", "co founder", "cofounder")), ("Executive", ("ceo", "president")), ("Engineering", ("cto", "chief technology officer")), ("IT", ("cio", "chief information officer")),
+    ("Marketing", ("cmo", "chief marketing officer")), ("Finance", ("cfo", "chief financial officer")), ("Sales", ("cro", "chief revenue officer")), ("HR", ("chro", "chief human resources officer", "chief people officer")),
+    ("Security", ("ciso", "chief information security officer")), ("Legal", ("general counsel",)),
+    ("Sales", ("sales", "revenue", "business development", "bd")), ("Marketing", ("marketing", "growth", "demand generation", "brand")), ("Customer Success", ("customer success", "customer experience", "cx", "account management")),
+    ("Support", ("support", "helpdesk", "service desk")), ("Finance", ("finance", "accounting", "controller")), ("Operations", ("operations", "ops", "supply chain")), ("HR", ("human resources", "people", "talent", "recruit", "recruiting")),
+    ("Legal", ("legal", "counsel", "attorney", "lawyer", "jd")), ("Product", ("product",)), ("Engineering", ("engineering", "software", "developer", "devops", "sre")), ("IT", ("information technology", "it", "sysadmin", "systems administrator")),
+    ("Data", ("data", "analytics", "business intelligence", "bi", "machine learning", "ml", "ai")), ("Security", ("security", "infosec", "application security", "ciso")), ("Design", ("design", "ux", "ui", "user experience")),
+)
+LADDER_WORDS = (
+    ("C", ("chief", "ceo", "cfo", "coo", "cto", "cmo", "cio", "ciso", "president", "general counsel", "gc")), ("VP", ("svp", "evp", "vice president", "vp")), ("Director", ("director", "head of")), ("Manager", ("manager", "mgr")),
 )
-FAMILIES = (("sales|account exec|business development", "Sales"), ("market|brand|content|seo", "Marketing"), ("customer success", "Customer Success"), ("support|help desk", "Support"), ("financ|account|audit|tax", "Finance"), ("data|analytics|scien", "Data"), ("security", "Security"), ("engineer|developer|software|devops", "Engineering"), ("product", "Product"), ("human resources|recruit|talent|people", "HR"), ("legal|counsel|attorney", "Legal"), ("design|ux", "Design"), ("operation|logistic|supply", "Operations"), ("information technology|\\bit\\b", "IT"))
-LADDER = (("chief|\\bc[a-z]o\\b|founder|president|owner|partner", "C"), ("\\bs?vp\\b|\\bevp\\b|vice president", "VP"), ("director|head of", "Director"), ("manager|lead|supervisor", "Manager"))
 
 
 def canonical_title(title: Column) -> tuple[Column, Column]:
-    """(role_family, seniority): exact rules, then families and a seniority ladder, then General Management and IC."""
-    low = F.lower(F.trim(title))
-    family = seniority = None
-    for text, fam, sen in TITLE_RULES:
-        hit = low.rlike(rf"\b{text}\b") if len(text) <= 3 else low.contains(text)  # abbreviations as words only: a director is no CTO
-        family = F.when(hit, fam) if family is None else family.when(hit, fam)
-        seniority = F.when(hit, sen) if seniority is None else seniority.when(hit, sen)
-    for pattern, fam in FAMILIES:
-        family = family.when(low.rlike(pattern), fam)
-    for pattern, sen in LADDER:
-        seniority = seniority.when(low.rlike(pattern), sen)
-    blank = F.coalesce(low, F.lit("")) == ""
-    return F.when(~blank, family.otherwise("General Management")), F.when(~blank, seniority.otherwise("IC"))
-
-
-NAV_WORDS = ("home", "about", "contact", "careers", "privacy", "terms", "login", "blog", "news", "products", "services", "solutions", "pricing", "resources", "support")
-COMPLIANCE_WORDS = ("gdpr", "ccpa", "hipaa", "iso", "soc", "cookie", "policy", "compliance")
-GEOGRAPHY_WORDS = ("usa", "uk", "europe", "asia", "africa", "america", "canada", "germany", "france", "spain", "india", "china", "japan", "london", "paris", "berlin")
-
-
-def person_name_reason(name: Column) -> Column:
-    """Why a string can't be a person's name, in the order of the checks; NULL if it can."""
-    clean = F.trim(F.coalesce(name, F.lit("")))
-    low = F.lower(clean)
-    tokens = F.filter(F.split(low, r"\s+"), lambda t: t != "")
-    letters = F.transform(tokens, lambda t: F.regexp_replace(t, r"[^\p{L}]", ""))
-    return (
-        F.when(clean == "", "empty_name")
-        .when(F.arrays_overlap(tokens, F.array(*map(F.lit, COMPLIANCE_WORDS))), "compliance_term")
-        .when(F.arrays_overlap(tokens, F.array(*map(F.lit, GEOGRAPHY_WORDS))), "geography_term")
-        .when(F.arrays_overlap(tokens, F.array(*map(F.lit, NAV_WORDS))), "nav_boilerplate")
-        .when(clean.rlike(r"^[0-9\s.,-]+$"), "numeric_only")
-        .when(clean.rlike("[0-9]"), "contains_digits")
-        .when(clean.contains("@"), "contains_at_sign")
-        .when(F.size(tokens) > 5, "too_many_tokens")
-        .when(F.exists(letters, lambda t: t == ""), "bad_token_chars")
-        .when(F.size(tokens) < 2, F.when(F.length(clean) < 3, "single_token_too_short").otherwise("not_enough_name_parts"))
-    )
-
-
-TITLE_WORDS = "chief|officer|director|manager|head|lead|president|vp|engineer|founder|partner|analyst|consultant|specialist|coordinator|assistant|developer|designer|sales|marketing|counsel|ceo|cfo|cto|coo"
-
-
-def title_reason(title: Column) -> Column:
-    """Why a string can't be a title; blank is fine."""
-    clean = F.trim(F.coalesce(title, F.lit("")))
-    low = F.lower(clean)
-    return (
-        F.when(clean == "", F.lit(None).cast("string"))
-        .when(F.length(clean) > 80, "too_long")
-        .when(low.isin(*GEOGRAPHY_WORDS), "geography_term")
-        .when(low.isin(*NAV_WORDS), "nav_boilerplate")
-        .when(low.rlike("learn more|read more|sign up|get started|click here"), "call_to_action")
-        .when(~low.rlike(TITLE_WORDS), "no_role_keyword")
-    )
+    """(role_family, seniority): whole titles, then rules, then words; a founder counts as C; else General Management and IC."""
+    low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    exact = F.create_map(*[F.lit(x) for t, fam, sen in EXACT_TITLES for x in (t, f"{fam}|{sen}")])
+    rule = F.coalesce(*[F.when(low.contains(t), F.lit(f"{fam}|{sen}")) for t, fam, sen in TITLE_RULES])
+    word = lambda table: F.coalesce(*[F.when(low.rlike(rf"\b({'|'.join(words)})\b"), F.lit(name)) for name, words in table])
+    found = word(FAMILY_WORDS)
+    ladder = F.coalesce(word(LADDER_WORDS), F.when(found == "Founder", "C"), F.lit("IC"))
+    told = F.coalesce(F.try_element_at(exact, low), rule, F.concat_ws("|", F.coalesce(found, F.lit("General Management")), ladder))
+    return F.split_part(told, F.lit("|"), F.lit(1)), F.split_part(told, F.lit("|"), F.lit(2))

@@ -171,10 +171,17 @@ def lead_view(spark, d):
     return leads.view(T.emails(spark, d), T.people(spark, d), T.companies(spark, d), T.verification(spark, d))
 
 
-#: What the title rules give for the sixteen synthetic titles.
-TITLE_SQL = """(CASE title WHEN 'CEO' THEN 'Executive|C' WHEN 'VP, Sales' THEN 'Sales|VP' WHEN 'Head of Data' THEN 'Data|Director' WHEN 'Data Engineer' THEN 'Data|IC' WHEN 'Sales Manager' THEN 'Sales|Manager'
-  WHEN 'Chief Marketing Officer' THEN 'Marketing|C' WHEN 'Customer Success Lead' THEN 'Customer Success|Manager' WHEN 'Support Specialist' THEN 'Support|IC' WHEN 'CFO' THEN 'Finance|C' WHEN 'Software Developer' THEN 'Engineering|IC'
-  WHEN 'Head of Product' THEN 'Product|Director' WHEN 'Legal Counsel' THEN 'Legal|IC' WHEN 'Talent Partner' THEN 'HR|C' WHEN 'Office Assistant' THEN 'General Management|IC' WHEN 'Security Director' THEN 'Security|Director' END)"""
+def title_sql() -> str:
+    """'family|seniority' of ``title``, by the same rules in SQL."""
+    low = "lower(trim(coalesce(title, '')))"
+    cases = lambda table: "CASE " + " ".join(f"WHEN regexp_matches({low}, '\\b({'|'.join(words)})\\b') THEN '{name}'" for name, words in table)
+    exact = " ".join(f"WHEN {low} = '{t}' THEN '{fam}|{sen}'" for t, fam, sen in names.EXACT_TITLES)
+    rules = " ".join(f"WHEN {low} LIKE '%{t}%' THEN '{fam}|{sen}'" for t, fam, sen in names.TITLE_RULES)
+    founder = f"WHEN regexp_matches({low}, '\\b(co[- ]?)?founder\\b') THEN 'C'"
+    return f"(CASE {exact} {rules} ELSE {cases(names.FAMILY_WORDS)} ELSE 'General Management' END || '|' || {cases(names.LADDER_WORDS)} {founder} ELSE 'IC' END END)"
+
+
+TITLE_SQL = title_sql()
 LEADS = f""", l0 AS (SELECT e.*, lv.verify_status, lv.verify_reason, lv.verified_at, lv.mx_host, p.first_name, p.last_name, p.full_name, p.title, c.name AS company, c.industry, c.size_bucket,
     split_part({TITLE_SQL}, '|', 1) AS role_family, split_part({TITLE_SQL}, '|', 2) AS seniority, lower(split_part(e.email, '@', 2)) AS email_domain
   FROM e LEFT JOIN lv ON lv.email_id = e.id LEFT JOIN p ON p.id = e.person_id LEFT JOIN c ON c.id = e.company_id),

@@ -9,7 +9,7 @@ from leadlens.functions import status
 
 #: Every time-dependent query takes this as its present.
 NOW = "2024-04-10 00:00:00"
-TITLES = ("CEO", "VP, Sales", "Head of Data", "Data Engineer", "Sales Manager", "Chief Marketing Officer", "Customer Success Lead", "Support Specialist", "CFO", "Software Developer", "Head of Product", "Legal Counsel", "Talent Partner", "Office Assistant", "Security Director", "")
+TITLES = ("CEO", "VP, Sales", "Head of Data", "Data Engineer", "Sales Manager", "Chief Marketing Officer", "Customer Success Lead", "Support Specialist", "CFO", "Software Developer", "Head of Product", "Legal Counsel", "Talent Partner", "Office Assistant", "Security Director", "", "General Counsel", "Director of Data", "Office Coordinator", "Co-Founder & Engineer", "Chief People Officer", "VP People", "IT Manager", "President", "Head of Supply Chain", "UX Lead", "Machine Learning Scientist", "Brand Mgr", "SVP, Sales EMEA", "Attorney", "Gardener", "Founder")
 
 
 def now():
@@ -48,7 +48,7 @@ def companies(spark: SparkSession, d: str) -> DataFrame:
 def people(spark: SparkSession, d: str) -> DataFrame:
     p = load(spark, d, "part")
     owner = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("company_id"))
-    title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("p_partkey") % 16 + 1).cast("int"))
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("p_partkey") % len(TITLES) + 1).cast("int"))
     return p.join(owner, "p_partkey", "left").select(F.col("p_partkey").alias("id"), "company_id", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("first_name"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("last_name"), F.initcap("p_name").alias("full_name"), title.alias("title"), F.concat(F.lit("https://s"), F.col("company_id"), F.lit(".example/team")).alias("source_url"))
 
 
@@ -91,7 +91,7 @@ CTE = {
       CASE WHEN s_acctbal < 0 THEN '1-10' WHEN s_acctbal < 3000 THEN '11-50' WHEN s_acctbal < 7000 THEN '51-200' ELSE '201-1000' END AS size_bucket, s_nationkey AS country FROM supplier)""",
     "p": f"""p AS (SELECT p_partkey AS id, o.company_id, split_part(p_name, ' ', 1) AS first_name, split_part(p_name, ' ', 2) AS last_name,
       array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS full_name,
-      {list(TITLES)!r}[(p_partkey % 16) + 1] AS title, 'https://s' || o.company_id || '.example/team' AS source_url
+      {list(TITLES)!r}[(p_partkey % {len(TITLES)}) + 1] AS title, 'https://s' || o.company_id || '.example/team' AS source_url
       FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS company_id FROM lineitem GROUP BY l_partkey) o ON o.l_partkey = p_partkey)""",
     "e": """e AS (SELECT x.id * 3 + idx AS id, x.id AS person_id, company_id, loc || '@s' || company_id || '.example' AS email,
       ['extracted','generated','seed'][(x.id + idx) % 3 + 1] AS source, CASE WHEN idx = 0 THEN 1 ELSE 0 END AS is_published FROM (

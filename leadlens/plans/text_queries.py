@@ -197,15 +197,3 @@ def norm_person(spark, d):
     p = T.people(spark, d)
     s = names.split_name(names.norm_person(F.concat(F.lit("dr. "), F.upper("full_name"), F.lit(" jr."))))
     return p.select("id", s["first"].alias("first"), s["last"].alias("last"), names.norm_title(F.lower("title")).alias("title"))
-
-
-@query(sql("p", "SELECT CASE WHEN x = '' THEN 'empty_name' WHEN regexp_matches(x, '[0-9]') THEN 'contains_digits' WHEN contains(x, '@') THEN 'contains_at_sign' WHEN NOT contains(x, ' ') THEN CASE WHEN length(x) < 3 THEN 'single_token_too_short' ELSE 'not_enough_name_parts' END END AS reason, count(*) AS n FROM (SELECT CASE id % 6 WHEN 0 THEN '' WHEN 1 THEN full_name || ' 2' WHEN 2 THEN first_name WHEN 3 THEN first_name || ' @ ' || last_name ELSE full_name END AS x FROM p) GROUP BY 1"))
-def person_name_gate(spark, d):
-    r = F.col("id") % 6
-    x = F.when(r == 0, "").when(r == 1, F.concat("full_name", F.lit(" 2"))).when(r == 2, F.col("first_name")).when(r == 3, F.concat("first_name", F.lit(" @ "), "last_name")).otherwise(F.col("full_name"))
-    return T.people(spark, d).groupBy(names.person_name_reason(x).alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query(sql("p", "SELECT CASE WHEN title = '' OR regexp_matches(lower(title), 'officer|ceo|vp|head|engineer|manager|specialist|lead|cfo|developer|counsel|partner|assistant|director') THEN NULL ELSE 'no_role_keyword' END AS reason, count(*) AS n FROM p GROUP BY 1"))
-def title_gate(spark, d):
-    return T.people(spark, d).groupBy(names.title_reason(F.col("title")).alias("reason")).agg(F.count("*").alias("n"))
