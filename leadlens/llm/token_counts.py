@@ -10,9 +10,12 @@ machine is compiled as its states are met and kept for the worker's life.
 
 A text is cut into chunks that run side by side, one array step per character.
 A chunk's effect is a map from entry state to (exit state, tokens). White space
-sends every state to the start, so behind a chunk's first white space its map
-is constant and is computed without knowing the entry state; the part before it
-is applied to the exit state that the prefix scan over the chunks has composed.
+sends every state to the start, so a chunk with white space has a constant exit.
+The map of a chunk without any is tabulated at the states that may enter it:
+first the one that the characters before it lead to from the start, then those
+that the scan asks for, which are tried on all later chunks of the run at once.
+A prefix scan composes the maps pairwise, over twice as many chunks each round,
+and so gives every chunk's entry state and tokens; no chunk waits for the one before it.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from leadlens.llm.common import blocks, column, texts
 TOKENIZER, LIMIT = "word_bpe_49k.json", 2048
 END = "</w>"
 CHUNK = 256
+#: Characters before a chunk that give its first entry state to try; entries of a chunk's map.
+WARM, ENTRIES = 48, 8
 #: Compiled transitions that a worker keeps; then it compiles anew.
 KEPT = 3_000_000
 
@@ -227,21 +232,72 @@ class Machine:
         masked = np.ascontiguousarray(np.where(np.arange(CHUNK) < head[:, None], 10, grid).T)
         for k in range(CHUNK):  # the constant part of every chunk's map
             leave, added[:, k] = self.step(leave, masked[k])
-        ready_lane, enter = has.copy(), np.zeros(lanes, np.int64)
-        todo = np.arange(lanes)
-        while len(todo):  # the scan: heads whose entry state is composed by now
-            can = (todo == 0) | ready_lane[todo - 1]
-            now, todo = todo[can], todo[~can]
-            enter = np.where(now > 0, leave[now - 1], 0)
-            for k in range(int(head[now].max())):
-                on = np.flatnonzero(head[now] > k)
-                enter[on], added[now[on], k] = self.step(enter[on], grid[now[on], k])
-            open_ = ~has[now]
-            leave[now[open_]] = enter[open_]
-            ready_lane[now] = True
+        enter = np.concatenate([[0], leave[:-1]])
+        self._scan(grid, has, leave, enter, added)
+        now = np.flatnonzero(has & (head > 0))
+        now = now[np.argsort(-head[now], kind="stable")]
+        state, size = enter[now], head[now]
+        for k in range(int(size.max(initial=0))):  # what stands before a chunk's first reset
+            on = int(np.searchsorted(-size, -k, "left"))
+            state[:on], added[now[:on], k] = self.step(state[:on], grid[now[:on], k])
         total = np.concatenate([[0], np.cumsum(added.ravel(), dtype=np.int64)])[np.concatenate([[0], ends])]
         return np.diff(total) + np.array([n for _, n in ready])
 
+    def _through(self, state: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and tokens of lanes that run side by side from their entry states."""
+        total = np.zeros(len(state), np.int64)
+        for k in range(grid.shape[1]):
+            state, n = self.step(state, grid[:, k])
+            total += n
+        return state, total
+
+    def _scan(self, grid: np.ndarray, has: np.ndarray, leave: np.ndarray, enter: np.ndarray, added: np.ndarray) -> None:
+        """Entry states of all lanes and tokens of those without a reset (``has``), by composing maps."""
+        lane = np.flatnonzero(~has)
+        if not len(lane):
+            return
+        n = len(lane)
+        opens = np.concatenate([[True], np.diff(lane) > 1])
+        head = np.flatnonzero(opens)[np.cumsum(opens) - 1]  # the first lane of each one's run
+        entry, out, tokens = (np.full((n, ENTRIES), -1, np.int64) for _ in range(3))
+        guess = np.where(opens, enter[lane], 0)
+        warm = np.flatnonzero(~opens)
+        guess[warm] = self._through(np.zeros(len(warm), np.int64), grid[lane[warm] - 1, -WARM:])[0]
+        entry[:, 0] = guess
+        out[:, 0], tokens[:, 0] = self._through(guess, grid[lane])
+        held = np.ones(n, np.int64)  # entries in use
+        while True:
+            # compose[i, m]: exit of lane i if the first lane that the map covers is entered by its entry m
+            compose, first, step = out.copy(), np.arange(n), 1
+            while step < n:
+                i = np.flatnonzero(first > head)
+                if not len(i):
+                    break
+                before = compose[first[i] - 1]
+                match = (before[:, :, None] == entry[first[i]][:, None, :]) & (before >= 0)[:, :, None]
+                composed = np.where(match.any(axis=2), np.take_along_axis(compose[i], match.argmax(axis=2), 1), -1)
+                compose[i], first[i] = composed, first[first[i] - 1]
+                step *= 2
+            leaves = compose[:, 0]
+            enters = np.where(opens, guess, np.concatenate([[0], leaves[:-1]]))
+            known = (entry == enters[:, None]) & (enters >= 0)[:, None]
+            missing = np.flatnonzero((enters >= 0) & ~known.any(axis=1))
+            if not len(missing):
+                break
+            # each state asked for is tried on that lane and the later ones of its run
+            later = np.concatenate([np.arange(k, k + int(np.searchsorted(head[k:], head[k], "right"))) for k in missing])
+            state = np.repeat(enters[missing], [int(np.searchsorted(head[k:], head[k], "right")) for k in missing])
+            fresh = ~(entry[later] == state[:, None]).any(axis=1)
+            later, state = later[fresh], state[fresh]
+            place = np.where(held[later] < ENTRIES, held[later], 1 + held[later] % (ENTRIES - 1))
+            entry[later, place] = state
+            out[later, place], tokens[later, place] = self._through(state, grid[lane[later]])
+            held[later] += 1
+        slot = known.argmax(axis=1)
+        added[lane, CHUNK - 1] = tokens[np.arange(n), slot]
+        leave[lane] = out[np.arange(n), slot]
+        enter[1:] = leave[:-1]
+
 
 _MACHINES: dict[str, Machine] = {}
 
