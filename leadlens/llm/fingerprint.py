@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +25,31 @@ from leadlens.llm.common import blocks, column, mix
 #: Fixed primes below 2**31, so that a product of two residues fits 64 bits, and a base for each.
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 SPAN, SKETCH = 12, 64
-#: Buckets of doc_id ranges that pair each document with the next one.
-BUCKETS = 4096
+#: Documents of a bucket at least, text bytes of one at most about, and buckets of a small input at most.
+LEAST, BYTES, BUCKETS = 64, 64 << 20, 4096
 
 
 class _Powers:
     """Base**k and its inverse modulo each prime, grown by doubling."""
 
+    KEPT = 1 << 21
+
     def __init__(self) -> None:
         self.up = [np.ones(1, np.uint64) for _ in PRIMES]
         self.down = [np.ones(1, np.uint64) for _ in PRIMES]
 
-    def reach(self, n: int) -> None:
+    def reach(self, n: int) -> _Powers:
+        """Powers below ``n`` at least; those of a longer text than ``KEPT`` are made for it and let go."""
+        if n > max(self.KEPT, len(self.up[0])):
+            own = _Powers()
+            own.up, own.down, own.KEPT = list(self.up), list(self.down), n
+            return own.reach(n)
         while len(self.up[0]) < n:
             size = len(self.up[0])
             for k, (p, b) in enumerate(zip(PRIMES, BASES)):
                 for held, root in ((self.up, b), (self.down, pow(b, -1, p))):
                     held[k] = np.concatenate([held[k], held[k] * np.uint64(pow(root, size, p)) % np.uint64(p)])
+        return self
 
 
 @functools.cache
@@ -54,8 +63,7 @@ class Prefix:
     def __init__(self, text: str | np.ndarray):
         cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) if isinstance(text, str) else text
         self.n = len(cps)
-        self.powers = _powers()
-        self.powers.reach(self.n + 1)
+        self.powers = _powers().reach(self.n + 1)
         cps = cps.astype(np.uint64) + np.uint64(1)
         self.sums = []
         for k, p in enumerate(PRIMES):
@@ -148,19 +156,23 @@ def with_edits(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     a doc_id follow each other by the hash of their text; a single row is its
     own next; other columns are ignored; an empty table gives an empty result.
 
-    Ranges of doc_id become buckets, bounded in number; each bucket also gets
-    the first row of the next bucket, so one shuffle of the texts is enough.
+    Ranges of (doc_id, hash of the text) become buckets, so many that none holds
+    much more than ``BYTES`` of text: an id that a large share of the rows has is
+    split by its texts. Each bucket also gets the first row of the next bucket, so
+    one shuffle of the texts is enough.
     same_until: the longest common extension of text and edited text.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
     ids = docs.select(key.alias("k"))
-    count = ids.count()
+    count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not count:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_until long")
-    n = max(1, min(buckets, count // 64))
-    edges = sorted(set(ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0]))
+    n = max(1, min(buckets, count // LEAST), size // BYTES)
+    cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0]  # one long for each bucket
+    # an id that fills several buckets is cut by the hash of the text
+    edges = sorted({(k, -(2**63) + i * (2**64 // m)) for k, m in Counter(cuts).items() for i in range(m)})
     placed = _bucketed(docs, edges)
     # the first row of each bucket, by (key descending, hash of text, text)
     first = placed.groupBy("bucket").agg(F.max(F.struct("k", "h")).alias("top"), F.count("*").alias("n"))
@@ -172,13 +184,19 @@ def with_edits(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return parts.select("bucket", "extra", "doc_id", "text").mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_until long")
 
 
-def _bucketed(docs: DataFrame, edges: list[int]) -> DataFrame:
-    """docs with k, h (hash of the text) and the bucket: 0 for the largest keys."""
-    held = np.array(edges, np.int64)
+def _bucketed(docs: DataFrame, edges: list[tuple[int, int]]) -> DataFrame:
+    """docs with k, h (hash of the text) and the bucket, by (k, h): 0 for the largest."""
+    keys, hashes = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
 
     @F.pandas_udf("int")
-    def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(len(held) - np.searchsorted(held, k.to_numpy(), "left")).astype("int32")
+    def bucket(k: pd.Series, h: pd.Series) -> pd.Series:
+        k, h = k.to_numpy(), h.to_numpy()
+        low, high = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+        while (some := low < high).any():  # edges of the same id, by the hash
+            mid = (low + high) // 2
+            less = some & (hashes[np.minimum(mid, len(hashes) - 1)] < h)
+            low, high = np.where(less, mid + 1, low), np.where(some & ~less, mid, high)
+        return pd.Series(len(keys) - low).astype("int32")
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
-    return keyed.withColumn("bucket", bucket("k"))
+    return keyed.withColumn("bucket", bucket("k", "h"))
