@@ -138,8 +138,8 @@ def code_points(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, starts
 
 
-def words_of(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of letters and digits, lower case) of ``code_points`` output.
+def words_of(flat: np.ndarray, starts: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of letters and digits, lower case) of ``code_points`` output; longer ones than ``longest`` (if given) in pieces.
 
     Returns lowered code points (0 outside words), word begins, word ends,
     64-bit word hashes, and for each row the index of its first word (plus the total).
@@ -148,6 +148,10 @@ def words_of(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inside = low != 0
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if longest and len(begin) and (end - begin).max() > longest:
+        parts = -(-(end - begin) // longest)
+        begin = np.repeat(begin, parts) + longest * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        end = np.minimum(begin + longest, np.repeat(end, parts))
     up, down = powers(len(flat) + 1)
     prefix = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum(low * up[: len(flat)], out=prefix[1:])

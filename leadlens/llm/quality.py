@@ -22,8 +22,8 @@ from leadlens.llm.common import blocks, column, texts
 from leadlens.llm.sample import labelled, remainder
 
 BITS, RANK, NEIGHBOURS = 12, 48, 20
-#: The labelled sample: documents of either label, and characters of a text, at most.
-ROWS_A_CLASS, MAX_CHARS = 1500, 16_000
+#: The labelled sample: documents of either label at most (and ``sample.CHARS_A_CLASS`` characters).
+ROWS_A_CLASS = 1500
 THRESHOLD, MODULUS, HELD_OUT = 0.7, 4, 2
 #: Bounds between the bins of each shape term, and the terms' weight beside the trigrams.
 SHAPES = {
@@ -145,10 +145,10 @@ def fit(rows: list[tuple[str, int]], frequency: np.ndarray, n: int, rank: int =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS, max_chars: int = MAX_CHARS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) -> Model:
     """A model of at most ``rows_a_class`` labelled documents of either class, none held out; term statistics of all documents."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return fit(labelled(docs, labels, "quality", MODULUS, HELD_OUT, rows_a_class, max_chars), *document_frequencies(docs))
+    return fit(labelled(docs, labels, "quality", MODULUS, HELD_OUT, rows_a_class), *document_frequencies(docs))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -156,7 +156,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     A null doc_id stays null; repeated rows give a row each; other columns are
     ignored; an empty table gives an empty result. Without any labelled row
-    every score is 0.5.
+    every score is 0.5. Of neighbours that tie at the border of the nearest ones any may vote.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * rows_a_class short vectors
 

@@ -1,14 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
-Input is a sequence of words, each described by word features (its hashed
-embedding and the log-odds of its hash in the fitting sample) and character
-features (log-odds of its character four-grams, and their hashed embedding).
-The network reads overlapping windows of words in both directions; attention
-pools the states of a window into one logit, and a document's score is that of
-its highest window. Training is backpropagation through time in numpy on a
-bounded sample of labelled documents; a document's label is taught to the
-window that the current model scores highest in it (and to all windows of
-documents that aren't toxic).
+Input is a sequence of words. A word is described by its embedding (hashed), by the
+last states of a smaller bidirectional gated network that reads its characters,
+one embedding each, and by the log-odds of its hash and of its character
+four-grams in the fitting sample. The network reads overlapping windows of
+words in both directions; attention pools the states of a window into one
+logit, and a document's score is that of its highest window. Embeddings and both networks are
+trained together by backpropagation through time in numpy on a bounded sample
+of labelled documents; a document's label is taught to the window that the
+current model scores highest in it (and to as many others of documents that
+aren't toxic).
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ from leadlens.llm.sample import labelled, remainder
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED = 8, 4
-WORD_BITS, GRAM_BITS, GRAM = 16, 16, 4
-#: The fitting sample: documents of either label, and characters of a text, at most.
-ROWS_A_CLASS, MAX_CHARS = 1500, 16_000
+#: States of the character network in either direction, its letters (one embedding each), and the most that a word has; longer ones are read as several.
+CHAR_HIDDEN, LETTERS, LONGEST = 4, 192, 24
+WORD_BITS, EMBED_BITS, GRAM_BITS, GRAM = 16, 12, 16, 4
+#: The fitting sample: documents of either label at most (and ``sample.CHARS_A_CLASS`` characters).
+ROWS_A_CLASS = 1500
 THRESHOLD = 0.5
+#: Passes over the sample, and step sizes (of the word embeddings a smaller one: each sees few words).
+EPOCHS, RATE, EMBED_RATE = 6, 0.01, 0.001
 #: Windows that go through the recurrent steps together.
 LANES = 2048
 MODULUS, HELD_OUT = 5, 0
@@ -38,16 +43,36 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def scan(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets, first word of each row (plus the total), four-gram buckets of all places, word begins, word ends."""
-    flat, starts = code_points(rows)
-    low, begin, end, hashes, first = words_of(flat, starts)
-    c = np.concatenate([[0], low, np.zeros(GRAM, np.uint32)]).astype(np.uint64)  # a place before each word shows its edge
-    acc = np.zeros(len(low) + 1, np.uint64)
-    for k in range(GRAM):
-        acc = acc * np.uint64(1000003) + c[k : k + len(acc)]
-    grams = (mix(acc) >> np.uint64(64 - GRAM_BITS)).astype(np.int32)
-    return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32), first, grams, begin, end
+class Words:
+    """The words of some texts: bucket, first word of each row (plus the total), four-gram buckets of all places, begins, ends; and their distinct spellings."""
+
+    def __init__(self, rows: list[str]):
+        flat, starts = code_points([t + "\n\n" for t in rows])  # so that no four-gram reaches into the next text
+        low, self.begin, self.end, hashes, self.first = words_of(flat, starts, LONGEST)
+        self.bucket = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+        c = np.concatenate([[0], low, np.zeros(GRAM, np.uint32)]).astype(np.uint64)  # a place before each word shows its edge
+        acc = np.zeros(len(low) + 1, np.uint64)
+        for k in range(GRAM):
+            acc = acc * np.uint64(1000003) + c[k : k + len(acc)]
+        self.grams = (mix(acc) >> np.uint64(64 - GRAM_BITS)).astype(np.int32)
+        self.known, at, self.spelling = np.unique(hashes, return_index=True, return_inverse=True)
+        size = (self.end - self.begin)[at]
+        place = np.minimum(self.begin[at][:, None] + np.arange(LONGEST), max(len(low) - 1, 0))
+        point = low[place] if len(at) else np.zeros((0, LONGEST), np.uint32)
+        letters = np.where(point < 128, point, 128 + point % (LETTERS - 128)).astype(np.uint8)
+        self.letters, self.size = np.where(np.arange(LONGEST) < size[:, None], letters, 0).astype(np.uint8), size
+
+
+class Sample:
+    """The words of many texts, piece by piece: what of ``Words`` the network reads, and the odds of each word."""
+
+    def __init__(self, parts: list[tuple[Words, np.ndarray]]):
+        self.bucket = np.concatenate([w.bucket for w, _ in parts])
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w.first) for w, _ in parts]))])
+        self.odds = np.concatenate([o for _, o in parts])
+        known, at = np.unique(np.concatenate([w.known for w, _ in parts]), return_index=True)
+        self.letters, self.size = np.concatenate([w.letters for w, _ in parts])[at], np.concatenate([w.size for w, _ in parts])[at]
+        self.spelling = np.concatenate([np.searchsorted(known, w.known)[w.spelling] for w, _ in parts])
 
 
 def pieces(rows: list[str], chars: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
@@ -69,21 +94,22 @@ class Model:
         rng = np.random.default_rng(seed)
         f = np.float32
         self.word_odds, self.gram_odds = np.zeros(1 << WORD_BITS, f), np.zeros(1 << GRAM_BITS, f)
-        self.word_emb, self.gram_emb = (rng.normal(0, 0.05, (1 << 12, EMBED)).astype(f) for _ in range(2))
-        self.inputs = 3 + 2 * EMBED
-        h = HIDDEN
+        h, c = HIDDEN, CHAR_HIDDEN
+        self.inputs = 3 + EMBED + 2 * c
+        normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(f)
         self.p = {
-            "W": rng.normal(0, 0.3, (2, self.inputs, 3 * h)).astype(f), "U": rng.normal(0, 0.3, (2, h, 3 * h)).astype(f), "b": np.zeros((2, 1, 3 * h), f),
-            "A": rng.normal(0, 0.3, (2 * h, h)).astype(f), "a": rng.normal(0, 0.3, h).astype(f), "v": rng.normal(0, 0.3, 2 * h).astype(f), "c": np.zeros(1, f),
+            "E": normal(0.05, 1 << EMBED_BITS, EMBED), "C": normal(0.5, LETTERS, EMBED), "Wc": normal(0.3, 2, EMBED, 3 * c), "Uc": normal(0.3, 2, c, 3 * c), "bc": np.zeros((2, 3 * c), f),
+            "W": normal(0.3, 2, self.inputs, 3 * h), "U": normal(0.3, 2, h, 3 * h), "b": np.zeros((2, 1, 3 * h), f),
+            "A": normal(0.3, 2 * h, h), "a": normal(0.3, h), "v": normal(0.3, 2 * h), "c": np.zeros(1, f),
         }
 
     # ---- features
     def fit_odds(self, rows: list[str], y: np.ndarray) -> None:
         counts = [np.zeros((2, len(odds))) for odds in (self.word_odds, self.gram_odds)]
         for begin, part in pieces(rows):
-            words, first, grams, start, end = scan(part)
-            own = (words, np.repeat(np.arange(len(part)), np.diff(first))), self._grams_with_rows(grams, start, end, first)
-            for held, (bucket, doc) in zip(counts, own):
+            w = Words(part)
+            row = np.repeat(np.arange(len(part)), np.diff(w.first))
+            for held, (bucket, doc) in zip(counts, ((w.bucket, row), self._grams_with_rows(w, row))):
                 seen = np.unique(doc.astype(np.int64) * held.shape[1] + bucket)
                 doc, bucket = seen // held.shape[1], seen % held.shape[1]
                 for label in (0, 1):
@@ -93,42 +119,78 @@ class Model:
             odds[:] = np.clip(np.log((pos / max(1, (y == 1).sum()) + blur) / (neg / max(1, (y == 0).sum()) + blur)), -3, 5) / 2
 
     @staticmethod
-    def _grams_with_rows(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = end - begin + 1
-        at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        return grams[at], np.repeat(row, size)
-
-    def features(self, words: np.ndarray, grams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """(words, inputs): word odds, greatest and mean four-gram odds, word and character embeddings."""
-        out = np.zeros((len(words), self.inputs), np.float32)
-        if not len(words):
-            return out
-        odds = self.gram_odds[grams]
-        # places begin-1+1 .. end of the shifted array are the word's own: cut by reduceat between begin and end
-        cut = np.stack([begin, end + 1], 1).ravel()
-        cut = np.minimum(cut, len(odds) - 1)
-        out[:, 0] = self.word_odds[words]
-        out[:, 1] = np.maximum.reduceat(odds, cut)[::2]
-        out[:, 2] = np.add.reduceat(odds, cut)[::2] / (end - begin + 1)
-        out[:, 3 : 3 + EMBED] = self.word_emb[words & 4095]
-        out[:, 3 + EMBED :] = self.gram_emb[grams[begin] & 4095]
+    def _grams_with_rows(w: Words, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = w.end - w.begin + 1
+        at = np.arange(size.sum()) + np.repeat(w.begin - (np.cumsum(size) - size), size)
+        return w.grams[at], np.repeat(row, size)
+
+    def odds(self, w: Words) -> np.ndarray:
+        """(words, 3): word odds, greatest and mean four-gram odds."""
+        out = np.zeros((len(w.bucket), 3), np.float32)
+        if len(out):
+            odds = self.gram_odds[w.grams]
+            # places begin-1+1 .. end of the shifted array are the word's own: cut by reduceat between begin and end
+            cut = np.minimum(np.stack([w.begin, w.end + 1], 1).ravel(), len(odds) - 1)
+            out[:, 0] = self.word_odds[w.bucket]
+            out[:, 1] = np.maximum.reduceat(odds, cut)[::2]
+            out[:, 2] = np.add.reduceat(odds, cut)[::2] / (w.end - w.begin + 1)
         return out
 
-    def padded(self, parts: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([*parts, np.zeros((1, self.inputs), np.float32)])
+    def inputs_of(self, odds: np.ndarray, bucket: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """Odds, word embeddings, and the states of the character network (``spelt``), side by side."""
+        return np.concatenate([odds, self.p["E"][bucket & ((1 << EMBED_BITS) - 1)], spelt], axis=-1)
+
+    # ---- character network
+    def spell(self, letters: np.ndarray, size: np.ndarray, keep: bool = False):
+        """(n, 2 * CHAR_HIDDEN): the last states of the network that reads each word's letters forward and backward."""
+        p, c = self.p, CHAR_HIDDEN
+        order = np.argsort(-size, kind="stable")
+        letters, size = letters[order], size[order]
+        known = np.matmul(p["C"], p["Wc"]) + p["bc"][:, None]  # (2, LETTERS, 3c)
+        state, kept = np.zeros((2, len(size), c), p["C"].dtype), []
+        for k in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -k, "left"))  # words that have a letter left
+            read = np.stack([letters[:n, k], letters[np.arange(n), size[:n] - 1 - k]])
+            old = state[:, :n]
+            g, r = np.stack([known[0][read[0]], known[1][read[1]]]), np.matmul(old, p["Uc"])
+            zr = _sigmoid(g[..., : 2 * c] + r[..., : 2 * c])
+            cand = np.tanh(g[..., 2 * c :] + zr[..., c:] * r[..., 2 * c :])
+            if keep:
+                kept.append((n, read, old.copy(), zr, cand, r[..., 2 * c :]))
+            state[:, :n] = old + zr[..., :c] * (cand - old)
+        out = np.empty((len(size), 2 * c), state.dtype)
+        out[order] = np.concatenate([state[0], state[1]], axis=1)
+        return (out, (order, kept)) if keep else out
+
+    def spell_back(self, saved, d: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the character network for d = d loss / d states."""
+        p, c = self.p, CHAR_HIDDEN
+        order, kept = saved
+        ds = np.stack([d[order, :c], d[order, c:]])
+        table, g = np.zeros((2, LETTERS, 3 * c), d.dtype), np.zeros_like(p["Uc"])
+        for n, read, old, zr, cand, rc in reversed(kept):
+            z, r, own = zr[..., :c], zr[..., c:], ds[:, :n]
+            dz = own * (cand - old) * z * (1 - z)
+            dc = own * z * (1 - cand**2)
+            dr = dc * rc * r * (1 - r)
+            rec = np.concatenate([dz, dr, dc * r], axis=-1)
+            for side in (0, 1):
+                np.add.at(table[side], read[side], np.concatenate([dz[side], dr[side], dc[side]], axis=-1))
+            g += np.matmul(old.transpose(0, 2, 1), rec)
+            ds[:, :n] = own * (1 - z) + np.matmul(rec, p["Uc"].transpose(0, 2, 1))
+        return {"Uc": g, "bc": table.sum(axis=1), "Wc": np.matmul(p["C"].T, table), "C": np.matmul(table, p["Wc"].transpose(0, 2, 1)).sum(axis=0)}
 
     # ---- network
     def forward(self, x: np.ndarray, keep: bool = False):
-        """x: (time, windows, inputs) with a last input row of padding marked by nan-free zeros; mask: from `mask`."""
+        """x: (time, windows, inputs) and its mask (0 past a text's end); the logit of each window."""
         x, mask = x
         p, h = self.p, HIDDEN
         t, n, _ = x.shape
         both = np.stack([x, x[::-1]])
         pre = np.matmul(both.reshape(2, t * n, -1), p["W"]).reshape(2, t, n, 3 * h) + p["b"][:, None]
         m = np.stack([mask, mask[::-1]])
-        state = np.zeros((2, n, h), np.float32)
-        states = np.zeros((2, t, n, h), np.float32)
+        state = np.zeros((2, n, h), x.dtype)
+        states = np.zeros((2, t, n, h), x.dtype)
         kept = []
         for k in range(t):
             r = np.matmul(state, p["U"])
@@ -142,18 +204,18 @@ class Model:
             states[:, k] = state
         joined = np.concatenate([states[0], states[1, ::-1]], axis=-1)
         hid = np.tanh(joined @ p["A"])
-        score = hid @ p["a"] + np.where(mask > 0, 0, -1e9).astype(np.float32)
+        score = hid @ p["a"] + np.where(mask > 0, 0, -1e9).astype(x.dtype)
         score = np.exp(score - score.max(axis=0))
         weight = score / score.sum(axis=0)
         pooled = (weight[..., None] * joined).sum(axis=0)
         logit = pooled @ p["v"] + p["c"][0]
         return (logit, (both, m, kept, joined, hid, weight, pooled)) if keep else logit
 
-    def backward(self, saved, d: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the parameters for d = d loss / d logit of each window."""
+    def backward(self, saved, d: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the word network and of its inputs for d = d loss / d logit of each window."""
         both, m, kept, joined, hid, weight, pooled = saved
         p, h = self.p, HIDDEN
-        g = {"v": pooled.T @ d, "c": np.array([d.sum()], np.float32)}
+        g = {"v": pooled.T @ d, "c": np.array([d.sum()], d.dtype)}
         dp = d[:, None] * p["v"]
         dj = weight[..., None] * dp
         dw = (joined * dp).sum(axis=-1)
@@ -165,7 +227,8 @@ class Model:
         t, n = both.shape[1:3]
         out = np.stack([dj[..., :h], dj[::-1, :, h:]])
         g |= {k: np.zeros_like(p[k]) for k in "WUb"}
-        ds_ = np.zeros((2, n, h), np.float32)
+        dx = np.zeros_like(both)
+        ds_ = np.zeros((2, n, h), d.dtype)
         for k in range(t - 1, -1, -1):
             ds_ = ds_ + out[:, k]
             state, zr, cand, rc = kept[k]
@@ -179,8 +242,25 @@ class Model:
             g["W"] += np.matmul(both[:, k].transpose(0, 2, 1), pre)
             g["b"] += pre.sum(axis=1, keepdims=True)
             g["U"] += np.matmul(state.transpose(0, 2, 1), rec)
+            dx[:, k] = np.matmul(pre, p["W"].transpose(0, 2, 1))
             ds_ = ds_ * (1 - z_ * mask) + np.matmul(rec, p["U"].transpose(0, 2, 1))
-        return g
+        return g, dx[0] + dx[1, ::-1]
+
+    def loss_step(self, words: Words | Sample, odds: np.ndarray, at: np.ndarray, slope) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Logits of the windows ``at`` (time, windows; -1: none) and all gradients, for d = slope(logits)."""
+        mask = (at >= 0).astype(odds.dtype)
+        used, inverse = np.unique(words.spelling[at], return_inverse=True)
+        inverse = inverse.reshape(at.shape)
+        spelt, saved_letters = self.spell(words.letters[used], words.size[used], keep=True)
+        x = self.inputs_of(odds[at], words.bucket[at], spelt[inverse]) * mask[..., None]
+        logit, saved = self.forward((x, mask), keep=True)
+        grads, dx = self.backward(saved, slope(logit))
+        dx = dx * mask[..., None]
+        grads["E"] = np.zeros_like(self.p["E"])
+        np.add.at(grads["E"], (words.bucket[at] & ((1 << EMBED_BITS) - 1)).ravel(), dx[..., 3 : 3 + EMBED].reshape(-1, EMBED))
+        d = np.zeros((len(used), 2 * CHAR_HIDDEN), dx.dtype)
+        np.add.at(d, inverse.ravel(), dx[..., 3 + EMBED :].reshape(-1, 2 * CHAR_HIDDEN))
+        return logit, grads | self.spell_back(saved_letters, d)
 
     # ---- windows
     @staticmethod
@@ -192,25 +272,30 @@ class Model:
         row = np.repeat(np.arange(len(count)), per)
         begin = first[row] + (np.arange(starts[-1]) - starts[row]) * STRIDE
         at = begin[:, None] + np.arange(WINDOW)
-        return np.where(at < first[row + 1][:, None], at, -1), row, starts
+        return np.where(at < first[row + 1][:, None], at, -1).astype(np.int32), row, starts
 
-    def logits(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Logit of each window of rows of ``padded`` (features; the last row is padding)."""
+    def logits(self, words: Words | Sample, odds: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Logit of each window (windows, WINDOW) of word places, -1 for none."""
         out = np.zeros(len(at), np.float32)
+        if not len(at):
+            return out
+        spelt = self.spell(words.letters, words.size)
         for k in range(0, len(at), LANES):
             part = np.ascontiguousarray(at[k : k + LANES].T)
-            out[k : k + LANES] = self.forward((padded[part], (part >= 0).astype(np.float32)))
+            mask = (part >= 0).astype(np.float32)
+            x = self.inputs_of(odds[part], words.bucket[part], spelt[words.spelling[part]]) * mask[..., None]
+            out[k : k + LANES] = self.forward((x, mask))
         return out
 
     def score(self, rows: list[str]) -> np.ndarray:
         """Score of each text: of its highest window; a text without words has the lowest one, 0."""
-        words, first, grams, begin, end = scan(rows)
-        at, row, starts = self.windows(first)
+        words = Words(rows)
+        at, row, starts = self.windows(words.first)
         best = np.full(len(rows), -np.inf, np.float32)
-        np.maximum.at(best, row, self.logits(self.padded([self.features(words, grams, begin, end)]), at))
+        np.maximum.at(best, row, self.logits(words, self.odds(words), at))
         return _sigmoid(best.astype(np.float64))
 
-    def fit(self, rows: list[str], y: list[int], epochs: int = 8, seed: int = 11) -> Model:
+    def fit(self, rows: list[str], y: list[int], epochs: int = EPOCHS, seed: int = 11) -> Model:
         y = np.array(y, np.int64)
         if not len(y) or y.min() == y.max():  # nothing to learn from: one class only
             self.p["v"][:] = 0
@@ -219,27 +304,26 @@ class Model:
         rng = np.random.default_rng(seed)
         # each half is described with the odds of the other, or a rare word would seem to tell its own document's label
         halves = np.arange(0, len(rows), 2), np.arange(1, len(rows), 2)
-        parts, sizes = [], []
+        parts = []
         for own, other in (halves, halves[::-1]):
             self.fit_odds([rows[i] for i in other], y[other])
             for _, part in pieces([rows[i] for i in own]):
-                words, first, grams, begin, end = scan(part)
-                parts.append(self.features(words, grams, begin, end))
-                sizes.append(np.diff(first))
+                w = Words(part)
+                parts.append((w, self.odds(w)))
+                del w.grams, w.begin, w.end
+        words = Sample(parts)
+        odds = words.odds
+        del parts
         self.fit_odds(rows, y)
         y = y[np.concatenate(halves)]
-        padded = self.padded(parts)
-        first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        del parts
-        at, row, starts = self.windows(first)
-        strength = padded[:, 0] + padded[:, 1]  # before the first epoch: the window with the strongest word
-        value = strength[at].max(axis=1)
+        at, row, starts = self.windows(words.first)
+        value = np.append(odds[:, 0] + odds[:, 1], np.float32(0))[at].max(axis=1)  # before the first epoch: the window with the strongest word
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
         for epoch in range(epochs):
             if epoch:
-                value = self.logits(padded, at)
+                value = self.logits(words, odds, at)
             order = np.lexsort((value, row))
             top = order[np.searchsorted(row[order], np.arange(len(rows)), "right") - 1]
             top = top[np.diff(starts) > 0]
@@ -254,22 +338,21 @@ class Model:
             perm = rng.permutation(len(use))
             for k in range(0, len(use), 64):
                 sel = perm[k : k + 64]
-                part = np.ascontiguousarray(at[use[sel]].T)
-                logit, saved = self.forward((padded[part], (part >= 0).astype(np.float32)), keep=True)
-                d = (_sigmoid(logit) - y[row[use[sel]]]) * weight[sel] / len(sel)
-                grads = self.backward(saved, d.astype(np.float32))
+                slope = lambda logit: ((_sigmoid(logit) - y[row[use[sel]]]) * weight[sel] / len(sel)).astype(np.float32)  # noqa: B023, E731
+                _, grads = self.loss_step(words, odds, np.ascontiguousarray(at[use[sel]].T), slope)
                 step += 1
                 for name, grad in grads.items():
                     grad = grad + 1e-4 * self.p[name]
                     mean[name] += 0.1 * (grad - mean[name])
                     square[name] += 0.001 * (grad**2 - square[name])
-                    self.p[name] -= (0.01 * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    rate = EMBED_RATE if name == "E" else RATE
+                    self.p[name] -= (rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS, max_chars: int = MAX_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) -> Model:
     """A model from at most ``rows_a_class`` labelled documents of either class, none held out."""
-    rows = labelled(docs, labels, "toxic", MODULUS, HELD_OUT, rows_a_class, max_chars)
+    rows = labelled(docs, labels, "toxic", MODULUS, HELD_OUT, rows_a_class)
     return Model().fit([t for t, _ in rows], [y for _, y in rows])
 
 
@@ -295,7 +378,12 @@ def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more; all columns are kept, in one scan."""
+    """``docs`` without those that score ``threshold`` or more; all columns are kept, in one scan.
+
+    Each row is judged by its own text: null and empty texts and texts without
+    words score 0 and stay, repeated rows go or stay together, ids (null ones too) play no part; an
+    empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

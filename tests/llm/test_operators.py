@@ -117,25 +117,77 @@ def test_classifier_edges(spark, edge, none, op):
 
 
 def test_recurrent_gradients():
-    """Backpropagation through time against differences."""
+    """Backpropagation through time, through words and letters, against differences."""
     rng = np.random.default_rng(1)
     m = toxicity.Model(3)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    x, mask = rng.normal(size=(5, 3, m.inputs)), np.ones((5, 3))
-    mask[3:, 1] = 0
+    words = toxicity.Words(["one word two words", "an extraordinary wordiness" + "x" * 30, "é one"])
+    odds = rng.normal(size=(len(words.bucket), 3))
+    at = np.array([[0, 1, 2, 3, -1], [4, 5, 6, 7, 8], [7, 8, 9, -1, -1]]).T
     w = rng.normal(size=3)
-    _, saved = m.forward((x, mask), keep=True)
-    grads = m.backward(saved, w)
+    logit, grads = m.loss_step(words, odds, at, lambda z: w)
+    assert set(grads) == set(m.p) and np.allclose(logit, m.logits(words, odds, at.T), atol=1e-5)
     for name in m.p:
         flat = m.p[name].reshape(-1)
-        for at in rng.integers(0, len(flat), 4):
-            held = flat[at]
-            flat[at] = held + 1e-3
-            up = m.forward((x, mask)) @ w
-            flat[at] = held - 1e-3
-            down = m.forward((x, mask)) @ w
-            flat[at] = held
-            assert abs((up - down) / 2e-3 - grads[name].reshape(-1)[at]) < 2e-2, name
+        some = np.flatnonzero(grads[name].reshape(-1))
+        for k in rng.choice(some, min(5, len(some)), replace=False):
+            held = flat[k]
+            flat[k] = held + 1e-4
+            up = m.loss_step(words, odds, at, lambda z: w)[0] @ w
+            flat[k] = held - 1e-4
+            down = m.loss_step(words, odds, at, lambda z: w)[0] @ w
+            flat[k] = held
+            assert abs((up - down) / 2e-4 - grads[name].reshape(-1)[k]) < 1e-4, name
+
+
+def slow_gru(xs, W, U, b):
+    h = np.zeros(U.shape[0])
+    out = []
+    n = len(h)
+    for x in xs:
+        g, r = x @ W + b, h @ U
+        z, rr = 1 / (1 + np.exp(-(g[:n] + r[:n]))), 1 / (1 + np.exp(-(g[n : 2 * n] + r[n : 2 * n])))
+        h = (1 - z) * h + z * np.tanh(g[2 * n :] + rr * r[2 * n :])
+        out.append(h)
+    return out
+
+
+def test_scores_match_a_plain_network():
+    """Whole texts, one word and one letter at a time."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdé1"), int(n))) for n in rng.integers(1, 12, 40)] + ["y" * 60]
+    rows = [" ".join(rng.choice(vocabulary, n)) for n in (1, 5, 31, 32, 33, 50, 200)] + ["", "!!"]
+    m = toxicity.Model(5)
+    m.word_odds, m.gram_odds = (rng.normal(size=1 << 16).astype(np.float32) for _ in range(2))
+    p, got = m.p, m.score(rows)
+    for text, score in zip(rows, got):
+        w = toxicity.Words([text])
+        odds, xs = m.odds(w), []
+        for k in range(len(w.bucket)):
+            own = w.letters[w.spelling[k]][: w.size[w.spelling[k]]]
+            spelt = np.concatenate([slow_gru(p["C"][o], p["Wc"][i], p["Uc"][i], p["bc"][i])[-1] for i, o in enumerate((own, own[::-1]))])
+            xs.append(np.concatenate([odds[k], p["E"][w.bucket[k] & 4095], spelt]))
+        best = -np.inf
+        for a in range(0, max(1, len(xs) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if xs else ():
+            part = xs[a : a + toxicity.WINDOW]
+            both = np.concatenate([slow_gru(part, p["W"][0], p["U"][0], p["b"][0, 0]), slow_gru(part[::-1], p["W"][1], p["U"][1], p["b"][1, 0])[::-1]], axis=1)
+            e = np.exp(np.tanh(both @ p["A"]) @ p["a"])
+            best = max(best, (e / e.sum()) @ both @ p["v"] + p["c"][0])
+        assert abs(score - 1 / (1 + np.exp(-best))) < 1e-4
+
+
+def test_votes_match_plain_cosines():
+    """Every document against every labelled vector, one at a time."""
+    rng = np.random.default_rng(9)
+    rows = [" ".join(rng.choice(["alpha", "beta", "Gamma!", "delta 9", "eps"], n)) for n in rng.integers(1, 60, 80)]
+    labelled = [(t, int(k % 2)) for k, t in enumerate(rows[:50])]
+    frequency = sum((p > 0).sum(axis=0) for p in quality._parts(rows))
+    m = quality.fit(labelled, frequency, len(rows))
+    for text, got in zip(rows, m.score(rows)):
+        x = m.weighted(quality.terms([text]))[0].astype(np.float64) @ m.basis
+        near = sorted(((float(x @ v / np.linalg.norm(x)), y) for v, y in zip(m.vectors.astype(np.float64), m.votes)), reverse=True)[: quality.NEIGHBOURS]
+        weights = [max(c, 1e-6) ** 4 for c, _ in near]
+        assert abs(got - sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights)) < 0.02
 
 
 def test_toxic_words_are_learnt():
@@ -231,6 +283,11 @@ def test_edits(spark, edge, none, data):
             assert r["fingerprint"] == fingerprint.Prefix(t).fingerprint() and r["edited_fingerprint"] == fingerprint.Prefix(edited).fingerprint()
             assert 0 <= r["near_next"] <= 1 and (edited != t or r["near_edited"] == 1)
     assert fingerprint.with_edits(edge).count() == edge.count()
+    hot = spark.createDataFrame([(None if i % 3 else i, f"text {i} " * 9) for i in range(600)], "doc_id long, text string")
+    cut = fingerprint._bucketed(hot, sorted({(k, -(2**63) + i * 2**62) for k in (-(2**63), 300) for i in range(4)})).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in cut) < 200 and sum(r["count"] for r in cut) == 600
+    own = {r["edited_sha256"] for r in fingerprint.with_edits(hot, 9).collect()}
+    assert len(own) == 600
     assert fingerprint.with_edits(none).count() == 0
 
 
@@ -318,10 +375,25 @@ def test_transducer_on_odd_texts():
 
     t = Tokenizer.from_file(public_tokenizers.path(token_counts.TOKENIZER))
     m = token_counts.machine(token_counts.TOKENIZER)
-    odd = ["don't I'll 'tis 'sat 'rex 'lemon 've 'vex ''s !'s", "x" * 1000, "İstanbul ΑΣ ς", "<|endoftext|>a <|startoftext|> <|ENDOFTEXT|>", "'", " 'r", "'l", "a" * 257 + " b", "日本語 한국어 😀😀 ١٢٣ Ⅷ ½", " x y", "é"]
+    odd = ["don't I'll 'tis 'sat 'rex 'lemon 've 'vex ''s !'s", "x" * 1000, "İstanbul ΑΣ ς", "日本" * 2000, "aGVsbG8gd29ybGQ" * 700, "a" * 9000 + "b" * 4001, "x1" * 600, "'s" * 900, "<|endoftext|>a <|startoftext|> <|ENDOFTEXT|>", "'", " 'r", "'l", "a" * 257 + " b", "日本語 한국어 😀😀 ١٢٣ Ⅷ ½", " x y", "é"]
     assert m.counts(odd).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in odd]
 
 
+def test_scan_with_small_chunks(monkeypatch):
+    """Chunks, looks back and map tables so small that the scan has to ask for entry states."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(token_counts.TOKENIZER))
+    for chunk, warm, entries in ((7, 1, 3), (16, 2, 8), (64, 1, 2)):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        monkeypatch.setattr(token_counts, "WARM", warm)
+        monkeypatch.setattr(token_counts, "ENTRIES", entries)
+        m = token_counts.Machine(public_tokenizers.path(token_counts.TOKENIZER))
+        rng = np.random.default_rng(chunk)
+        odd = ["".join(rng.choice(list("abst'1é日 !"), int(rng.integers(0, 300)), p=[0.2, 0.2, 0.15, 0.15, 0.06, 0.06, 0.06, 0.06, 0.01, 0.05])) for _ in range(60)] + ["the" * 300, "internationalization" * 40]
+        assert m.counts(odd).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in odd]
+
+
 # ---- personal data
 def brute_spans(text):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
