@@ -186,10 +186,19 @@ LADDER_WORDS = (
 def canonical_title(title: Column) -> tuple[Column, Column]:
     """(role_family, seniority): whole titles, then rules, then words; a founder counts as C; else General Management and IC."""
     low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    exact = F.create_map(*[F.lit(x) for t, fam, sen in EXACT_TITLES for x in (t, f"{fam}|{sen}")])
-    rule = F.coalesce(*[F.when(low.contains(t), F.lit(f"{fam}|{sen}")) for t, fam, sen in TITLE_RULES])
-    word = lambda table: F.coalesce(*[F.when(low.rlike(rf"\b({'|'.join(words)})\b"), F.lit(name)) for name, words in table])
-    found = word(FAMILY_WORDS)
-    ladder = F.coalesce(word(LADDER_WORDS), F.when(found == "Founder", "C"), F.lit("IC"))
-    told = F.coalesce(F.try_element_at(exact, low), rule, F.concat_ws("|", F.coalesce(found, F.lit("General Management")), ladder))
+    table = lambda rows: F.array(*[F.struct(F.lit(a).alias("text"), F.lit(b).alias("told")) for a, b in rows])  # noqa: E731  (constants: folded to one literal)
+    words = lambda rows: table((f" {w.replace('-', ' ')} ", name) for name, own in rows for w in own)
+    first = lambda rows, hit: F.try_element_at(F.filter(rows, hit), F.lit(1))["told"]
+
+    def tell(t: Column) -> Column:
+        padded = F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9_]", " "), F.lit(" "))
+        found = first(words(FAMILY_WORDS), lambda x: padded.contains(x["text"]))
+        ladder = F.coalesce(first(words(LADDER_WORDS), lambda x: padded.contains(x["text"])), F.when(found == "Founder", "C"), F.lit("IC"))
+        return F.coalesce(
+            first(table((t, f"{fam}|{sen}") for t, fam, sen in EXACT_TITLES), lambda x: t == x["text"]),
+            first(table((t, f"{fam}|{sen}") for t, fam, sen in TITLE_RULES), lambda x: t.contains(x["text"])),
+            F.concat_ws("|", F.coalesce(found, F.lit("General Management")), ladder),
+        )
+
+    told = F.transform(F.array(low), tell)[0]
     return F.split_part(told, F.lit("|"), F.lit(1)), F.split_part(told, F.lit("|"), F.lit(2))
