@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on; bounds a Python worker's memory.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 #: Rows up to which a counted side may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 50_000
 
@@ -65,6 +66,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it likes
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``size`` text bytes (one row at least)."""
     for batch in batches:
@@ -78,6 +88,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -106,7 +117,7 @@ def word_table() -> np.ndarray:
 
 _POWERS: list[np.ndarray] = []
 #: Powers that a worker keeps; those of a longer text are made for it and let go.
-KEPT_POWERS = 1 << 22
+KEPT_POWERS = 1 << 21
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

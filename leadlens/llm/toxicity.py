@@ -35,7 +35,7 @@ THRESHOLD = 0.5
 #: Passes over the sample, and step sizes (of the word embeddings a smaller one: each sees few words).
 EPOCHS, RATE, EMBED_RATE = 6, 0.01, 0.001
 #: Windows that go through the recurrent steps together.
-LANES = 2048
+LANES = 1024
 MODULUS, HELD_OUT = 5, 0
 
 
@@ -366,7 +366,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, size=1 << 20):
+        for batch in blocks(batches, size=1 << 19):
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(held.value.score(texts(batch)), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -387,7 +387,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, size=1 << 20):
+        for batch in blocks(batches, size=1 << 19):
             yield batch.filter(pa.array(held.value.score(texts(batch)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
