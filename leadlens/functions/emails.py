@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,6 +101,56 @@ def name_from_local(email: Column) -> Column:
     return F.when(F.size(parts) >= 2, F.concat_ws(" ", F.initcap(parts[0]), F.initcap(F.element_at(parts, -1))))
 
 
+def followed(local_part: Column, first: Column, last: Column) -> Column:
+    """array<string>: every pattern that gives the local part from normalised names."""
+    return F.array_compact(F.array(*[F.when(localpart(p, first, last) == local_part, F.lit(p)) for p in PATTERNS]))
+
+
+#: Older templates beside the patterns, by preference: (first, between, last), each a part's name ("f", "l": initials).
+TEMPLATES = (("first", ".", "last"), ("first", "_", "last"), ("first", "", "last"), ("f", "", "last"), ("first", "", "l"), ("f", ".", "last"), ("first", ".", "l"), ("first", "-", "last"), ("last", "", "first"), ("last", ".", "first"), ("last", "", "f"), ("l", "", "first"))
+
+
+def template(parts: tuple[str, str, str], fn: Column, ln: Column) -> Column:
+    """A template filled with folded names; blank parts stay blank."""
+    value = {"first": fn, "last": ln, "f": F.substring(fn, 1, 1), "l": F.substring(ln, 1, 1)}
+    return F.concat(value[parts[0]], F.lit(parts[1]), value[parts[2]])
+
+
+def candidates(first: Column, last: Column, domain: Column, folded_first: Column, folded_last: Column, preferred: Column | None = None, only: str | None = None, cap: int = MAX_PERMUTATIONS) -> Column:
+    """array<string>: the addresses to try for a person, in order; without role addresses, at most ``cap``.
+
+    Patterns come first (the preferred one before all, cut to ``MAX_PERMUTATIONS`` before roles are
+    left out), then older templates on names folded to ASCII. ``only``: one pattern, or one template as "{first}.{last}".
+    """
+    fn, ln = (F.regexp_replace(c, "[^a-z0-9]", "") for c in (folded_first, folded_last))
+    if only in PATTERNS:
+        own = [x for x in (F.lower(F.coalesce(c, F.lit(""))) for c in (first, last))]
+        locals_ = F.array(localpart(only, *(F.regexp_replace(c, "[^a-z0-9]", "") for c in own)))
+    elif only:
+        parts = re.fullmatch(r"\{(\w+)\}(.?)\{(\w+)\}", only)
+        locals_ = F.array(template(parts.groups(), fn, ln)) if parts else F.array(F.lit(""))
+    else:
+        locals_ = F.concat(F.transform(permutations(first, last, preferred), lambda x: x["localpart"]), F.array(*[template(t, fn, ln) for t in TEMPLATES]))
+    dom = F.lower(F.trim(domain))
+    whole = F.transform(F.filter(locals_, lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.concat(x, F.lit("@"), dom))
+    kept = F.slice(F.array_distinct(F.filter(whole, lambda e: ~is_role_or_placeholder(e))), 1, max(cap, 0))
+    usable = (F.concat(F.coalesce(first, F.lit("")), F.coalesce(last, F.lit(""))) != "") & (F.coalesce(domain, F.lit("")) != "")
+    return F.when(usable, kept).otherwise(F.array().cast("array<string>"))
+
+
+def shape(locals_: Column) -> Column:
+    """The template that a domain's published local parts (array) suggest: separators, then initial and name, then name, then name and initial."""
+    some = lambda pattern: F.exists(locals_, lambda x: x.rlike(pattern))
+    return (
+        F.when(some(r"^[^.]+\.[^.]+$"), "{first}.{last}")
+        .when(some("^[^_]+_[^_]+$"), "{first}_{last}")
+        .when(some("^[^-]+-[^-]+$"), "{first}-{last}")
+        .when(some("^[a-z][a-z0-9]+$"), "{f}{last}")
+        .when(some("^[a-z0-9]{6,}$"), "{first}{last}")
+        .when(some("^[a-z0-9]+[a-z]$"), "{first}{l}")
+    )
+
+
 def pattern_of(local_part: Column, first: Column, last: Column) -> Column:
     """The first pattern that gives a local part from a name; NULL if none does."""
     every = permutations(first, last, limit=len(PATTERNS))

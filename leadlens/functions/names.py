@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name particles that belong to the surname, titles and suffixes around a name, words kept low in titles, abbreviations.
-PARTICLES = frozenset("da de del della der den di do dos du la le lo van von vom zu zum zur bin ibn al el af av ter ten".split())
-HONORIFICS = frozenset("mr mrs ms miss dr prof sir".split())
-SUFFIXES = frozenset("jr sr ii iii iv phd md cpa mba esq".split())
+#: Name particles that belong to the surname (of two words: both), titles and suffixes around a name, words kept low in titles, abbreviations.
+PARTICLES = frozenset("da das de del della di dos du la le van von bin binti ibn al el".split())
+TWO_PARTICLES = frozenset(("de la", "de los", "de las", "van der", "van de", "van den", "von der", "von den", "von dem", "auf der", "op de", "op den"))
+HONORIFICS = frozenset("mr mrs ms miss mx dr prof".split())
+SUFFIXES = frozenset("jr sr ii iii iv phd md mba cpa esq".split())
 SMALL = frozenset("a an and as at by for in of on or the to with".split())
 ABBREVIATIONS = {x.lower(): x for x in "CEO CFO COO CTO CIO CMO CRO CPO VP SVP EVP AVP HR IT PR QA R&D UI UX PhD MBA B2B SaaS AI ML".split()}
 #: Legal forms: (tokens at a name's end, displayed form).
@@ -59,45 +60,104 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()) or None, na_action="ignore")
 
 
+@arrow("string")
+def ascii_fold(s: pd.Series) -> pd.Series:
+    """Lower case, without diacritics; what isn't ASCII then is dropped; white space collapsed."""
+    return s.map(lambda x: " ".join(_fold(x).encode("ascii", "ignore").decode("ascii").split()).lower(), na_action="ignore")
+
+
+@arrow("string")
+def idna(s: pd.Series) -> pd.Series:
+    """A domain in NFKC, trimmed, lower case, its labels in their ASCII form if they have one."""
+
+    def one(x: str) -> str | None:
+        low = unicodedata.normalize("NFKC", x).strip().lower()
+        try:
+            return low.encode("idna").decode("ascii")
+        except UnicodeError:
+            return low
+
+    return s.map(lambda x: one(x) if x else None, na_action="ignore")
+
+
 @arrow("string")
 def strip_diacritics(s: pd.Series) -> pd.Series:
     return s.map(_fold, na_action="ignore")
 
 
-def split_person(full: str | None) -> tuple[str | None, str | None]:
-    """(first, last): honorifics and suffixes dropped; CJK names have the surname first; particles join the surname."""
-    tokens = [t for t in (full or "").split() if t.strip(".,").lower() not in HONORIFICS and t.strip(".,").lower() not in SUFFIXES]
-    if not tokens:
-        return None, None
-    if len(tokens) == 1:
-        return tokens[0], None
+def split_hard(full: str | None) -> tuple[str, str]:
+    """(first, last): CJK names have the surname first; particles at the end join the surname, single ones and pairs."""
+    tokens = unicodedata.normalize("NFKC", full or "").split()
+    if len(tokens) < 2:
+        return (tokens[0] if tokens else ""), ""
     if re.search(CJK, full or ""):
         return " ".join(tokens[1:]), tokens[0]
+    low = [t.lower() for t in tokens]
     cut = len(tokens) - 1
-    while cut > 1 and tokens[cut - 1].lower() in PARTICLES:
-        cut -= 1
+    while cut > 0:
+        if low[cut - 1] in PARTICLES:
+            cut -= 1
+        elif cut > 1 and f"{low[cut - 2]} {low[cut - 1]}" in TWO_PARTICLES:
+            cut -= 2
+        else:
+            break
     return " ".join(tokens[:cut]), " ".join(tokens[cut:])
 
 
+def without_affixes(full: str | None) -> str:
+    """A name without one honorific run in front and the suffixes behind."""
+    tokens = [t for t in re.split(r"[^\w\-'.]+", (full or "").strip()) if t]
+    bare = [t.strip(".").lower() for t in tokens]
+    start = next((k for k, t in enumerate(bare) if t not in HONORIFICS), len(tokens))
+    stop = len(tokens)
+    while stop > start and bare[stop - 1] in SUFFIXES:
+        stop -= 1
+    return " ".join(tokens[start:stop])
+
+
+def _capitals(token: str) -> str:
+    """The first letter, and the first behind a hyphen or an apostrophe, as capitals."""
+    return re.sub(r"([^\W\d_])([^\-–'’ʼʹꞌ]*)", lambda m: m.group(1).upper() + m.group(2).lower(), token)
+
+
+def display_name(first: str | None, last: str | None) -> tuple[str, str]:
+    """Both parts in display case; particles of the surname stay low."""
+    out = []
+    tokens = unicodedata.normalize("NFKC", last or "").split()
+    for k, t in enumerate(tokens):
+        low = t.lower()
+        out.append(low if low in PARTICLES or (k and f"{tokens[k - 1].lower()} {low}" in TWO_PARTICLES) else _capitals(t))
+    return " ".join(map(_capitals, unicodedata.normalize("NFKC", first or "").split())), " ".join(out)
+
+
+def split_person(full: str | None) -> tuple[str | None, str | None]:
+    """(first, last) of a full name in display case, without honorifics and suffixes; blank parts as None."""
+    first, last = display_name(*split_hard(without_affixes(full)))
+    return first or None, last or None
+
+
 @arrow("first string, last string")
 def split_name(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([split_person(x) for x in s], columns=["first", "last"], index=s.index)
 
 
-def _person(text: str) -> str | None:
-    words = []
-    for k, w in enumerate(text.split()):
-        if k and w.lower() in PARTICLES:
-            words.append(w.lower())
-        else:
-            words.append(re.sub(r"[^\W\d_]+", lambda m: m.group()[0].upper() + m.group()[1:].lower(), w))
-    return " ".join(words) or None
+@arrow("first string, last string")
+def split_parts(s: pd.Series) -> pd.DataFrame:
+    """First and last name as they are written; blank if there is none."""
+    return pd.DataFrame([split_hard(x) for x in s], columns=["first", "last"], index=s.index)
+
+
+@arrow("first string, last string, error string")
+def norm_parts(first: pd.Series, last: pd.Series) -> pd.DataFrame:
+    """Display case of both parts; the error name.empty if nothing is left."""
+    rows = [display_name(f, x) for f, x in zip(first, last)]
+    return pd.DataFrame([(f, x, None if f or x else "name.empty") for f, x in rows], columns=["first", "last", "error"], index=first.index)
 
 
 @arrow("string")
 def norm_person(s: pd.Series) -> pd.Series:
-    """Display case of a person's name; particles stay low, ' and - start a new capital."""
-    return s.map(_person, na_action="ignore")
+    """Display case of a whole name."""
+    return s.map(lambda x: " ".join(filter(None, display_name(*split_hard(x)))) or None, na_action="ignore")
 
 
 def _title(text: str) -> str | None:

@@ -116,3 +116,31 @@ def dsn_reason(raw: Column) -> Column:
         .when(low.rlike("mailbox full|over quota|quota exceeded"), "mailbox_full")
         .when(low.rlike("spam|blocked|policy|blacklist"), "policy_block")
     )
+
+
+def sequential_probe(code: Column, category: Column, catch_all: Column) -> Column:
+    """struct(status, reason) of one probe in the sequential walk: by category, or else by code; a 2xx counts by what is known of the domain."""
+    known = F.lower(F.trim(catch_all))
+    told = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+    accepted = F.when(known == "catch_all", told("risky_catch_all", "rcpt_2xx_catchall")).when(known == "not_catch_all", told("valid", "rcpt_2xx_accepted")).otherwise(told("valid", "rcpt_2xx_catchall_unconfirmed"))
+    return (
+        F.when(category == "accept", accepted)
+        .when(category.isin("reject", "hard_fail"), told("invalid", "rcpt_rejected"))
+        .when(category == "temp_fail", told("temp_fail", "temp_fail"))
+        .when(category == "block", told("unknown", "blocked"))
+        .when(code.between(200, 299), accepted)
+        .when(code.between(500, 599), told("invalid", "rcpt_5xx_rejected"))
+        .when(code.between(400, 499), told("temp_fail", "smtp_temp_error"))
+        .otherwise(told("unknown", "unknown"))
+    )
+
+
+#: Keys of the behaviour hint, the first that is there counts.
+HOSTILE_KEYS = ("probing_hostile", "probe_hostile", "probe_hostile_mx")
+
+
+def probe_hostile(behaviour: Column) -> Column:
+    """Whether a host's behaviour (JSON text) says that it dislikes probing."""
+    held = F.from_json(behaviour, "map<string,string>")
+    first = F.coalesce(*[F.when(F.map_contains_key(held, k), F.coalesce(F.try_element_at(held, F.lit(k)), F.lit(""))) for k in HOSTILE_KEYS])
+    return F.coalesce(~F.lower(first).isin("", "false", "0", "null"), F.lit(False))
