@@ -9,18 +9,18 @@ parse suffix behind it. Two strings of ``LENGTH`` bytes are neighbours in that o
 they are equal, so what repeats is read off two sorted tables:
 
 1. Suffix array of the parse: for each trigger, the parse suffix behind it, cut where it
-   covers ``LENGTH`` bytes, as names of its first, its next two and its other
-   phrases (64 bits each; with the name of the phrase before it, 256 bits a
-   comparison). The common prefix with its neighbours decides most starts: if
-   suffix and phrase before equal a neighbour's, every start in that phrase repeats; if the longest
-   common prefix that is possible is too short, none does.
+   covers ``LENGTH`` bytes, as a string of phrase names (16 bits each, and 64 bits of
+   the whole with the phrase before it). The longest common prefix with its
+   neighbours decides most starts: if suffix and phrase before equal a neighbour's,
+   every start in that phrase repeats; if the common prefix can't fill ``LENGTH``, none does.
 2. Suffix array of the dictionary, combined with the parse: the starts left, where repeats begin
-   or end, are sorted by the bytes of their phrase suffix, the name of the whole phrases
-   behind it, and the bytes of the phrase prefix that fills ``LENGTH``. Equal
-   neighbours repeat. Of occurrences that agree in step 1 one at either side stands for all.
+   or end, are sorted by the name of their phrase suffix (64 bits) and then by that of what the
+   parse puts behind it to fill ``LENGTH`` (32 bits). Equal neighbours repeat.
+   Of occurrences that agree in step 1 one at either side stands for all.
 
-Phrases are ordered by name, not by the alphabet: any order of the phrases
-makes an order of the corpus in which equal strings meet. Both tables are range
+Phrases and their suffixes are ordered by name (hash), not by the alphabet: any order of
+them makes an order of the corpus in which equal strings meet, and names are what the disk
+budget has room for: the bytes themselves would take 9 times the input. Both tables are range
 partitioned with the place itself as last key, so a passage that a third of all
 documents hold is spread over partitions as evenly as any other; a partition's first and last rows go on as
 undecided (step 1) or are compared once more (step 2). Nothing is collected.
@@ -36,11 +36,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import MULT, blocks, column, materialize, mix, powers
+from leadlens.llm.common import MULT, blocks, column, materialize, mix, powers, trim
 
-LENGTH, TRIGGER, PERIOD = 400, 12, 40
+LENGTH, TRIGGER, PERIOD = 400, 12, 64
 #: Furthest start before a trigger whose window still holds the trigger.
 REACH = LENGTH - TRIGGER
+#: Phrases of a parse suffix that have a name each (further ones share one), and the longest length that is kept of a phrase.
+PHRASES, LONG = 16, 255
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * MULT)
 
@@ -71,33 +73,31 @@ class Text:
         inside = at + TRIGGER <= self.end[row]
         return at[inside], row[inside]
 
-    def parse(self) -> dict[str, np.ndarray]:
-        """For each trigger that ends a phrase: row, place, names k1, k2, k3 of the parse suffix and ``before`` of the phrase before, packed distances.
-
-        Distances behind the trigger: where the first and the first three phrases
-        end; before it: the nearest and furthest start of a whole window in the phrase.
-        """
+    def parse(self) -> tuple[np.ndarray, ...]:
+        """For each trigger that ends a phrase with whole windows: row, place, nearest and furthest start before it, 64-bit name of that phrase and the suffix; and of each suffix the number of phrases, their names and lengths."""
         at, row = self.triggers()
         n = len(at)
         index = np.arange(n)
-        opens = np.concatenate([[True], row[1:] != row[:-1]]) if n else np.zeros(0, bool)
-        closes = np.concatenate([row[1:] != row[:-1], [True]]) if n else opens
+        opens = np.concatenate([[True], row[1:] != row[:-1]])[:n]
+        closes = np.concatenate([row[1:] != row[:-1], [True]])[-n:] if n else opens
         begin = np.where(opens, self.start[row], np.concatenate([[0], at[:-1]])[:n])
         end = np.where(closes, self.end[row], np.concatenate([at[1:], [0]])[:n] + TRIGGER)  # of the phrase that a trigger begins
         row_last = np.flatnonzero(closes)[np.cumsum(opens) - 1] if n else index
         last = np.minimum(np.searchsorted(at, at + LENGTH - 2 - TRIGGER, "right") - 1, row_last)  # the phrase that reaches LENGTH
-        second, third = np.minimum(index + 1, last), np.minimum(index + 2, last)
-        k1 = self.hash(at, end)
-        k2 = np.where(last > index, self.hash(at[second], end[third]), np.uint64(0))
-        fourth = np.minimum(index + 3, last)
-        k3 = np.where(last > index + 2, self.hash(at[fourth], end[last]), np.uint64(0))
-        before = self.hash(begin, at + TRIGGER)
         far = np.minimum(at - begin, REACH)
-        near = np.clip(at + LENGTH - self.end[row], 1, 511)
-        one, three = (np.minimum(x - at, LENGTH) for x in (end, end[third]))
+        near = np.clip(at + LENGTH - self.end[row], 1, LENGTH)
         use = np.flatnonzero(far >= near)
-        packed = far | near << 9 | one << 18 | three << 27
-        return {k: v[use] for k, v in {"row": row, "at": at, "k1": k1, "k2": k2, "k3": k3, "before": before, "packed": packed}.items()}
+        name, size = (self.hash(at, end) >> np.uint64(48)).astype(np.uint16), np.minimum(end - at, LONG).astype(np.uint8)
+        count = np.minimum(last[use] - use + 1, PHRASES)
+        stop = np.cumsum(count)
+        phrase = np.repeat(use - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)
+        names, sizes = name[phrase], size[phrase]
+        many = np.flatnonzero(last[use] - use + 1 > PHRASES)  # the last name stands for all further phrases
+        more = use[many] + PHRASES - 1
+        names[stop[many] - 1] = (self.hash(at[more], end[last[use[many]]]) >> np.uint64(48)).astype(np.uint16)
+        sizes[stop[many] - 1] = LONG
+        whole = self.hash(begin[use], end[last[use]])
+        return row[use], at[use], near[use], far[use], whole, count, names, sizes
 
     def without_trigger(self) -> tuple[np.ndarray, np.ndarray]:
         """row and start of the windows that hold no trigger behind their first byte."""
@@ -112,9 +112,9 @@ class Text:
         return np.repeat(rows, count), np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-PARSE = "k1 long, k2 long, k3 long, before long, doc long, low int, packed long"
+PARSE = "suffix binary, whole long, doc long, low int, span int, near int, sizes binary"
 FOUND = "doc long, low int, span int, todo boolean"
-#: Values of ``packed`` for runs that only pass through step 1 (k2: their length less one): repeated, or to be sorted in step 2.
+#: Values of ``near`` for runs that only pass through step 1: repeated, or to be sorted in step 2.
 REPEATED, TODO = -1, -2
 
 
@@ -126,90 +126,117 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted starts -> row, first and length less one of their runs."""
-    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
-    return row[new], start[new], np.diff(np.append(new, len(row))) - 1
+def _runs(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of starts -> row, first and length less one of what they make up together."""
+    if not len(row):
+        return row, low, high
+    order = np.lexsort((low, row))
+    row, low, high = row[order], low[order], high[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (low[1:] > np.maximum.accumulate(high)[:-1] + 1)]))
+    return row[new], low[new], np.maximum.reduceat(high, new) - low[new]
+
+
+def _strings(size: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Byte strings of the given sizes that stand one behind the other in ``data``."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         text, doc = Text(_bytes(batch)), column(batch, "doc").to_numpy()
-        p = text.parse()
-        parts = [tuple(p[k].view(np.int64) for k in ("k1", "k2", "k3", "before")) + (doc[p["row"]], p["at"] - text.start[p["row"]], p["packed"])]
-        row, start = text.without_trigger()
-        _, first, which, n = np.unique(text.hash(start, start + LENGTH), return_index=True, return_inverse=True, return_counts=True)
-        again = np.flatnonzero(n[which] > 1)  # periodic stretches: settled here but for one of each window
-        for at, kind in ((again, REPEATED), (np.sort(first), TODO)):
-            r, low, span = _runs(row[at], start[at])
-            spread = mix(doc[r].view(np.uint64) + low.astype(np.uint64)).view(np.int64)
-            parts.append((spread, span, np.zeros_like(span), spread, doc[r], low - text.start[r], np.full(len(r), kind)))
-        k1, k2, k3, before, docs, low, packed = (np.concatenate(x) for x in zip(*parts))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, k3, before, docs, low.astype(np.int32), packed)], _names(PARSE))
-
-
-def _with_next(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
-    """Sorted batches, each with (per key prefix) whether a row equals its predecessor and its successor, and which rows are the partition's first or last."""
-    held: pa.RecordBatch | None = None
-    before: pa.RecordBatch | None = None  # one row
-
-    def told(rows: pa.RecordBatch, after: pa.RecordBatch | None):
-        n = rows.num_rows
-        prev_all, next_all, out = np.ones(n, bool), np.ones(n, bool), []
-        for name in keys:
-            col = column(rows, name)
-            inner = pc.equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
-            prev_all = prev_all & np.concatenate([[before is not None and column(before, name)[0] == col[0]], inner])
-            next_all = next_all & np.concatenate([inner, [after is not None and column(after, name)[0] == col[n - 1]]])
-            out.append((prev_all, next_all))
-        edge = np.zeros(n, bool)
-        edge[0], edge[-1] = before is None, edge[-1] or after is None or (n == 1 and before is None)
-        return rows, out, edge
+        row, at, near, far, whole, count, names, sizes = text.parse()
+        # a suffix with its phrase before that the block has again: its starts are settled here, one of it goes on
+        _, first, which, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(n[which] > 1)
+        own_row, own = text.without_trigger()
+        _, own_first, own_which, own_n = np.unique(text.hash(own, own + LENGTH), return_index=True, return_inverse=True, return_counts=True)
+        twice, alone = np.flatnonzero(own_n[own_which] > 1), np.sort(own_first)
+        kept = np.zeros(len(row), bool)
+        kept[first] = True
+        arrays = [_strings(2 * count[kept], names[np.repeat(kept, count)]), pa.array(whole[kept].view(np.int64)), pa.array(doc[row[kept]]), pa.array((at - text.start[row])[kept].astype(np.int32)), pa.array(far[kept].astype(np.int32)), pa.array(near[kept].astype(np.int32)), _strings(count[kept], sizes[np.repeat(kept, count)])]
+        yield pa.RecordBatch.from_arrays(arrays, _names(PARSE))
+        settled = (np.concatenate([row[again], own_row[twice]]), np.concatenate([(at - far)[again], own[twice]]), np.concatenate([(at - near)[again], own[twice]]))
+        for (r, low, span), kind in ((_runs(*settled), REPEATED), (_runs(own_row[alone], own[alone], own[alone]), TODO)):
+            spread = mix(doc[r].view(np.uint64) + low.astype(np.uint64))  # anywhere in the order
+            arrays = [_strings(np.full(len(r), 8), spread.view(np.uint8)), pa.array(spread.view(np.int64)), pa.array(doc[r]), pa.array((low - text.start[r]).astype(np.int32)), pa.array(span.astype(np.int32)), pa.array(np.full(len(r), kind, np.int32)), _strings(np.zeros(len(r), np.int64), np.zeros(0, np.uint8))]
+            yield pa.RecordBatch.from_arrays(arrays, _names(PARSE))
+
+
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int]]:
+    """Sorted batches, each between the row before and the row behind it; and where its own rows begin and stop."""
+    held = before = None
+
+    def frame(after: pa.RecordBatch | None) -> tuple[pa.RecordBatch, int, int]:
+        parts = [x for x in (before, held, after) if x is not None]
+        joined = pa.RecordBatch.from_arrays([pa.concat_arrays([x.column(k) for x in parts]) for k in range(held.num_columns)], schema=held.schema)
+        begin = int(before is not None)
+        return joined, begin, begin + held.num_rows
 
     for batch in batches:
         if not batch.num_rows:
             continue
         if held is not None:
-            yield told(held, batch.slice(0, 1))
+            yield frame(batch.slice(0, 1))
             before = held.slice(held.num_rows - 1)
         held = batch
     if held is not None:
-        yield told(held, None)
+        yield frame(None)
+        trim()
+
+
+def _units(strings: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as rows of numbers of ``width`` bytes, filled up with zeros, and how many each has."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    kind = np.uint16 if width == 2 else np.uint8
+    data = strings.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy().view(kind) if data is not None and offsets[-1] > offsets[0] else np.zeros(0, kind)
+    count = np.diff(offsets) // width
+    out = np.zeros((len(count), PHRASES), kind)
+    out[np.arange(PHRASES) < count[:, None]] = flat
+    return out, count
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The parse's suffix array -> runs of starts that repeat, and (todo) those that step 2 tells apart."""
-    for rows, (one, three, all_, same), edge in _with_next(batches, ["k1", "k2", "k3", "before"]):
-        packed, at, span = (column(rows, c).to_numpy() for c in ("packed", "low", "k2"))
-        plain = packed >= 0
-        far, near, first, third = packed & 511, packed >> 9 & 511, packed >> 18 & 511, packed >> 27 & 511
-        reach = np.where(edge, LENGTH, 0)
-        for side in (0, 1):  # the longest common prefix that may be, with the next different neighbour on either side
-            reach = np.maximum(reach, np.where(same[side], 0, np.where(three[side], LENGTH, np.where(one[side], third, first))))
+    for frame, begin, stop in _framed(batches):
+        suffix, count = _units(column(frame, "suffix"), 2)
+        size, _ = _units(column(frame, "sizes"), 1)
+        whole, at, span, near = (column(frame, c).to_numpy() for c in ("whole", "low", "span", "near"))
+        size = size.astype(np.int64)
+        end = np.cumsum(size - TRIGGER, axis=1) + TRIGGER  # of each phrase, behind the trigger
+        end[(np.cumsum(size == LONG, axis=1) > 0) | (size == 0)] = LENGTH
+        common = np.cumprod((suffix[1:] == suffix[:-1]) & (np.arange(PHRASES) < np.minimum(count[1:], count[:-1])[:, None]), axis=1).sum(axis=1)
+        alike = (common == count[1:]) & (common == count[:-1])
+        same = alike & (whole[1:] == whole[:-1])
+        rows = np.arange(begin, stop)
+        again, reach = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
+        for pair in (rows - 1, rows):  # with the row before, and with the row behind
+            there = (pair >= 0) & (pair < len(same))
+            pair = np.clip(pair, 0, max(len(same) - 1, 0))
+            if not len(same):
+                reach[:] = LENGTH
+                continue
+            bound = np.where(alike[pair], LENGTH, end[rows, np.minimum(common[pair], PHRASES - 1)])  # a common prefix ends in the first phrase that differs
+            again |= there & same[pair]
+            reach = np.maximum(reach, np.where(there, np.where(same[pair], 0, bound), LENGTH))  # at a partition's border: unknown
+        at, span, near = at[rows], span[rows], near[rows]
+        plain = near >= 0
         nearest = np.maximum(near, LENGTH - reach)
-        again, left = plain & (same[0] | same[1]), plain & (nearest <= far)
-        parts = [(again, at - far, far - near, False), (left, at - far, far - nearest, True), (packed == REPEATED, at, span, False), (packed == TODO, at, span, True)]
+        left = plain & (nearest <= span)
+        parts = [(plain & again, at - span, span - near, False), (left, at - span, span - nearest, True), (near == REPEATED, at, span, False), (near == TODO, at, span, True)]
+        docs = column(frame, "doc").slice(begin, stop - begin)
         for pick, low, length, todo in parts:
             if pick.any():
-                yield pa.RecordBatch.from_arrays([column(rows, "doc").filter(pa.array(pick)), pa.array(low[pick].astype(np.int32)), pa.array(length[pick].astype(np.int32)), pa.array(np.full(pick.sum(), todo))], _names(FOUND))
-
+                yield pa.RecordBatch.from_arrays([docs.filter(pa.array(pick)), pa.array(low[pick].astype(np.int32)), pa.array(length[pick].astype(np.int32)), pa.array(np.full(pick.sum(), todo))], _names(FOUND))
 
-STARTS = "alpha binary, mid long, tail binary, doc long, low int"
 
-
-def _cuts(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The byte strings flat[begin:end]."""
-    size = end - begin
-    stop = np.cumsum(size)
-    data = flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int32)), pa.py_buffer(data)])
+STARTS = "alpha long, rest int, doc long, low int"
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the runs left -> each start's phrase suffix, name of the whole phrases behind it, and phrase prefix that fills the window."""
+    """Texts with the runs left -> the names of each start's phrase suffix, and of what fills the window behind it."""
     for batch in blocks(batches, size=1 << 20):
-        raw = _bytes(batch)
-        text, flat = Text(raw), np.frombuffer(b"".join(raw), np.uint8)
+        text = Text(_bytes(batch))
         at, _ = text.triggers()
         at = np.append(at, text.n + LENGTH)
         lows, spans = column(batch, "lows"), column(batch, "spans")
@@ -221,24 +248,29 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.repeat(row[part], count)
             start = np.repeat(low[part] + text.start[row[part]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             k = np.searchsorted(at, start, "right")
-            q = np.searchsorted(at, start + REACH, "right") - 1
-            some = at[k] <= start + REACH
-            q = np.maximum(q, 0)
-            alpha_end = np.where(some, at[k] + TRIGGER, start + LENGTH)
-            tail = np.where(some, at[q] + TRIGGER, start + LENGTH)
-            mid = np.where(some, text.hash(np.where(some, at[k], 0), np.where(some, at[q] + TRIGGER, 0)), np.uint64(0))
-            arrays = [_cuts(flat, start, alpha_end), pa.array(mid.view(np.int64)), _cuts(flat, tail, start + LENGTH), pa.array(column(batch, "doc").to_numpy()[own]), pa.array((start - text.start[own]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, _names(STARTS))
+            some = at[k] <= start + REACH  # else the window is one phrase's, or the document ends in it
+            cut = np.where(some, at[k] + TRIGGER, start + LENGTH)
+            rest = (text.hash(np.where(some, at[k], start), start + LENGTH) >> np.uint64(32)).astype(np.uint32)
+            arrays = [text.hash(start, cut).view(np.int64), rest.view(np.int32), column(batch, "doc").to_numpy()[own], (start - text.start[own]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], _names(STARTS))
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The combined order -> starts with an equal neighbour, and a partition's first and last rows, with their keys (a null mid: no such row)."""
-    for rows, equal, edge in _with_next(batches, ["alpha", "mid", "tail"]):
-        prev, after = equal[-1]
-        for pick, keyed in ((prev | after, False), (edge, True)):
-            if pick.any():
-                own = rows.filter(pa.array(pick))
-                keys = [column(own, c) if keyed else pa.nulls(own.num_rows, t) for c, t in (("alpha", pa.binary()), ("mid", pa.int64()), ("tail", pa.binary()))]
+    """The combined order -> starts with an equal neighbour, and a partition's first and last rows, with their keys (a null alpha: no such row)."""
+    for frame, begin, stop in _framed(batches):
+        equal = np.ones(max(frame.num_rows - 1, 0), bool)
+        for name in ("alpha", "rest"):
+            col = column(frame, name)
+            equal &= pc.equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        equal = np.concatenate([[False], equal, [False]])
+        edge = np.zeros(frame.num_rows, bool)
+        edge[[0, -1]] = begin == 0, stop == frame.num_rows
+        if frame.num_rows == 1:
+            edge[0] = True
+        for pick, keyed in (((equal[1:] | equal[:-1]), False), (edge, True)):
+            own = frame.slice(begin, stop - begin).filter(pa.array(pick[begin:stop]))
+            if own.num_rows:
+                keys = [column(own, c) if keyed else pa.nulls(own.num_rows, t) for c, t in (("alpha", pa.int64()), ("rest", pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*keys, column(own, "doc"), column(own, "low")], _names(STARTS))
 
 
@@ -270,16 +302,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("doc", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
     long = docs.where(F.octet_length("text") >= LENGTH).select("doc", "text")
-    order = ["k1", "k2", "k3", "before", "doc", "low"]
+    order = ["suffix", "whole", "doc", "low"]
     parse = long.mapInArrow(_scan, PARSE).repartitionByRange(*order).sortWithinPartitions(*order)
     found = materialize(parse.mapInArrow(_settle, FOUND))
     todo = found.where("todo").groupBy("doc").agg(F.collect_set(F.struct("low", "span")).alias("s"))
     starts = long.join(todo, "doc").select("doc", "text", F.col("s.low").alias("lows"), F.col("s.span").alias("spans")).mapInArrow(_starts, STARTS)
-    order = ["alpha", "mid", "tail", "doc", "low"]
+    order = ["alpha", "rest", "doc", "low"]
     told = materialize(starts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeated, STARTS))
     # windows that begin or end a partition: two rows of each
-    split = told.where("mid is not null").groupBy("alpha", "mid", "tail").agg(F.count("*").alias("n"), F.collect_set(F.struct("doc", "low")).alias("s")).where("n > 1").select(F.explode("s").alias("s")).select("s.doc", "s.low")
-    single = told.where("mid is null").select("doc", "low").union(split)
+    split = told.where("alpha is not null").groupBy("alpha", "rest").agg(F.count("*").alias("n"), F.collect_set(F.struct("doc", "low")).alias("s")).where("n > 1").select(F.explode("s").alias("s")).select("s.doc", "s.low")
+    single = told.where("alpha is null").select("doc", "low").union(split)
     spans = found.where("not todo").select("doc", "low", "span").union(single.select("doc", "low", F.lit(0).alias("span")))
     spans = spans.groupBy("doc").agg(F.collect_set(F.struct("low", "span")).alias("s"))
     all_ = docs.join(spans, "doc", "left").select("doc_id", "text", F.col("s.low").alias("lows"), F.col("s.span").alias("spans"))
