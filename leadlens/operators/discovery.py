@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,3 +45,50 @@ def manual_outcome():
     """Outcome of a manual candidate from domain, verify_status and no_mx."""
     blank = F.coalesce(F.trim("domain"), F.lit("")) == ""
     return F.when(blank, "error").when(F.col("verify_status").isin("valid", "risky_catch_all"), "verified").when(F.coalesce("no_mx", F.lit(False)), "no_mx").otherwise("invalid")
+
+
+#: Words of a profile's address that aren't names; endings of domains left out of keywords; spellings of roles.
+NOT_NAMES = ("ceo", "cfo", "coo", "cto", "cio", "chro", "cmo", "president", "founder", "cofounder", "co", "director", "vp", "svp", "evp", "chief", "officer", "executive", "managing", "partner", "chairman", "mba", "phd", "cpa", "mpa", "jd", "md", "pmp", "cfa", "cfp", "sphr", "shrm", "cissp", "inc", "llc", "ltd")
+ROLE_SPELLINGS = {"CEO": ("ceo", "chief executive officer", "chief executive"), "CFO": ("cfo", "chief financial officer", "chief finance officer"), "COO": ("coo", "chief operating officer", "chief operations officer"), "CTO": ("cto", "chief technology officer", "chief technical officer"), "CIO": ("cio", "chief information officer"), "CHRO": ("chro", "chief human resources officer", "chief people officer", "chief hr officer"), "CMO": ("cmo", "chief marketing officer")}
+DASH = r"\s*[–—-]\s*"
+
+
+def profile_name(url: Column) -> Column:
+    """struct(first, last) out of a profile's address; trailing ids and words that aren't names are left off; NULL below two parts."""
+    slug = F.lower(F.try_url_decode(F.nullif(F.regexp_extract(url, r"linkedin\.com/in/([^/?#]+)", 1), F.lit(""))))
+    bare = F.regexp_replace(slug, r"(-[0-9a-f]{4,})+$", "")
+    word = "|".join(NOT_NAMES)
+    bare = F.regexp_replace(F.regexp_replace(bare, rf"(-({word}))+$", ""), rf"^(({word})-)+", "")
+    parts = F.split(bare, "-")
+    return F.when(F.size(parts) >= 2, F.struct(F.initcap(parts[0]).alias("first"), F.initcap(parts[1]).alias("last")))
+
+
+def _pieces(title: Column) -> Column:
+    """A result title's parts between dashes, without the site's name."""
+    return F.split(F.regexp_replace(title, r"(?i)\s*[|–—-]\s*LinkedIn.*$", ""), DASH)
+
+
+def title_name(title: Column) -> Column:
+    """struct(first, last) of a result title's first part; NULL below two words, or if one of them is none."""
+    words = F.filter(F.split(_pieces(title)[0], r"\s+"), lambda w: w != "")
+    first, last = F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(-1))
+    return F.when((F.size(words) >= 2) & ~F.lower(first).isin(*NOT_NAMES) & ~F.lower(last).isin(*NOT_NAMES), F.struct(first.alias("first"), last.alias("last")))
+
+
+def title_company(title: Column) -> Column:
+    """The company of a result title: the last of three parts, or what follows "at" in the last of two; else blank."""
+    parts = _pieces(title)
+    last = F.trim(F.element_at(parts, -1))
+    return F.lower(F.when(F.size(parts) >= 3, last).when(F.size(parts) == 2, F.trim(F.regexp_extract(last, r"(?i)\bat\s+(.+)$", 1))).otherwise(""))
+
+
+def matches_role(title: Column, snippet: Column, role: str) -> Column:
+    """A spelling of the role stands in the title's role part, or (without one) anywhere in title and snippet."""
+    parts = _pieces(title)
+    two = F.regexp_replace(F.trim(F.element_at(parts, -1)), r"(?i)^(.+?)\s+at\s+.*$", "$1")
+    told = F.lower(F.trim(F.when(F.size(parts) >= 3, parts[1]).when(F.size(parts) == 2, two).otherwise("")))
+    text = F.when(told != "", told).otherwise(F.lower(F.concat_ws(" ", title, snippet)))
+    out = F.lit(False)
+    for spelling in ROLE_SPELLINGS.get(role.upper(), (role.lower(),)):
+        out = out | text.contains(spelling)
+    return out
