@@ -28,6 +28,7 @@ undecided (step 1) or are compared once more (step 2). Nothing is collected.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ LENGTH, TRIGGER, PERIOD = 400, 12, 64
 REACH = LENGTH - TRIGGER
 #: Phrases of a parse suffix that have a name each (further ones share one), and the longest length that is kept of a phrase.
 PHRASES, LONG = 16, 255
+#: Passes over the starts of step 2, each for a share of the names: bounds what is on disk at once.
+PASSES = 4
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * MULT)
 
@@ -233,8 +236,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 STARTS = "alpha long, rest int, doc long, low int"
 
 
-def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the runs left -> the names of each start's phrase suffix, and of what fills the window behind it."""
+def _starts(batches: Iterator[pa.RecordBatch], share: int, shares: int) -> Iterator[pa.RecordBatch]:
+    """Texts with the runs left -> the names of each start's phrase suffix (those of one share), and of what fills the window behind it."""
     for batch in blocks(batches, size=1 << 20):
         text = Text(_bytes(batch))
         at, _ = text.triggers()
@@ -250,8 +253,11 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = np.searchsorted(at, start, "right")
             some = at[k] <= start + REACH  # else the window is one phrase's, or the document ends in it
             cut = np.where(some, at[k] + TRIGGER, start + LENGTH)
+            alpha = text.hash(start, cut)
+            on = np.flatnonzero((alpha >> np.uint64(32)) % np.uint64(shares) == np.uint64(share))
+            start, own, some, k = start[on], own[on], some[on], k[on]
             rest = (text.hash(np.where(some, at[k], start), start + LENGTH) >> np.uint64(32)).astype(np.uint32)
-            arrays = [text.hash(start, cut).view(np.int64), rest.view(np.int32), column(batch, "doc").to_numpy()[own], (start - text.start[own]).astype(np.int32)]
+            arrays = [alpha[on].view(np.int64), rest.view(np.int32), column(batch, "doc").to_numpy()[own], (start - text.start[own]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], _names(STARTS))
 
 
@@ -306,9 +312,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     parse = long.mapInArrow(_scan, PARSE).repartitionByRange(*order).sortWithinPartitions(*order)
     found = materialize(parse.mapInArrow(_settle, FOUND))
     todo = found.where("todo").groupBy("doc").agg(F.collect_set(F.struct("low", "span")).alias("s"))
-    starts = long.join(todo, "doc").select("doc", "text", F.col("s.low").alias("lows"), F.col("s.span").alias("spans")).mapInArrow(_starts, STARTS)
+    runs = materialize(long.join(todo, "doc").select("doc", "text", F.col("s.low").alias("lows"), F.col("s.span").alias("spans")))
     order = ["alpha", "rest", "doc", "low"]
-    told = materialize(starts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeated, STARTS))
+    told = None
+    for share in range(PASSES):
+        starts = runs.mapInArrow(functools.partial(_starts, share=share, shares=PASSES), STARTS)
+        part = materialize(starts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeated, STARTS))
+        told = part if told is None else told.union(part)
     # windows that begin or end a partition: two rows of each
     split = told.where("alpha is not null").groupBy("alpha", "rest").agg(F.count("*").alias("n"), F.collect_set(F.struct("doc", "low")).alias("s")).where("n > 1").select(F.explode("s").alias("s")).select("s.doc", "s.low")
     single = told.where("alpha is null").select("doc", "low").union(split)
