@@ -6,14 +6,17 @@ whole, written-out addresses). Labelers vote on every candidate: its form by
 regular expression, its checksum or ranges, gazetteers, and its context.
 Expectation-maximisation over all documents' vote patterns estimates how
 reliable each labeler is, per kind, and a logistic span classifier is trained
-on the posteriors; candidates that it accepts are added to the base spans.
+on the posteriors: it sees votes and, by kind, the span's shape (digits,
+separators, what stands on either side), which no labeler votes on. Candidates
+that it accepts are added to the base spans.
 
-What reaches the driver is a count for each vote pattern, of which there is a
-fixed number at most, whatever the corpus.
+What reaches the driver is a count for each pattern of votes and shape, of which
+there is a fixed number at most, whatever the corpus.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -127,6 +130,18 @@ def votes(text: str, span: tuple[str, int, int]) -> tuple[int, ...]:
     return form, check, gazetteer, context, -1 if inside else 1
 
 
+#: Values of each part of a shape.
+SHAPE = (5, 4, 3, 3)
+
+
+def shape(text: str, span: tuple[str, int, int]) -> tuple[int, ...]:
+    """Digits (none, up to 9, 12, 15, more), separators (none, of one kind, two, more), and what stands before and behind (space, mark, letter or digit)."""
+    _, start, end = span
+    own = text[start:end]
+    side = lambda c: 0 if not c or c.isspace() else 2 if c.isalnum() else 1
+    return bisect.bisect_left((0, 9, 12, 15), len(_digits(own))), min(3, len({c for c in own if not c.isalnum()})), side(text[start - 1 : start]), side(text[end : end + 1])
+
+
 @dataclass
 class Model:
     """reliability: per kind, P(vote v | class) of each labeler; weights of the span classifier."""
@@ -136,25 +151,34 @@ class Model:
     weights: np.ndarray
 
     @staticmethod
-    def features(kind: str, v: tuple[int, ...]) -> np.ndarray:
-        out = np.zeros(len(KINDS) + 3 * 5, np.float64)
-        out[KINDS.index(kind)] = 1
+    def features(kind: str, v: tuple[int, ...], form: tuple[int, ...]) -> np.ndarray:
+        own = KINDS.index(kind)
+        out = np.zeros(len(KINDS) + 3 * 5 + len(KINDS) * sum(SHAPE), np.float64)
+        out[own] = 1
         for k, x in enumerate(v):
             out[len(KINDS) + 3 * k + x + 1] = 1
+        at = len(KINDS) + 3 * 5 + own * sum(SHAPE)
+        for x, n in zip(form, SHAPE):
+            out[at + x] = 1
+            at += n
         return out
 
-    def probability(self, kind: str, v: tuple[int, ...]) -> float:
-        return float(1 / (1 + np.exp(-self.features(kind, v) @ self.weights)))
+    def probability(self, kind: str, v: tuple[int, ...], form: tuple[int, ...]) -> float:
+        return float(1 / (1 + np.exp(-self.features(kind, v, form) @ self.weights)))
 
 
-def fit(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> Model:
-    """EM per kind over vote patterns with counts, then a logistic classifier on the posteriors."""
+def fit(counts: dict[tuple[str, tuple[int, ...], tuple[int, ...]], int], rounds: int = 50) -> Model:
+    """EM per kind over vote patterns with counts, then a logistic classifier of votes and shapes on the posteriors."""
     reliability, prior, rows = {}, {}, []
     for kind in KINDS:
-        patterns = sorted(v for k, v in counts if k == kind)
+        voted: dict[tuple[int, ...], int] = {}
+        for (k, v, _), c in counts.items():
+            if k == kind:
+                voted[v] = voted.get(v, 0) + c
+        patterns = sorted(voted)
         if not patterns:
             continue
-        n = np.array([counts[kind, v] for v in patterns], np.float64)
+        n = np.array([voted[v] for v in patterns], np.float64)
         votes_ = np.array(patterns) + 1
         post = 1 / (1 + np.exp(-np.array(patterns).sum(axis=1, dtype=np.float64)))  # begin with the majority
         for _ in range(rounds):
@@ -168,8 +192,9 @@ def fit(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> Mod
             log = np.log(table[:, np.arange(votes_.shape[1]), votes_]).sum(axis=2)
             post = 1 / (1 + np.exp(np.clip(np.log(1 - p) - np.log(p) + log[0] - log[1], -60, 60)))
         reliability[kind], prior[kind] = table, float(p)
-        rows += [(Model.features(kind, v), y, w) for v, y, w in zip(patterns, post, n)]
-    weights = np.zeros(len(KINDS) + 15)
+        belief = dict(zip(patterns, post))
+        rows += [(Model.features(kind, v, f), belief[v], c) for (k, v, f), c in sorted(counts.items()) if k == kind]
+    weights = np.zeros(len(Model.features("email", (), ())))
     if rows:
         x, y, w = (np.array(c) for c in zip(*rows))
         w = np.sqrt(w) / np.sqrt(w).sum()  # rare patterns count too
@@ -179,7 +204,7 @@ def fit(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> Mod
     return Model(reliability, prior, weights)
 
 
-def _pattern_counts(docs: DataFrame) -> dict[tuple[str, tuple[int, ...]], int]:
+def _pattern_counts(docs: DataFrame) -> dict[tuple[str, tuple[int, ...], tuple[int, ...]], int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for batch in blocks(batches):
@@ -187,15 +212,16 @@ def _pattern_counts(docs: DataFrame) -> dict[tuple[str, tuple[int, ...]], int]:
                 if ANY.search(text):
                     base = base_spans(text)
                     for span in base + candidates(text, base):
-                        key = f"{span[0]}:" + ",".join(map(str, votes(text, span)))
+                        key = f"{span[0]}:" + ":".join(",".join(map(str, x)) for x in (votes(text, span), shape(text, span)))
                         seen[key] = seen.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 4 * 3**5 patterns at most
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 4 * 3**5 * 180 short patterns at most
     out = {}
     for r in rows:
-        kind, _, v = r["pattern"].partition(":")
-        out[kind, tuple(map(int, v.split(",")))] = r["n"]
+        kind, *parts = r["pattern"].split(":")
+        v, form = (tuple(map(int, x.split(","))) for x in parts)
+        out[kind, v, form] = r["n"]
     return out
 
 
@@ -225,7 +251,7 @@ def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                     continue
                 base, added = base_spans(text), []
                 for span in candidates(text, base):
-                    key = (span[0], votes(text, span))
+                    key = (span[0], votes(text, span), shape(text, span))
                     if key not in chance:
                         chance[key] = model.value.probability(*key)
                     if chance[key] >= threshold:
