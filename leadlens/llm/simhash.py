@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.llm import graph, near_copies
-from leadlens.llm.common import column, materialize, maybe_broadcast
+from leadlens.llm.common import column, fresh, materialize, maybe_broadcast
 
 WIDTH, SEED = 3, 42
 #: Members beyond which an anchor is split over finer anchors.
@@ -214,11 +214,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     texts are decided each by its own group. Rows without a doc_id can't be
     named by a component and stay.
     """
+    id_, mark_ = fresh(docs, "_id", "_mark")
     found = materialize(near_copies_of(docs).where("doc_id is not null"))
     best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
-    gone = found.join(best, "component_id").where((F.col("doc_id") != F.col("best.doc_id")) | (F.col("mark") != F.col("best.mark"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": F.xxhash64(F.col("text").cast("string"))})
-    kept = own.join(maybe_broadcast(materialize(gone)), ["__id", "__mark"], "left_anti")
+    gone = found.join(best, "component_id").where((F.col("doc_id") != F.col("best.doc_id")) | (F.col("mark") != F.col("best.mark"))).select(F.col("doc_id").alias(id_), F.col("mark").alias(mark_)).distinct()
+    own = docs.withColumns({id_: F.col("doc_id").cast("long"), mark_: F.xxhash64(F.col("text").cast("string"))})
+    kept = own.join(maybe_broadcast(materialize(gone)), [id_, mark_], "left_anti")
     if not found.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
-        kept = kept.where("__id is not null").dropDuplicates(["__id", "__mark"]).union(kept.where("__id is null"))
-    return kept.select(docs.columns)
+        kept = kept.where(F.col(id_).isNotNull()).dropDuplicates([id_, mark_]).union(kept.where(F.col(id_).isNull()))
+    return kept.select([F.col(f"`{c}`") for c in docs.columns])
