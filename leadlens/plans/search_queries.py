@@ -55,9 +55,9 @@ def search_export_state(spark, d):
     return out
 
 
-@query(over_tenants("SELECT id, email FROM t WHERE lower(full_name) LIKE '%a_m%' OR lower(title) LIKE '%a_m%' OR lower(company) LIKE '%a_m%' OR lower(email) LIKE '%a_m%'"))
+@query(over_tenants("SELECT id, email FROM t WHERE lower(full_name) LIKE '%o_e%' OR lower(title) LIKE '%o_e%' OR lower(company) LIKE '%o_e%' OR lower(email) LIKE '%o_e%'"))
 def search_substring(spark, d):
-    return leads.search(tenant_leads(spark, d), text="A_M").select("id", "email")
+    return leads.search(tenant_leads(spark, d), text="O_E").select("id", "email")
 
 
 @query(over_tenants("SELECT id, verified_at FROM t WHERE verified_at IS NULL AND id < 3000 ORDER BY id DESC LIMIT 40"))
