@@ -45,7 +45,7 @@ REACH = LENGTH - TRIGGER
 #: Phrases of a parse suffix that have a name each (further ones share one), and the longest length that is kept of a phrase.
 PHRASES, LONG = 16, 255
 #: Passes over the starts of step 2, each for a share of the names: bounds what is on disk at once.
-PASSES = 4
+PASSES = 3
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * MULT)
 
