@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlens.llm import decontaminate, fingerprint, line_dedup, packing, pii, quality, resampling, simhash, suffix_dedup, token_counts, toxicity
+from leadlens.llm import conversations, decontaminate, fingerprint, line_dedup, packing, pii, quality, resampling, simhash, suffix_dedup, token_counts, toxicity
 from leadlens.llm.common import table
 
 
@@ -54,9 +54,13 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.op12(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_quality, op4_toxicity, op5_line_dedup, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts, op10_pii, op11_resample)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_quality, op4_toxicity, op5_line_dedup, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts, op10_pii, op11_resample, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op11_resample": resampling.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op11_resample": resampling.ORACLE, "op12_conversation_repair": conversations.ORACLE}
