@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlens.llm import conversations, decontaminate, fingerprint, line_dedup, packing, pii, quality, resampling, simhash, suffix_dedup, token_counts, toxicity
+from leadlens.llm import conversations, decontaminate, fingerprint, line_dedup, packing, pii, quality, resampling, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 from leadlens.llm.common import table
 
 
@@ -58,8 +58,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.op12(table(spark, sf_dir, "conversations"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_quality, op4_toxicity, op5_line_dedup, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts, op10_pii, op11_resample, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_quality, op4_toxicity, op5_line_dedup, op6_packing, op7_fingerprint, op8_simhash, op9_token_counts, op10_pii, op11_resample, op12_conversation_repair, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
