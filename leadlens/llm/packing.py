@@ -56,7 +56,9 @@ class Encoder:
     The tokenizer's own split always ends a unit before a space that is
     followed by a non-space, so pieces cut there are encoded independently. A
     text that holds one of the tokenizer's added tokens is one piece. Pieces are
-    known by a 64-bit hash; what is remembered is arrays of bounded size.
+    found by a 64-bit hash and known by their code points: one that shares its
+    hash with another, or is longer than ``LONG``, is encoded by itself. What is
+    remembered is arrays of bounded size.
     """
 
     def __init__(self, path: str):
@@ -69,15 +71,16 @@ class Encoder:
 
     def reset(self) -> None:
         self.keys, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
+        self.letters, self.first, self.length = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
-    def _pieces(self, rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All texts as one string; begin, end and key of each piece; pieces of each row."""
+    def _pieces(self, rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts as one string and as code points; begin, end and key of each piece; pieces of each row."""
         joined = "".join(rows)
         flat = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         start = np.cumsum(sizes) - sizes
         if not len(flat):
-            return joined, *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0, np.uint64), np.zeros(len(rows), np.int64)
+            return joined, flat, *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0, np.uint64), np.zeros(len(rows), np.int64)
         first = np.zeros(len(flat), bool)
         first[:-1] = (flat[:-1] == 32) & ~_blank()[flat[1:]]
         first[(start + sizes - 1)[sizes > 0]] = False  # a text's last space leads nothing
@@ -91,9 +94,9 @@ class Encoder:
         sums = np.zeros(len(flat) + 1, np.uint64)
         np.cumsum((flat + np.uint64(1)) * up[: len(flat)], out=sums[1:])
         keys = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-        return joined, begin, end, keys, np.diff(np.searchsorted(begin, np.append(start, len(flat))))
+        return joined, flat, begin, end, keys, np.diff(np.searchsorted(begin, np.append(start, len(flat))))
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin, size and ids of the pieces, encoded now."""
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, encoded), np.int64, len(encoded))
@@ -101,35 +104,61 @@ class Encoder:
 
     def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and each text's number of them."""
-        if len(self.keys) * 14 + len(self.ids) * 4 > REMEMBERED:
+        if len(self.keys) * 19 + (len(self.ids) + len(self.letters)) * 4 > REMEMBERED:
             self.reset()
-        joined, begin, end, keys, per = self._pieces(rows)
+        joined, flat, begin, end, keys, per = self._pieces(rows)
+        length = end - begin
         distinct, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        alone = length > LONG  # pieces that are encoded by themselves
+        other = np.flatnonzero(~alone & (at[which] != np.arange(len(keys))))
+        alone[other[~_equal(flat, begin[other], length[other], flat, begin[at[which[other]]], length[at[which[other]]])]] = True
         near = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[near] != distinct) if len(self.keys) else np.arange(len(distinct))
-        old = len(self.ids)
+        held = self.keys[near] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        met = np.flatnonzero(held & ~alone[at])
+        wrong = met[~_equal(flat, begin[at[met]], length[at[met]], self.letters, self.first[near[met]].astype(np.int64), self.length[near[met]].astype(np.int64))]
+        alone |= np.isin(which, wrong)
         where, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         if len(self.keys):
             where, size = self.begin[near].astype(np.int64), self.size[near].astype(np.int64)
-        ids = self.ids
-        if len(new):
-            b, n, more = self._learn(distinct[new], [joined[i:j] for i, j in zip(begin[at[new]].tolist(), end[at[new]].tolist())])
-            where[new], size[new] = old + b, n
+        new = np.flatnonzero(~held & ~alone[at])
+        single = np.flatnonzero(alone)
+        asked = np.concatenate([at[new], single])
+        old, ids = len(self.ids), self.ids
+        if len(asked):
+            b, n, more = self._learn([joined[i:j] for i, j in zip(begin[asked].tolist(), end[asked].tolist())])
             ids = np.concatenate([ids, more])
+            where[new], size[new] = old + b[: len(new)], n[: len(new)]
+        where, size = where[which], size[which]
+        if len(single):
+            where[single], size[single] = old + b[len(new) :], n[len(new) :]
         # the end id of each text stands behind its pieces
-        ids = np.append(ids, np.uint32(END_ID))
+        used = np.append(ids, np.uint32(END_ID))
         ends = np.cumsum(per)
-        place, count = np.insert(where[which], ends, len(ids) - 1), np.insert(size[which], ends, 1)
+        place, count = np.insert(where, ends, len(used) - 1), np.insert(size, ends, 1)
         stop = np.cumsum(count)
-        flat = ids[np.arange(stop[-1]) + np.repeat(place - (stop - count), count)] if len(rows) else ids[:0]
+        out = used[np.arange(stop[-1]) + np.repeat(place - (stop - count), count)] if len(rows) else used[:0]
         counts = np.diff(np.concatenate([[0], stop[ends + np.arange(len(rows))]]))
         if len(new):
-            keep = new[(end - begin)[at[new]] <= LONG]
-            into = np.searchsorted(self.keys, distinct[keep])
-            self.keys = np.insert(self.keys, into, distinct[keep])
-            self.begin, self.size = np.insert(self.begin, into, where[keep].astype(np.uint32)), np.insert(self.size, into, size[keep].astype(np.uint16))
-            self.ids = ids[:-1]
-        return flat, counts
+            into = np.searchsorted(self.keys, distinct[new])
+            self.keys = np.insert(self.keys, into, distinct[new])
+            self.begin, self.size = np.insert(self.begin, into, (old + b[: len(new)]).astype(np.uint32)), np.insert(self.size, into, n[: len(new)].astype(np.uint16))
+            size = length[at[new]]
+            self.first = np.insert(self.first, into, (len(self.letters) + np.cumsum(size) - size).astype(np.uint32))
+            self.length = np.insert(self.length, into, size.astype(np.uint8))
+            self.letters = np.concatenate([self.letters, flat[np.repeat(begin[at[new]] - (np.cumsum(size) - size), size) + np.arange(size.sum())]])
+            self.ids = ids[: old + int(n[: len(new)].sum())]
+        return out, counts
+
+
+def _equal(a: np.ndarray, begin_a: np.ndarray, size_a: np.ndarray, b: np.ndarray, begin_b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether each run of ``a`` equals its run of ``b``; none is empty."""
+    if not len(begin_a):
+        return np.zeros(0, bool)
+    size = np.minimum(size_a, size_b)
+    first = np.cumsum(size) - size
+    step = np.arange(size.sum())
+    apart = a[step + np.repeat(begin_a - first, size)] != b[step + np.repeat(begin_b - first, size)]
+    return (size_a == size_b) & ~np.logical_or.reduceat(apart, first)
 
 
 _ENCODERS: dict[str, Encoder] = {}
