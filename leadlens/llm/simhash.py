@@ -188,7 +188,7 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def near_copies_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, component_id) for every row: components by links of two bits and by those of ``near_copies``.
+    """(doc_id, mark, component_id) for every row: components of texts at ``near_copies``' similarity, found by two bits or by its bands.
 
     mark: xxhash64 of the text. component_id: a value of the component's own, no
     doc_id: two components may hold rows of one doc_id.
@@ -199,8 +199,8 @@ def near_copies_of(docs: DataFrame) -> DataFrame:
     same = held.join(least, "fp").select(F.col("least").alias("a"), F.col("class").alias("b")).where("a <> b")
     ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab"]
     close = links(least.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
-    known = materialize(same.union(close.where("a <> b")).distinct())
-    roots = graph.connected_components(near_copies.links(docs, signed, known))
+    likely = materialize(same.union(close.where("a <> b")).distinct())
+    roots = graph.connected_components(near_copies.links(docs, signed, likely))
     rooted = signed.join(roots.withColumnRenamed("node", "class"), "class", "left")
     return rooted.select("doc_id", "mark", F.coalesce("root", "class").alias("component_id"))
 
@@ -208,8 +208,8 @@ def near_copies_of(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: of the smallest doc_id, and of its texts the one of least hash.
 
-    Near copies: two bits of the SimHash at most, or a Jaccard similarity of
-    five-word shingles of 0.8 or more; links go on from text to text. Rows are
+    Near copies: a Jaccard similarity of five-word shingles of 0.8 or more, told
+    by the whole sets; links go on from text to text. Rows are
     told apart by doc_id and text, so rows that repeat a doc_id with different
     texts are decided each by its own group. Rows without a doc_id can't be
     named by a component and stay.

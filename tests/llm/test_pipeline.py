@@ -118,3 +118,28 @@ def test_stages_on_edge_cases(spark, data, edge, none, edge_rows):
 
 def edge_rows_text(rows, doc_id):
     return next(t for d, t in rows if d == doc_id)
+
+
+def test_near_copy_stage_among_template_pages(spark):
+    """Pages of one template, at 0.747 to each other, with pairs at over 0.8: each pair is joined, and no page to another pair's."""
+    import random
+
+    rng = random.Random(9)
+    frame = [f"t{i}" for i in range(430)]
+
+    def page(own):
+        return " ".join(frame[:200] + own + frame[200:])
+
+    rows = []
+    for k in range(150):
+        own = [f"p{k}x{i}" for i in range(70)]
+        rows.append((2 * k, page(own)))
+        words = page(own).split()
+        for at in rng.sample(range(10, 490), 8):
+            words[at] = f"e{k}x{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    assert jaccard(rows[0][1], rows[1][1]) >= 0.8 > jaccard(rows[0][1], rows[2][1]) > 0.7
+    near = {d for d in range(0, 300, 2) if jaccard(rows[d][1], rows[d + 1][1]) >= 0.8}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()}
+    assert kept == {d for d, _ in rows} - {d + 1 for d in near} and len(near) > 140
