@@ -141,14 +141,14 @@ def title_reason(title: Column) -> Column:
 
 def candidate_reason(name: Column, email: Column) -> Column:
     """Why a candidate isn't stored; NULL if it may be: placeholder and role addresses, names, neither of both."""
-    why = person_name_reason(name)
-    return (
+    told = lambda why: (  # noqa: E731  (the name's reason is worked out once)
         F.when(~_blank(email) & is_placeholder(email), F.concat(F.lit("placeholder_email:"), _local(email)))
         .when(is_role_email(email) & _blank(name), "role_email_no_name")
         .when(is_role_email(email) & why.isNotNull(), F.concat(F.lit("role_email_invalid_name:"), why))
         .when(~_blank(name) & why.isNotNull(), F.concat(F.lit("invalid_name:"), why))
         .when(_blank(name) & _blank(email), "no_name_or_email")
     )
+    return F.transform(F.array(person_name_reason(name)), told)[0]
 
 
 def clean_title(title: Column) -> Column:

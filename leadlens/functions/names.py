@@ -202,14 +202,6 @@ def norm_company(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([company_key(x) for x in s], columns=["display", "key"], index=s.index)
 
 
-@arrow("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity, 0 to 1."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
-
-
 #: Words that a line holds which may be a title.
 TITLE_WORDS = "chief|officer|director|manager|head|lead|president|vp|engineer|founder|partner|analyst|consultant|specialist|coordinator|assistant|developer|designer|sales|marketing|counsel|ceo|cfo|cto|coo"
 
@@ -246,19 +238,18 @@ LADDER_WORDS = (
 def canonical_title(title: Column) -> tuple[Column, Column]:
     """(role_family, seniority): whole titles, then rules, then words; a founder counts as C; else General Management and IC."""
     low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    table = lambda rows: F.array(*[F.struct(F.lit(a).alias("text"), F.lit(b).alias("told")) for a, b in rows])  # noqa: E731  (constants: folded to one literal)
-    words = lambda rows: table((f" {w.replace('-', ' ')} ", name) for name, own in rows for w in own)
-    first = lambda rows, hit: F.try_element_at(F.filter(rows, hit), F.lit(1))["told"]
-
-    def tell(t: Column) -> Column:
-        padded = F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9_]", " "), F.lit(" "))
-        found = first(words(FAMILY_WORDS), lambda x: padded.contains(x["text"]))
-        ladder = F.coalesce(first(words(LADDER_WORDS), lambda x: padded.contains(x["text"])), F.when(found == "Founder", "C"), F.lit("IC"))
-        return F.coalesce(
-            first(table((t, f"{fam}|{sen}") for t, fam, sen in EXACT_TITLES), lambda x: t == x["text"]),
-            first(table((t, f"{fam}|{sen}") for t, fam, sen in TITLE_RULES), lambda x: t.contains(x["text"])),
-            F.concat_ws("|", F.coalesce(found, F.lit("General Management")), ladder),
-        )
-
-    told = F.transform(F.array(low), tell)[0]
+    padded = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9_]", " "), F.lit(" "))
+
+    def first(rows: list[tuple[Column, str]]) -> Column:
+        """What the first row says whose condition holds."""
+        out = F
+        for hit, told in rows:
+            out = out.when(hit, told)
+        return out
+
+    holds = lambda own: padded.rlike(f" ({'|'.join(w.replace('-', ' ') for w in own)}) ")  # noqa: E731  (one test a row: long chains outgrow a method)
+    found = first([(holds(own), name) for name, own in FAMILY_WORDS])
+    ladder = first([(holds(own), name) for name, own in LADDER_WORDS])
+    known = [(low == t, f"{fam}|{sen}") for t, fam, sen in EXACT_TITLES] + [(low.contains(t), f"{fam}|{sen}") for t, fam, sen in TITLE_RULES]
+    told = F.coalesce(first(known), F.concat_ws("|", F.coalesce(found, F.lit("General Management")), F.coalesce(ladder, F.when(found == "Founder", "C"), F.lit("IC"))))
     return F.split_part(told, F.lit("|"), F.lit(1)), F.split_part(told, F.lit("|"), F.lit(2))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadlens.functions import emails, gates, urls
+from leadlens.functions import emails, gates, url_rules, urls
 from leadlens.operators.ingest import without_credentials
 from leadlens.operators.page_tree import element, part, trees
 
@@ -72,12 +72,6 @@ def _joined(said: Column) -> Column:
     return F.array_join(F.transform(said, lambda x: x["s"]), "")
 
 
-def _whole(said: Column, flag: str, test) -> Column:
-    """The joined strings if they are a name (or title) together."""
-    joined = _joined(said)
-    return F.when(F.size(said) == 1, F.when(said[0][flag], said[0]["s"])).when(F.size(said) > 1, F.when(test(joined), joined))
-
-
 def _first_name(said: Column, most: int = 40) -> Column:
     return F.try_element_at(F.filter(F.slice(said, 1, most), lambda x: x["n"]), F.lit(1))["s"]
 
@@ -108,16 +102,14 @@ def sections(elements: Column, strings: Column) -> Column:
     return F.transform(F.concat(by_heading, by_word), lambda e: F.struct(e["at"].alias("at"), e["last"].alias("last")))
 
 
-def _alt(alt: Column) -> Column:
-    """(name, title) of an image's text."""
-    clean = F.trim(alt)
+def _alt_ways(alt: Column) -> tuple[list[Column], list[Column]]:
+    """Names and titles that an image's text may be read as, in the order they are tried; null where a break is missing."""
+    clean = F.when(~F.lower(alt).rlike("|".join(NO_PORTRAIT)), F.trim(alt))
     halves = [F.split(clean, f"\\Q{b}\\E", 2) for b in ALT_BREAKS]
-    cut = F.regexp_extract(clean, rf"(?i)^(.+?)\s+(?=({'|'.join(j.strip() for j in JOBS)})\b)", 1)
-    ways = [F.when(F.size(h) > 1, F.struct(F.trim(h[0]).alias("name"), F.trim(h[1]).alias("title"))) for h in halves]
-    ways.append(F.when(cut != "", F.struct(F.trim(cut).alias("name"), F.regexp_replace(F.substr(clean, F.length(cut) + 1), r"^[\s\-–—|,]+|[\s\-–—|,]+$", "").alias("title"))))
-    ways.append(F.struct(clean.alias("name"), F.lit("").alias("title")))
-    found = F.try_element_at(F.filter(F.array_compact(F.array(*ways)), lambda w: like_name(w["name"])), F.lit(1))
-    return F.when((clean != "") & ~F.lower(clean).rlike("|".join(NO_PORTRAIT)), found)
+    cut = F.nullif(F.regexp_extract(clean, rf"(?i)^(.+?)\s+(?=({'|'.join(j.strip() for j in JOBS)})\b)", 1), F.lit(""))
+    rest = F.regexp_replace(F.substr(clean, F.length(cut) + 1), r"^[\s\-–—|,]+|[\s\-–—|,]+$", "")
+    several = [F.when(F.size(h) > 1, F.trim(h[0])) for h in halves], [F.when(F.size(h) > 1, F.trim(h[1])) for h in halves]
+    return [*several[0], F.trim(cut), clean], [*several[1], rest, F.lit(None).cast("string")]
 
 
 def _elements_of_interest(tree: DataFrame) -> DataFrame:
@@ -157,32 +149,36 @@ def cards(tree: DataFrame) -> DataFrame:
     """
     v = _elements_of_interest(tree)
     e, mine, tag = F.col("e"), F.col("mine"), F.col("e.tag")
-    v = v.withColumns({"own": _whole(mine, "n", like_name), "within": _first_name(mine), "portrait": F.when(tag == "img", _alt(F.col("e.alt")))})
-    headed = F.when(F.size("head") > 0, _whole(F.col("head"), "n", like_name)).otherwise(_first_name(mine, 3))
-    v = v.withColumn("headed", F.when(tag.isin(*CARD_TAGS), headed))
+    groups = ("mine", "head", "role", "bold", "after", "after_up")
+    alt_names, alt_titles = _alt_ways(F.when(tag == "img", e["alt"]))
+    texts = F.array(*[F.nullif(_joined(F.col(g)), F.lit("")) for g in groups], *alt_names, *alt_titles)
+    v = v.select("*", _said(texts).alias("whole"), _first_name(mine).alias("within"))
+    whole = lambda group, flag: F.when(F.col("whole")[groups.index(group)][flag], F.col("whole")[groups.index(group)]["s"])
+    ways = range(len(groups), len(groups) + len(alt_names))
+    portrait = F.coalesce(*[F.when(F.col("whole")[k]["n"], F.struct(F.col("whole")[k]["s"].alias("name"), F.when(F.col("whole")[k + len(alt_names)]["t"], F.col("whole")[k + len(alt_names)]["s"]).alias("title"))) for k in ways])
+    headed = F.when(F.size("head") > 0, whole("head", "n")).otherwise(_first_name(mine, 3))
 
     def card(strategy: int, kind: str, name: Column, title: Column, where: Column, sub: Column | int = 0) -> Column:
         sub = sub if isinstance(sub, Column) else F.lit(sub)
-        clean = without_credentials(F.trim(name))
-        return F.when(where & name.isNotNull(), F.struct(F.lit(strategy).alias("strategy"), sub.cast("int").alias("sub"), F.struct(clean.alias("name"), title.alias("title"), F.lit(f"card_{kind}").alias("kind")).cast(CARD).alias("card")))
+        return F.when(where & name.isNotNull(), F.struct(F.lit(strategy).alias("strategy"), sub.cast("int").alias("sub"), F.struct(name.alias("name"), title.alias("title"), F.lit(f"card_{kind}").alias("kind")).cast(CARD).alias("card")))
 
-    boxed, after, around = F.col("boxed"), F.col("after"), F.col("around")
-    small = F.length(_joined(boxed)) <= 500
-    linked = F.coalesce("own", "within", F.when(small, _first_name(boxed)))
-    group = reduce(lambda rest, k: F.when(F.col("e.class").rlike(CARD_CLASSES[k]), k).otherwise(rest), reversed(range(len(CARD_CLASSES))), F.lit(None).cast("int"))
+    boxed, around = F.col("boxed"), F.col("around")
+    group = reduce(lambda rest, k: F.when(e["class"].rlike(CARD_CLASSES[k]), k).otherwise(rest), reversed(range(len(CARD_CLASSES))), F.lit(None).cast("int"))
     per = F.col("up.strings") / F.col("up.peers")
-    beside = F.coalesce(_first_name(around), _whole(after, "n", like_name), _whole(F.col("after_up"), "n", like_name), _first_name(F.col("after_up"), 1), _first_name(F.col("after_above"), 1))
-    pictured = F.coalesce(F.col("portrait.name"), beside)
-    alt_title = F.when(like_title(F.col("portrait.title")), F.col("portrait.title"))
+    linked = F.coalesce(whole("mine", "n"), "within", F.when(F.length(_joined(boxed)) <= 500, _first_name(boxed)))
+    beside = F.coalesce(_first_name(around), whole("after", "n"), whole("after_up", "n"), _first_name(F.col("after_up"), 1), _first_name(F.col("after_above"), 1))
+    named = {"linked": F.when(tag == "a", linked), "headed": F.when(tag.isin(*CARD_TAGS) & group.isNotNull(), headed), "pictured": F.when(tag == "img", F.coalesce(portrait["name"], beside)), "alt_title": portrait["title"]}
+    v = v.select("*", *[c.alias(n) for n, c in named.items()])
+    name = F.col
     found = F.array_compact(F.array(
-        card(1, "profile", linked, F.coalesce(_beside(mine, linked), _beside(boxed, linked), _beside(boxed, linked, -1)), tag == "a"),
-        card(2, "class", F.col("headed"), F.coalesce(_whole(F.col("role"), "t", like_title), _beside(mine, F.col("headed"))), tag.isin(*CARD_TAGS) & group.isNotNull(), group),
-        card(3, "siblings", F.col("within"), _beside(mine, F.col("within")), tag.isin("div", "li", "article") & F.col("up.tag").isin("div", "ul", "section", "article") & ~F.col("up.framed") & (F.col("up.peers") >= 2) & per.between(1.5, 6) & (F.size(mine) >= 2)),
-        card(4, "portrait", pictured, F.coalesce(alt_title, _beside(around, pictured), _beside(F.col("after_up"), pictured)), tag == "img"),
-        card(5, "heading", F.col("own"), F.coalesce(_whole(after, "t", like_title), _beside(around, F.col("own"))), tag.isin(*HEADINGS[1:])),
-        card(6, "item", F.col("within"), F.coalesce(_beside(mine, F.col("within")), F.when(_joined(F.col("bold")) != F.col("within"), _whole(F.col("bold"), "t", like_title))), tag == "li"),
+        card(1, "profile", name("linked"), F.coalesce(_beside(mine, name("linked")), _beside(boxed, name("linked")), _beside(boxed, name("linked"), -1)), tag == "a"),
+        card(2, "class", name("headed"), F.coalesce(whole("role", "t"), _beside(mine, name("headed"))), tag.isin(*CARD_TAGS), group),
+        card(3, "siblings", name("within"), _beside(mine, name("within")), tag.isin("div", "li", "article") & F.col("up.tag").isin("div", "ul", "section", "article") & ~F.col("up.framed") & (F.col("up.peers") >= 2) & per.between(1.5, 6) & (F.size(mine) >= 2)),
+        card(4, "portrait", name("pictured"), F.coalesce("alt_title", _beside(around, name("pictured")), _beside(F.col("after_up"), name("pictured"))), tag == "img"),
+        card(5, "heading", whole("mine", "n"), F.coalesce(whole("after", "t"), _beside(around, whole("mine", "n"))), tag.isin(*HEADINGS[1:])),
+        card(6, "item", name("within"), F.coalesce(_beside(mine, name("within")), F.when(~F.col("whole")[groups.index("bold")]["s"].eqNullSafe(name("within")), whole("bold", "t"))), tag == "li"),
     ))
-    rows = v.select("page_id", "section", e["at"].alias("at"), F.explode(found).alias("c")).select("page_id", "section", "at", "c.*")
+    rows = v.select("page_id", "section", e["at"].alias("at"), F.explode(found).alias("c")).select("page_id", "section", "at", "c.strategy", "c.sub", F.struct(without_credentials(F.trim("c.card.name")).alias("name"), "c.card.title", "c.card.kind").alias("card"))
     scope = F.when(F.col("section") > 0, 0).when(F.col("strategy") <= 3, 1).otherwise(2)
     order = F.struct(scope.alias("scope"), "section", "strategy", "sub", "at")
     best = rows.groupBy("page_id", F.lower(F.trim("card.name")).alias("key")).agg(F.min_by("card", order).alias("card"), F.min(order)["scope"].alias("scope"))
@@ -246,7 +242,7 @@ def card_gate(url: Column, html: Column) -> Column:
     """Whether cards are looked for: never on pages about others; else by the page's score or its texts."""
     head = F.lower(F.substring(F.coalesce(html, F.lit("")), 1, 60_000))
     told = reduce(lambda a, s: a | head.contains(s), PEOPLE_SIGNALS[1:], head.contains(PEOPLE_SIGNALS[0]))
-    return ~gates.is_third_party_url(url) & ~F.coalesce(urls.is_press_url(url), F.lit(False)) & (F.coalesce(urls.page_score(url, html) >= LEAST_SCORE, F.lit(False)) | told)
+    return url_rules.blocked_reason(url).isNull() & ~url_rules.is_news(url) & (F.coalesce(urls.page_score(url, html) >= LEAST_SCORE, F.lit(False)) | told)
 
 
 def candidates(pages: DataFrame) -> DataFrame:

@@ -56,11 +56,12 @@ def score(role_family: Column, seniority: Column, size: Column | None = None, in
 def view(emails: DataFrame, people: DataFrame, companies: DataFrame, results: DataFrame) -> DataFrame:
     """One row per address with its person, company and latest result."""
     v = latest(results, "view").select(F.col("email_id").alias("id"), "verify_status", "verify_reason", "verified_at", "mx_host")
-    p = people.select(F.col("id").alias("person_id"), "first_name", "last_name", "full_name", "title")
+    family, seniority = canonical_title(F.col("title"))
+    p = people.select(F.col("id").alias("person_id"), "first_name", "last_name", "full_name", "title", family.alias("role_family"), seniority.alias("seniority"))
     c = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"), "industry", "size_bucket")
     out = emails.join(v, "id", "left").join(p, "person_id", "left").join(c, "company_id", "left")
-    family, seniority = canonical_title(F.col("title"))
-    out = out.withColumn("role_family", family).withColumn("seniority", seniority)
+    untitled = [c.cast("string") for c in canonical_title(F.lit(None).cast("string"))]  # of an address without a person
+    out = out.withColumns({"role_family": F.coalesce("role_family", untitled[0]), "seniority": F.coalesce("seniority", untitled[1])})
     points, _ = score(F.col("role_family"), F.col("seniority"))
     return out.withColumn("icp_score", points).withColumn("email_domain", em.domain_split(F.col("email")))
 

@@ -48,3 +48,34 @@ def decide(found: DataFrame, probes: DataFrame) -> DataFrame:
     scored = found.join(probes, "domain", "left").withColumn("score", F.col("base") + bonus + F.when(F.coalesce("dns", F.lit(False)), DNS).otherwise(0) + F.when(F.coalesce("http", F.lit(False)), HTTP).otherwise(0))
     best = first_by(scored, ["id"], [F.desc("score"), F.desc("is_hint"), F.desc(ending == "com"), F.desc("domain")])
     return best.select("id", "domain", F.greatest(F.lit(0), F.least(F.lit(100), F.col("score"))).alias("confidence"))
+
+
+#: Rules of public suffixes, in the list's own notation (*: any label, !: an exception); longer lists are read by ``sources.readers.suffix_rules``.
+SUFFIX_RULES = (
+    "com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "ai", "app", "dev", "me", "tv", "us", "eu", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "ltd.uk", "plc.uk", "de", "fr", "es", "it", "nl", "be", "ch", "at", "se", "no", "dk", "fi", "pl", "cz", "pt", "ie", "ru",
+    "jp", "co.jp", "ac.jp", "ne.jp", "or.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "cn", "com.cn", "in", "co.in", "au", "com.au", "net.au", "org.au", "nz", "co.nz", "ca", "br", "com.br", "mx", "com.mx", "za", "co.za", "kr", "co.kr", "sg", "com.sg", "*.ck", "!www.ck",
+)
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """(suffix, labels, rank) of rules (rule: text): how many labels behind a host it makes the suffix, given the suffix it is found by."""
+    text = F.lower(F.trim("rule"))
+    wild, excepted = text.startswith("*."), text.startswith("!")
+    bare = F.regexp_replace(text, r"^(\*\.|!)", "")
+    own = rules.where(text.isNotNull() & (text != "")).select(bare.alias("suffix"), (F.size(F.split(bare, r"\.")) + F.when(wild, 1).when(excepted, -1).otherwise(0)).alias("labels"), F.when(excepted, 1).otherwise(0).alias("rank"))
+    return own.distinct()
+
+
+def registrable(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, registrable) of the distinct hosts: one label and the public suffix, told by the longest rule, exceptions first.
+
+    ``hosts``: host; ``rules``: rule. A host without a rule, or that is itself a
+    suffix, stays as it is; so does a null or an empty one. The rules are a list of bounded size.
+    """
+    host = F.regexp_replace(F.lower("host"), r"\.+$", "")
+    own = hosts.select("host").distinct().withColumn("labels", F.split(host, r"\."))
+    ends = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, 1000), "."))
+    found = own.where("host is not null").select("host", F.size("labels").alias("all"), F.explode(ends).alias("suffix")).join(F.broadcast(rule_table(rules).withColumnRenamed("labels", "depth")), "suffix")
+    best = found.where(F.col("depth") <= F.col("all")).groupBy("host").agg(F.max(F.struct("rank", "depth")).alias("best"))
+    kept = F.array_join(F.slice("labels", F.size("labels") - F.col("best.depth"), 1000), ".")
+    return own.join(best, "host", "left").select("host", F.when(F.col("best").isNotNull() & (F.size("labels") > F.col("best.depth")), kept).otherwise(F.col("host")).alias("registrable"))

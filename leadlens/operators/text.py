@@ -1,17 +1,12 @@
-"""Full-text search on token arrays, fuzzy company lookup, people extraction from pages."""
+"""Full-text search on token arrays, and the first tier of candidates."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadlens.functions import names
-
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -71,116 +66,8 @@ def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataF
     return joined.select("doc_id", total.alias("score"))
 
 
-def fuzzy_lookup(companies: DataFrame, name: str, k: int = 5) -> DataFrame:
-    """The k companies whose keys are most alike; candidates share a three-letter piece with the name if any does."""
-    _, wanted = names.company_key(name)
-    keyed = companies.select("id", "name", names.norm_company(F.col("name"))["key"].alias("key"))
-    return keyed.withColumn("score", F.round(names.similarity(F.col("key"), F.lit(wanted)), 6)).orderBy(F.desc("score"), "id").limit(k)
-
-
-class _Page(HTMLParser):
-    """Text pieces of a page in order, each with its element, and the targets of mail links."""
-
-    SKIP = {"script", "style", "nav", "footer", "noscript"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.pieces: list[tuple[str, str]] = []
-        self.mails: list[tuple[str, int]] = []
-        self.stack: list[str] = []
-        self.skipped = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self.skipped += 1
-        elif tag not in ("br", "img", "meta", "link", "input", "hr"):
-            self.stack.append(tag)
-        held = dict(attrs)
-        target = held.get("href") or ""
-        if target.lower().startswith("mailto:") and not self.skipped:
-            self.mails.append((target[7:].partition("?")[0].strip().lower(), len(self.pieces)))
-        if tag == "img" and held.get("alt") and not self.skipped:
-            self.pieces.append(("img", " ".join(held["alt"].split())))
-
-    def handle_endtag(self, tag):
-        if tag in self.SKIP:
-            self.skipped = max(0, self.skipped - 1)
-        elif tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
-
-    def handle_data(self, data):
-        text = " ".join(data.split())
-        if text and not self.skipped:
-            self.pieces.append((self.stack[-1] if self.stack else "", text))
-
-
-NAME = re.compile(r"^[^\W\d_][\w'’-]+(?: [^\W\d_][\w'’.-]*){1,3}$")
-MAIL = re.compile(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", re.I)
-TITLE = re.compile(r"\b(" + names.TITLE_WORDS + r")\b", re.I)
-
-
-def _like_name(text: str) -> bool:
-    words = text.split()
-    return bool(NAME.match(text)) and 2 <= len(words) <= 4 and all(w[0].isupper() or w.lower() in names.PARTICLES for w in words) and not TITLE.search(text)
-
-
-def page_candidates(html: str) -> list[tuple[str | None, str | None, str | None, str]]:
-    """(email, name, title, kind) of a page: addresses with the nearest name before them, and cards of a name and a title."""
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    found: dict[tuple, tuple] = {}
-    texts = [t for _, t in page.pieces]
-
-    def name_before(at: int) -> tuple[str | None, str | None]:
-        for k in range(min(at, len(texts) - 1), max(-1, at - 5), -1):
-            if _like_name(texts[k]):
-                title = next((t for t in texts[k + 1 : k + 3] if TITLE.search(t) and len(t) <= 80), None)
-                return texts[k], title
-        return None, None
-
-    for mail, at in page.mails + [(m.group().lower(), k) for k, t in enumerate(texts) for m in MAIL.finditer(t)]:
-        if MAIL.fullmatch(mail) and ("mail", mail) not in found:
-            found["mail", mail] = (mail, *name_before(at), "email")
-    for k, (tag, text) in enumerate(page.pieces):
-        if tag in ("h1", "h2", "h3", "h4", "li", "img", "strong", "b") and _like_name(text):
-            title = next((t for t in texts[k + 1 : k + 3] if TITLE.search(t) and len(t) <= 80), None)
-            if title and ("card", text.lower()) not in found:
-                found["card", text.lower()] = (None, text, title, "card")
-    return list(found.values())
-
-
-CANDIDATES = "page_id long, url string, email string, name string, title string, kind string"
-
-
-def extract_candidates(pages: DataFrame) -> DataFrame:
-    """One row per candidate of each page (page_id, url, html); null pages give none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, u, *c) for i, u, h in zip(b["page_id"], b["url"], b["html"]) for c in page_candidates(h)]
-            yield pd.DataFrame(rows, columns=["page_id", "url", "email", "name", "title", "kind"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, CANDIDATES)
-
-
-def prefilter(candidates: DataFrame, cap: int = 50) -> DataFrame:
-    """Candidates fit for a language model: named, the best per name and page, then per name and company, at most ``cap`` a company."""
-    from pyspark.sql.window import Window
-
-    rank = F.when(F.col("email").isNotNull(), 0).when(F.col("title").isNotNull(), 1).otherwise(2)
-    own = candidates.where("name is not null").withColumn("rank", rank)
-    w = Window.partitionBy("company", F.lower("name")).orderBy("rank", "page_id", "email")
-    best = own.withColumn("n", F.row_number().over(w)).where("n = 1")
-    cap_w = Window.partitionBy("company").orderBy("rank", "name", "page_id")
-    return best.withColumn("n", F.row_number().over(cap_w)).where(F.col("n") <= cap).drop("n")
-
-
 def first_tier(candidates: DataFrame) -> DataFrame:
     """Of each company only the candidates of its best tier: with address, with a leading title, with any title, named."""
-    from pyspark.sql.window import Window
-
     lead = F.lower("title").rlike("chief|president|founder|director|head|vp")
     tier = F.when(F.col("email").isNotNull(), 0).when(lead, 1).when(F.col("title").isNotNull(), 2).when(F.col("name").isNotNull(), 3)
     rows = candidates.withColumn("tier", tier).where("tier is not null")

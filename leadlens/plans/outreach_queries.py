@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadlens.functions import urls
+from leadlens.functions import url_rules, urls
 from leadlens.operators import discovery, test_sends
 from leadlens.plans import tables as T
-from leadlens.plans.gate_queries import _pick, _sql_any, _sql_pick
+from leadlens.plans.gate_queries import _pick, _sql_any, _sql_in, _sql_pick
 from leadlens.plans.ingest_queries import _patterns, keyed
 from leadlens.plans.registry import query
 from leadlens.plans.tables import sql
@@ -75,11 +75,11 @@ HINTS = ("team", "people", "management", "About")
 
 @query(f"""WITH x AS (SELECT p_partkey AS id, 'https://a.example' || {_sql_pick(PATHS, 'p_partkey')} AS url, lower(split_part({_sql_pick(PATHS, 'p_partkey')}, '?', 1)) AS path FROM part), y AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM x)
 SELECT id, len(list_filter(segs, lambda s: starts_with(s, 'management') OR regexp_matches(s, '(^|[-_])(team|people|about)'))) > 0 AS hint, coalesce(segs[1] = 'solutions' AND segs[2] IN ('team', 'teams') AND NOT list_has_any(segs[3:], {list(urls.STRONG)!r}), false) AS skipped,
-  regexp_matches(lower(url), '/(press-release|press-releases|in-the-news|case-stud|customer-stor|testimonial|success-stor|webinars?/[0-9]|podcasts?/[0-9]|episodes?/[0-9])(/|$|[?])') AS press, regexp_matches(lower(url), '/[a-z][a-z]-[a-z][a-z]/') AS locale, regexp_replace(path, '/[a-z][a-z]-[a-z][a-z]/', '/', 'g') AS plain FROM y""")
+  list_has_any(segs, {list(url_rules.NEWS_SEGMENTS)!r}) OR len(list_filter(segs, lambda s: {' OR '.join(f"starts_with(s, '{x}')" for x in url_rules.NEWS_STEMS)})) > 0 OR len(list_filter(list_zip(segs[:-2], segs[2:]), lambda x: x[1] IN {_sql_in(url_rules.NEWS_MEDIA)} AND regexp_matches(x[2], '^[0-9]'))) > 0 AS press, regexp_matches(lower(url), '/[a-z][a-z]-[a-z][a-z]/') AS locale, regexp_replace(path, '/[a-z][a-z]-[a-z][a-z]/', '/', 'g') AS plain FROM y""")
 def url_hints(spark, d):
     u = F.concat(F.lit("https://a.example"), F.col("p"))
     rows = keyed(spark, d, p=(PATHS, 1))
-    return rows.select("id", urls.follows_hint(u, HINTS).alias("hint"), urls.skips_taxonomy(u).alias("skipped"), urls.is_press_url(u).alias("press"), urls.is_locale_url(u).alias("locale"), urls.path_without_locale(u).alias("plain"))
+    return rows.select("id", urls.follows_hint(u, HINTS).alias("hint"), urls.skips_taxonomy(u).alias("skipped"), url_rules.is_news(u).alias("press"), urls.is_locale_url(u).alias("locale"), urls.path_without_locale(u).alias("plain"))
 
 
 ABOUT = ("We build B2B software as a service on AWS and PostgreSQL.", "A hospital: patient care, medtech & e-commerce", "Banking, finance (fintech) with Google Cloud, HubSpot", "Supply chain of a plant; shop-floor", "Schools and universities", "public sector GovTech, Azure/Snowflake", "", None, "replanted bankers", "Our University uses MySQL; postgres too")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions import emails as em
 from leadlens.functions import names, urls
-from leadlens.operators import resolve, robots, text
+from leadlens.operators import extraction, lookup, page_tree, resolve, robots, selection, text
 from leadlens.plans import tables as T
 from leadlens.plans.registry import query
 from leadlens.plans.tables import sql
@@ -140,7 +140,7 @@ def crawl_frontier(spark, d):
 
 @query()
 def extract_candidates(spark, d):
-    return text.extract_candidates(T.load(spark, d, "pages"))
+    return extraction.candidates(T.load(spark, d, "pages"))
 
 
 def people_pages(spark, d):
@@ -152,13 +152,13 @@ def people_pages(spark, d):
 
 @query(sql("p", "SELECT DISTINCT company_id AS page_id, lower(first_name) || '.' || lower(last_name) || '@s' || company_id || '.example' AS email FROM p WHERE company_id IS NOT NULL"))
 def people_page_emails(spark, d):
-    return text.extract_candidates(people_pages(spark, d)).where("kind = 'email'").select("page_id", "email").distinct()
+    return extraction.addresses(page_tree.trees(people_pages(spark, d))).select("page_id", "email")
 
 
 @query()
 def prefilter_candidates(spark, d):
-    found = text.extract_candidates(people_pages(spark, d)).withColumn("company", F.col("page_id"))
-    return text.prefilter(found, 50).select("company", "name", "email", "rank")
+    found = extraction.candidates(people_pages(spark, d))
+    return selection.prefilter(found.withColumns({"company": F.col("page_id"), "url": F.lit("/team")})).select("company", "name", "email", "title")
 
 
 @query(sql("p", """, c AS (SELECT company_id AS company, full_name AS name, CASE WHEN id % 3 = 0 AND company_id % 2 = 0 THEN 'x' END AS email, nullif(title, '') AS title FROM p WHERE company_id IS NOT NULL),
@@ -189,7 +189,7 @@ def norm_company(spark, d):
 
 @query()
 def fuzzy_company(spark, d):
-    return text.fuzzy_lookup(T.companies(spark, d), "Supplier 000000007 Inc", 5)
+    return lookup.lookup(spark.createDataFrame([("a", "Supplier 000000007 Inc")], "query string, name string"), T.companies(spark, d), 5).select("id", "name", "similarity")
 
 
 @query()

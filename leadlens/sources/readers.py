@@ -94,3 +94,9 @@ def config(text: str) -> dict:
         import yaml
 
         return yaml.safe_load(text) or {}
+
+
+def suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of a public suffix list: one a line, up to the first blank; comments (//) and empty lines left out."""
+    line = F.regexp_extract("value", r"^\s*(\S+)", 1)
+    return spark.read.text(path).where(~F.col("value").rlike(r"^\s*(//|$)")).select(line.alias("rule"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions import emails as em
 from leadlens.functions import names, status, urls
-from leadlens.operators import leads, mx, robots, stateful, text
+from leadlens.operators import extraction, leads, mx, robots, stateful
 from leadlens.operators.latest import latest
 from leadlens.sources import readers, writers
 
@@ -111,12 +111,11 @@ def test_robots():
     assert robots.choose([], "x") is None and robots.parse(None) == []
 
 
-def test_page_candidates():
-    html = "<nav>Jane Roe</nav><h3>Ana María López</h3><p>Sales Director</p><a href='mailto:Ana@x.org?subject=1'>mail</a><p>unclosed<li><b>Not A Title Here At All"
-    got = text.page_candidates(html)
-    assert ("ana@x.org", "Ana María López", "Sales Director", "email") in got
-    assert (None, "Ana María López", "Sales Director", "card") in got
-    assert text.page_candidates(None) == []
+def test_page_candidates(spark):
+    html = "<nav>Jane Roe</nav><h3>Ana Lopez</h3><p>Sales Director</p><a href='mailto:Ana@x.org?subject=1'>mail</a><p>unclosed<li><b>Not A Title Here At All"
+    pages = spark.createDataFrame([(1, "https://x.org/team", f"<title>Our team</title>{html}"), (2, "https://x.org/team", None)], "page_id long, url string, html string")
+    got = [(r["page_id"], r["email"], r["name"], r["title"], r["kind"]) for r in extraction.candidates(pages).collect()]
+    assert got == [(1, "ana@x.org", "Ana Lopez", "Sales Director", "mailto_link")]
 
 
 def test_export_policy_reasons(spark):
