@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadlens.functions import gates, url_rules, urls
-from leadlens.operators import extraction, lookup, resolve, selection
+from leadlens.operators import extraction, lookup, persist, resolve, selection
 from leadlens.operators.page_tree import trees
 from leadlens.plans import tables as T
 from leadlens.plans.gate_queries import _pick, _sql_any, _sql_pick
@@ -144,3 +144,13 @@ def company_lookup(spark, d):
     held = part.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("name")).agg(F.min("p_partkey").alias("id"))
     asked = part.select(F.concat_ws(" ", F.regexp_replace(F.col("p_name"), r"^(\w)\w", "$1"), "p_type").alias("name")).distinct().withColumn("query", F.col("name"))
     return lookup.lookup(asked, held, 3)
+
+
+@query(CHOICES + """, s AS (SELECT DISTINCT company_id AS company, lower(full_name) AS key FROM p WHERE id % 5 = 0 AND company_id IS NOT NULL)
+  SELECT company AS company_id, key, coalesce(nullif(max_by(title, (len(title), title)), ''), 'Auto-discovered') AS title FROM c2 WHERE (company, key) NOT IN (SELECT (company, key) FROM s) GROUP BY ALL""".replace(", s AS", ", c2 AS (SELECT company, lower(name) AS key, coalesce(title, '') AS title FROM c WHERE name IS NOT NULL AND name <> '12 3'), s AS"))
+def people_added(spark, d):
+    """People that candidates add to those already stored."""
+    found = choices(spark, d).withColumn("company_id", F.col("company"))
+    stored = T.people(spark, d).where("id % 5 = 0 AND company_id IS NOT NULL").select("id", "company_id", "full_name", "title", "source_url")
+    merged = persist.merged_people(found, stored)
+    return merged.join(stored.select("id"), "id", "left_anti").select("company_id", F.lower("full_name").alias("key"), "title")
