@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadlens.functions.transliteration import latin
+
 #: Name particles that belong to the surname (of two words: both), titles and suffixes around a name, words kept low in titles, abbreviations.
 PARTICLES = frozenset("da das de del della di dos du la le van von bin binti ibn al el".split())
 TWO_PARTICLES = frozenset(("de la", "de los", "de las", "van der", "van de", "van den", "von der", "von den", "von dem", "auf der", "op de", "op den"))
@@ -62,8 +64,8 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 @arrow("string")
 def ascii_fold(s: pd.Series) -> pd.Series:
-    """Lower case, without diacritics; what isn't ASCII then is dropped; white space collapsed."""
-    return s.map(lambda x: " ".join(_fold(x).encode("ascii", "ignore").decode("ascii").split()).lower(), na_action="ignore")
+    """Lower case in Latin letters (``transliteration``); what isn't ASCII then is dropped; white space collapsed."""
+    return s.map(lambda x: " ".join(latin(x).split()), na_action="ignore")
 
 
 @arrow("string")

@@ -54,8 +54,8 @@ def iso_times(spark, d):
 
 FIRST = ("José", "anne-marie", "O'Neil", "ÅSA", "李", "", None, "info", "Müller")
 LAST = ("Álvarez", "van der berg", "de la Cruz", "Smith", "", None, "o’brien", "al-Amin", "Straße", "Ho")
-#: A folded name: diacritics off, what isn't ASCII dropped, lower case.
-FOLD = "regexp_replace(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^ -~]', '', 'g'), '[^a-z0-9]', '', 'g')"
+#: A folded name: diacritics off, the sharp s in two letters, what isn't ASCII dropped, lower case.
+FOLD = "regexp_replace(regexp_replace(lower(strip_accents(replace(coalesce({0}, ''), 'ß', 'ss'))), '[^ -~]', '', 'g'), '[^a-z0-9]', '', 'g')"
 
 
 def _bare(name: str) -> str:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadlens.functions import gates, url_rules, urls
+from leadlens.functions import gates, names, url_rules, urls
 from leadlens.operators import extraction, lookup, persist, resolve, selection
 from leadlens.operators.page_tree import trees
 from leadlens.plans import tables as T
 from leadlens.plans.gate_queries import _pick, _sql_any, _sql_pick
 from leadlens.plans.registry import query
 from leadlens.plans.tables import sql
+from leadlens.sources import mail
 
 #: People a page, at most.
 A_PAGE = 200
@@ -154,3 +155,37 @@ def people_added(spark, d):
     stored = T.people(spark, d).where("id % 5 = 0 AND company_id IS NOT NULL").select("id", "company_id", "full_name", "title", "source_url")
     merged = persist.merged_people(found, stored)
     return merged.join(stored.select("id"), "id", "left_anti").select("company_id", F.lower("full_name").alias("key"), "title")
+
+
+@query(r"""SELECT doc_id, len(t) AS n, md5(t) AS folded FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(replace(replace(replace(lower(text), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')), '[^\x00-\x7F]', '', 'g'), '[\x09-\x0D\x1C-\x20]+', ' ', 'g')) AS t FROM documents)""")
+def latin_texts(spark, d):
+    """Whole texts in plain Latin letters."""
+    t = names.ascii_fold(F.col("text"))
+    return T.load(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("folded"))
+
+
+def delivery_reports(spark, d):
+    """A report for each customer, in four builds: plain, quoted-printable, base64, and a status block in a multipart; every fifth is other mail."""
+    k = F.col("c_custkey")
+    to = F.concat(F.lit("c"), k, F.lit("@s"), k % 7, F.lit(".example"))
+    code = F.when(k % 3 == 0, "5.1.1").when(k % 3 == 1, "4.2.2").otherwise("5.7.1")
+    why = F.when(k % 3 == 0, "user unknown").when(k % 3 == 1, "mailbox full").otherwise("blocked by policy")
+    token = F.concat(F.lit("bounce+t"), k, F.lit("@seed.example"))
+    said = F.concat(F.lit("Your message to "), to, F.lit(" came back: "), code, F.lit(" "), why, F.lit("\nsent by "), token, F.lit("\n"))
+    block = F.concat(F.lit("--b\nContent-Type: message/delivery-status\n\nReporting-MTA: dns; mx.example\n\nFinal-Recipient: rfc822; "), to, F.lit("\nStatus: "), code, F.lit("\nDiagnostic-Code: smtp; "), why, F.lit("\n\n--b\nContent-Type: message/rfc822\n\nFrom: "), token, F.lit("\nSubject: x\n\nhello\n--b--\n"))
+    quoted = F.replace(F.replace(said, F.lit("="), F.lit("=3D")), F.lit("@"), F.lit("=40"))
+    raw = (
+        F.when(k % 5 == 4, "From: a@b.example\nSubject: Lunch\n\nSee you.\n")
+        .when(k % 5 == 0, F.concat(F.lit("Subject: Undelivered\n\n"), said))
+        .when(k % 5 == 1, F.concat(F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\n"), quoted))
+        .when(k % 5 == 2, F.concat(F.lit("Content-Type: multipart/mixed; boundary=b\n\n--b\nContent-Type: text/html; charset=latin-1\nContent-Transfer-Encoding: base64\n\n"), F.base64(said.cast("binary")), F.lit("\n--b--\n")))
+        .otherwise(F.concat(F.lit("Content-Type: multipart/report; boundary=b; report-type=delivery-status\n\n"), block))
+    )
+    return T.load(spark, d, "customer").select(k.cast("string").alias("id"), raw.cast("binary").alias("raw"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS id, CASE WHEN r THEN ['5.1.1', '4.2.2', '5.7.1'][k + 1] END AS code, CASE WHEN r THEN ['user_unknown', 'mailbox_full', 'policy_block'][k + 1] END AS reason, CASE WHEN r THEN k = 0 END AS hard,
+  CASE WHEN r THEN 'c' || c_custkey || '@s' || c_custkey % 7 || '.example' ELSE '' END AS recipients, CASE WHEN r THEN 't' || c_custkey ELSE '' END AS tokens FROM (SELECT *, c_custkey % 3 AS k, c_custkey % 5 <> 4 AS r FROM customer)""")
+def mail_reports(spark, d):
+    found = mail.reports(delivery_reports(spark, d), ("postmaster@seed.example",))
+    return found.select("id", "code", "reason", "hard", F.array_join("recipients", ",").alias("recipients"), F.array_join("tokens", ",").alias("tokens"))
