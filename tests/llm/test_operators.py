@@ -417,7 +417,9 @@ def test_personal_data(spark, edge, none, data):
     assert sorted(((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got), key=str) == want
     spans = {r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in got}
     assert all(set(filter(None, join(brute_spans(t)).split(","))) <= spans[d] for d, t in extra)
-    assert {"card:50:66", "phone:32:49"} <= {s for s in spans[1000090]} or len(spans[1000090]) >= 3  # the run of both failed as a whole
+    # the run of phone and card failed as a whole: what is added lies in it
+    assert {"email:0:6", "ip:8:16"} <= spans[1000090]
+    assert all(int(s.split(":")[1]) >= 21 for s in spans[1000090] - {"email:0:6", "ip:8:16"})
     assert pii.personal_data(none).count() == 0
 
 
