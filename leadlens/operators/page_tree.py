@@ -30,7 +30,7 @@ FRAME_CLASSES = ("header", "site-header", "quick-links", "useful-links")
 NUMBERS = ("at", "low", "high", "last", "parent", "next", "box", "block", "kids", "peers", "peer_strings", "before_low", "before_high")
 WORDS = ("tag", "id", "class", "href", "alt")
 ELEMENT = "struct<" + ",".join([f"{n}:int" for n in NUMBERS] + ["framed:boolean"] + [f"{n}:string" for n in WORDS]) + ">"
-TREE = f"page_id long, strings array<string>, owners array<int>, elements array<{ELEMENT}>, attributes array<struct<owner:int,link:boolean,value:string>>"
+TREE = f"page_id long, strings array<string>, owners array<int>, elements array<{ELEMENT}>, attributes array<struct<owner:int,link:boolean,value:string>>, data array<string>"
 
 
 class _Tree(HTMLParser):
@@ -42,6 +42,8 @@ class _Tree(HTMLParser):
         self.owners: list[int] = []
         self.elements: list[dict] = []
         self.attributes: list[tuple[int, bool, str]] = []
+        self.data: list[str] = []
+        self.held: list[str] | None = None  # the text of a script of linked data
         self.open: list[int] = []
         self.ends: dict[int, tuple[int, int, int]] = {}  # of a parent: last child element and the strings of the last child
         self.framing: list[bool] = []
@@ -60,6 +62,8 @@ class _Tree(HTMLParser):
         element |= {"tag": tag, "id": held.get("id", "").strip().lower(), "class": classes, "href": held.get("href", ""), "alt": held.get("alt", ""), "framed": bool(self.framing) and self.framing[-1]}
         self.elements.append(element)
         self.attributes += [(at, name == "href" and tag == "a", value) for name, value in held.items() if "@" in value or "%40" in value or " at " in value.lower() or "[at]" in value.lower() or "(at)" in value.lower()]
+        if tag == "script" and held.get("type", "").strip().lower() == "application/ld+json":
+            self.held = []
         if parent >= 0:
             self.elements[parent]["kids"] += 1
         frame = tag in FRAME_TAGS or any(w in c for c in classes.split() for w in FRAME_WORDS) or any(c in FRAME_CLASSES for c in classes.split())
@@ -85,12 +89,17 @@ class _Tree(HTMLParser):
             self.elements[parent]["peer_strings"] += element["high"] - element["low"]
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "script" and self.held is not None:
+            self.data.append("".join(self.held).strip())
+            self.held = None
         if any(self.elements[k]["tag"] == tag for k in self.open):
             while self.elements[self.open[-1]]["tag"] != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data: str) -> None:
+        if self.held is not None:
+            self.held.append(data)
         text = data.strip()
         parent = self.open[-1] if self.open else -1
         if not text or (parent >= 0 and self.elements[parent]["tag"] in UNSEEN):
@@ -132,8 +141,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     _lists([o for t in trees for o in t.owners], [len(t.owners) for t in trees], pa.int32()),
                     _lists(rows, [len(t.elements) for t in trees], rows.type),
                     _lists(held, [len(t.attributes) for t in trees], held.type),
+                    _lists([x for t in trees for x in t.data], [len(t.data) for t in trees], pa.string()),
                 ],
-                ["page_id", "strings", "owners", "elements", "attributes"],
+                ["page_id", "strings", "owners", "elements", "attributes", "data"],
             )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadlens.functions import gates, names, url_rules, urls
-from leadlens.operators import extraction, lookup, persist, resolve, selection
+from leadlens.operators import extraction, lookup, page_text, persist, reach, resolve, selection
 from leadlens.operators.page_tree import trees
 from leadlens.plans import tables as T
 from leadlens.plans.gate_queries import _pick, _sql_any, _sql_pick
@@ -189,3 +189,28 @@ def delivery_reports(spark, d):
 def mail_reports(spark, d):
     found = mail.reports(delivery_reports(spark, d), ("postmaster@seed.example",))
     return found.select("id", "code", "reason", "hard", F.array_join("recipients", ",").alias("recipients"), F.array_join("tokens", ",").alias("tokens"))
+
+
+@query()
+def page_texts(spark, d):
+    """Structured text of every page: its length and digest."""
+    t = page_text.structured(trees(T.load(spark, d, "pages")))
+    return t.select("page_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_FLAT = r"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract({0}, '^[^?#]*', 0)), '/+', '/', 'g'), '/index\.(html?|php|aspx?)$', '/'), '/$', '')"
+REACH = rf"""WITH RECURSIVE u AS (SELECT url, html, {HOST} AS host, {_FLAT.format("regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)")} AS p FROM pages),
+  n AS (SELECT url, html, host, host || CASE WHEN p = '' THEN '/' ELSE p END AS key FROM u),
+  l AS (SELECT DISTINCT host, key AS source, unnest(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1)) AS link FROM n),
+  e AS (SELECT DISTINCT host, source, host || CASE WHEN q = '' THEN '/' ELSE q END AS target FROM (SELECT *, {_FLAT.format("link")} AS q FROM l WHERE link LIKE '/%' AND link NOT LIKE '//%' AND NOT regexp_matches(lower(link), '([?&](page|p|offset|start)=[0-9]+)|(/page/[0-9]+)')) WHERE NOT regexp_matches(q, '\.({reach.FILES})$')),
+  r AS (SELECT host, min(key) AS url, 0 AS depth FROM n GROUP BY host UNION SELECT e.host, e.target, depth + 1 FROM r JOIN e ON e.host = r.host AND e.source = r.url WHERE depth < 2 AND e.source <> e.target)
+  SELECT host, depth, count(*) AS n, min(url) AS first, max(url) AS last FROM (SELECT host, url, min(depth) AS depth FROM r GROUP BY ALL) GROUP BY ALL"""
+
+
+@query(REACH)
+def site_reach(spark, d):
+    """From each host's first page: what its links reach in two steps, by step."""
+    pages = T.load(spark, d, "pages")
+    start = pages.select(urls.host(F.col("url")).alias("host"), urls.key(F.col("url")).alias("url")).groupBy("host").agg(F.min("url").alias("url"))
+    found = reach.reached(start, reach.edges(pages), 2)
+    return found.groupBy("host", "depth").agg(F.count("*").alias("n"), F.min("url").alias("first"), F.max("url").alias("last"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -25,3 +26,11 @@ def written(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(at):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(at) if fs.exists(jvm.Path(s.getPath(), "_SUCCESS")))
+
+
+def table(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: worked out once, whatever executors are lost later."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/table_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
