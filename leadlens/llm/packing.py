@@ -17,7 +17,7 @@ import functools
 import itertools
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ CUT = 32
 #: Open windows that one group of the final merge holds, about.
 MERGE_GROUP = 4096
 #: Bytes of remembered pieces (key, place, ids) that a worker keeps; then it starts anew.
-REMEMBERED = 40 << 20
+REMEMBERED = 72 << 20
 #: Longer pieces are encoded each time.
 LONG = 48
 
@@ -71,7 +71,7 @@ class Encoder:
 
     def reset(self) -> None:
         self.keys, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
-        self.letters, self.first, self.length = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.spelt, self.first, self.length = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def _pieces(self, rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All texts as one string and as code points; begin, end and key of each piece; pieces of each row."""
@@ -104,18 +104,21 @@ class Encoder:
 
     def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and each text's number of them."""
-        if len(self.keys) * 19 + (len(self.ids) + len(self.letters)) * 4 > REMEMBERED:
+        if len(self.keys) * 19 + len(self.ids) * 4 + len(self.spelt) * 8 > REMEMBERED:
             self.reset()
         joined, flat, begin, end, keys, per = self._pieces(rows)
         length = end - begin
         distinct, at, which = np.unique(keys, return_index=True, return_inverse=True)
         alone = length > LONG  # pieces that are encoded by themselves
         other = np.flatnonzero(~alone & (at[which] != np.arange(len(keys))))
-        alone[other[~_equal(flat, begin[other], length[other], flat, begin[at[which[other]]], length[at[which[other]]])]] = True
+        triples = _triples(flat)
+        twin = at[which[other]]
+        alone[other[~_equal(length[other], length[twin], lambda on, k: _spelling(triples, begin[twin[on]], length[twin[on]], k), lambda on, k: _spelling(triples, begin[other[on]], length[other[on]], k))]] = True
         near = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         held = self.keys[near] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
         met = np.flatnonzero(held & ~alone[at])
-        wrong = met[~_equal(flat, begin[at[met]], length[at[met]], self.letters, self.first[near[met]].astype(np.int64), self.length[near[met]].astype(np.int64))]
+        here, there = at[met], near[met]
+        wrong = met[~_equal(length[here], self.length[there], lambda on, k: _spelling(triples, begin[here[on]], length[here[on]], k), lambda on, k: self.spelt[self.first[there[on]] + k])]
         alone |= np.isin(which, wrong)
         where, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         if len(self.keys):
@@ -142,23 +145,42 @@ class Encoder:
             into = np.searchsorted(self.keys, distinct[new])
             self.keys = np.insert(self.keys, into, distinct[new])
             self.begin, self.size = np.insert(self.begin, into, (old + b[: len(new)]).astype(np.uint32)), np.insert(self.size, into, n[: len(new)].astype(np.uint16))
-            size = length[at[new]]
-            self.first = np.insert(self.first, into, (len(self.letters) + np.cumsum(size) - size).astype(np.uint32))
-            self.length = np.insert(self.length, into, size.astype(np.uint8))
-            self.letters = np.concatenate([self.letters, flat[np.repeat(begin[at[new]] - (np.cumsum(size) - size), size) + np.arange(size.sum())]])
+            fresh = at[new]
+            size = -(-length[fresh] // 3)
+            first = np.cumsum(size) - size
+            self.first = np.insert(self.first, into, (len(self.spelt) + first).astype(np.uint32))
+            self.length = np.insert(self.length, into, length[fresh].astype(np.uint8))
+            step = np.arange(size.sum()) - np.repeat(first, size)
+            self.spelt = np.concatenate([self.spelt, _spelling(triples, np.repeat(begin[fresh], size), np.repeat(length[fresh], size), step)])
             self.ids = ids[: old + int(n[: len(new)].sum())]
         return out, counts
 
 
-def _equal(a: np.ndarray, begin_a: np.ndarray, size_a: np.ndarray, b: np.ndarray, begin_b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Whether each run of ``a`` equals its run of ``b``; none is empty."""
-    if not len(begin_a):
-        return np.zeros(0, bool)
-    size = np.minimum(size_a, size_b)
-    first = np.cumsum(size) - size
-    step = np.arange(size.sum())
-    apart = a[step + np.repeat(begin_a - first, size)] != b[step + np.repeat(begin_b - first, size)]
-    return (size_a == size_b) & ~np.logical_or.reduceat(apart, first)
+#: Of three code points in one number, those of the first none to three.
+_FIRST = np.array([0, (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1], np.uint64)
+
+
+def _triples(flat: np.ndarray) -> np.ndarray:
+    """Each code point and the two behind it (zeros at the end) as one number."""
+    wide = np.zeros(len(flat) + 2, np.uint64)
+    wide[: len(flat)] = flat
+    return wide[:-2] | wide[1:-1] << np.uint64(21) | wide[2:] << np.uint64(42)
+
+
+def _spelling(triples: np.ndarray, begin: np.ndarray, length: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+    """The ``k``th three code points of runs that are longer than 3 k."""
+    return triples[begin + 3 * k] & _FIRST[np.minimum(length - 3 * k, 3)]
+
+
+def _equal(size: np.ndarray, other: np.ndarray, one: Callable, two: Callable) -> np.ndarray:
+    """Whether runs are equal: of one length, and in each three code points that ``one`` and ``two`` give of some of them."""
+    out = size == other
+    on, k = np.flatnonzero(out), 0
+    while len(on):
+        out[on] = one(on, k) == two(on, k)
+        k += 1
+        on = on[out[on] & (size[on] > 3 * k)]
+    return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
