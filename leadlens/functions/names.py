@@ -240,7 +240,6 @@ LADDER_WORDS = (
 def canonical_title(title: Column) -> tuple[Column, Column]:
     """(role_family, seniority): whole titles, then rules, then words; a founder counts as C; else General Management and IC."""
     low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    padded = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9_]", " "), F.lit(" "))
 
     def first(rows: list[tuple[Column, str]]) -> Column:
         """What the first row says whose condition holds."""
@@ -249,9 +248,14 @@ def canonical_title(title: Column) -> tuple[Column, Column]:
             out = out.when(hit, told)
         return out
 
-    holds = lambda own: padded.rlike(f" ({'|'.join(w.replace('-', ' ') for w in own)}) ")  # noqa: E731  (one test a row: long chains outgrow a method)
-    found = first([(holds(own), name) for name, own in FAMILY_WORDS])
-    ladder = first([(holds(own), name) for name, own in LADDER_WORDS])
-    known = [(low == t, f"{fam}|{sen}") for t, fam, sen in EXACT_TITLES] + [(low.contains(t), f"{fam}|{sen}") for t, fam, sen in TITLE_RULES]
-    told = F.coalesce(first(known), F.concat_ws("|", F.coalesce(found, F.lit("General Management")), F.coalesce(ladder, F.when(found == "Founder", "C"), F.lit("IC"))))
+    def tell(t: Column) -> Column:
+        padded = F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9_]", " "), F.lit(" "))
+        holds = lambda own: padded.rlike(f" ({'|'.join(w.replace('-', ' ') for w in own)}) ")
+        found = first([(holds(own), name) for name, own in FAMILY_WORDS])
+        ladder = first([(holds(own), name) for name, own in LADDER_WORDS])
+        known = [(t == x, f"{fam}|{sen}") for x, fam, sen in EXACT_TITLES] + [(t.contains(x), f"{fam}|{sen}") for x, fam, sen in TITLE_RULES]
+        return F.coalesce(first(known), F.concat_ws("|", F.coalesce(found, F.lit("General Management")), F.coalesce(ladder, F.when(found == "Founder", "C"), F.lit("IC"))))
+
+    # within a lambda, so that filters which repeat it don't outgrow a compiled method
+    told = F.transform(F.array(low), tell)[0]
     return F.split_part(told, F.lit("|"), F.lit(1)), F.split_part(told, F.lit("|"), F.lit(2))

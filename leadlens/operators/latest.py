@@ -15,13 +15,10 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def latest(df: DataFrame, mode: str = "view", keys: tuple[str, ...] = ("email_id",)) -> DataFrame:
     """view: verified or else checked time, a row without either wins; api: verified time, missing last; max_id: the largest id."""
-    if mode == "max_id":
-        rest = [c for c in df.columns if c not in keys]
-        return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "id").alias("s")).select(*keys, "s.*")
-    if mode == "view":
-        order = [F.coalesce("verified_at", "checked_at").desc_nulls_first(), F.desc("id")]
-    elif mode == "api":
-        order = [F.col("verified_at").desc_nulls_last(), F.desc("id")]
-    else:
+    at = F.coalesce("verified_at", "checked_at") if mode == "view" else F.col("verified_at")
+    orders = {"view": F.struct(at.isNull(), at, F.col("id")), "api": F.struct(at, F.col("id")), "max_id": F.col("id")}  # a null comes before all others
+    if mode not in orders:
         raise ValueError(f"unknown mode {mode!r}")
-    return first_by(df, list(keys), order)
+    # an aggregate, so rows are compared before they are shuffled
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), orders[mode]).alias("s")).select(*keys, "s.*").select(*df.columns)

@@ -264,3 +264,18 @@ def cleanup(emails: DataFrame, results: DataFrame, untested: bool = False) -> Da
     made = emails.where(is_generated(F.col("source_note"), F.col("source_url")))
     bad = made.join(last.where("verify_status = 'invalid'"), "id", "left_semi")
     return bad.union(made.join(last, "id", "left_anti")) if untested else bad
+
+
+#: The columns of a run's results, and how many rows an export has.
+RESULT_COLUMNS = ("email", "first_name", "last_name", "full_name", "title", "company", "company_id", "company_domain", "icp_score", "verify_status", "verify_reason", "verified_at", "verify_label", "is_primary_for_person", "source_url")
+EXPORT_ROWS = 10_000
+
+
+def run_results(leads: DataFrame, people: DataFrame, companies: DataFrame, limit: int = EXPORT_ROWS) -> DataFrame:
+    """The first ``limit`` results of a run in all ``RESULT_COLUMNS``: best score first, those without a score last, then the newest, unverified before."""
+    own = people.select(F.col("id").alias("person_id"), "source_url")
+    homes = companies.select(F.col("id").alias("company_id"), F.col("domain").alias("company_domain"))
+    order = [F.col("icp_score").desc_nulls_last(), F.col("verified_at").desc_nulls_first(), "id"]
+    # the rows that are shown first, then what belongs to them
+    shown = labelled(leads).orderBy(*order).limit(limit)
+    return shown.join(own, "person_id", "left").join(homes, "company_id", "left").orderBy(*order).withColumnRenamed("is_primary", "is_primary_for_person").select(*RESULT_COLUMNS)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadlens.functions import emails as em
-from leadlens.operators import reports
+from leadlens.operators import leads, reports
 from leadlens.operators.latest import first_by
 from leadlens.plans import tables as T
-from leadlens.plans.lead_queries import lead_view, over_leads
+from leadlens.plans.lead_queries import PRIMARY, lead_view, over_leads
 from leadlens.plans.registry import query
 from leadlens.plans.tables import sql
 
@@ -123,6 +123,13 @@ def run_results(spark, d):
     return lead_view(spark, d).orderBy(*order).limit(100).select("id", "email", "icp_score", "verified_at")
 
 
+@query(over_leads(PRIMARY + """ SELECT l.email, first_name, last_name, full_name, title, company, company_id, 's' || company_id || '.example' AS company_domain, icp_score::INT AS icp_score, verify_status, verify_reason, verified_at,
+  CASE WHEN verify_status = 'valid' THEN CASE WHEN verify_reason = 'no_bounce_after_test_send' THEN 'valid_catchall_tested' ELSE 'valid_native' END || CASE WHEN primary_id IS NULL THEN '' WHEN primary_id = id THEN '_primary' ELSE '_alternate' END WHEN verify_status IS NULL THEN 'unknown' ELSE verify_status END AS verify_label,
+  primary_id = id AS is_primary_for_person, 'https://s' || company_id || '.example/team' AS source_url FROM l LEFT JOIN pr USING (person_id) ORDER BY l.icp_score DESC NULLS LAST, verified_at DESC NULLS FIRST, id LIMIT 10000"""))
+def run_export(spark, d):
+    return leads.run_results(lead_view(spark, d), T.people(spark, d), T.companies(spark, d))
+
+
 @query(sql("r", """, x AS (SELECT id, created_at, unnest(list_distinct(['s' || (user_id % 10) || '.example', 's' || (id % 10) || '.example'])) AS domain FROM r)
   SELECT domain, id FROM x QUALIFY row_number() OVER (PARTITION BY domain ORDER BY created_at DESC, id DESC) = 1"""))
 def latest_resolution(spark, d):
