@@ -66,12 +66,16 @@ class Text:
     def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
+    @functools.cached_property
+    def rolling(self) -> np.ndarray:
+        """The hash of the ``TRIGGER`` bytes from each place on."""
+        return mix((self.sums[TRIGGER:] - self.sums[:-TRIGGER]) * self.down[: self.n - TRIGGER + 1])
+
     def triggers(self) -> tuple[np.ndarray, np.ndarray]:
         """Trigger places and the row of each; a trigger's bytes lie in one row."""
         if self.n < TRIGGER:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        rolling = mix((self.sums[TRIGGER:] - self.sums[:-TRIGGER]) * self.down[: self.n - TRIGGER + 1])
-        at = np.flatnonzero(rolling < np.uint64((1 << 64) // PERIOD))
+        at = np.flatnonzero(self.rolling < np.uint64((1 << 64) // PERIOD))
         row = np.searchsorted(self.end, at, "right")
         inside = at + TRIGGER <= self.end[row]
         return at[inside], row[inside]
@@ -237,7 +241,7 @@ STARTS = "alpha long, rest int, doc long, low int"
 
 
 def _starts(batches: Iterator[pa.RecordBatch], share: int, shares: int) -> Iterator[pa.RecordBatch]:
-    """Texts with the runs left -> the names of each start's phrase suffix (those of one share), and of what fills the window behind it."""
+    """Texts with the runs left -> the names of each start's phrase suffix (those of one share, by the window's first bytes), and of what fills the window behind it."""
     for batch in blocks(batches, size=1 << 20):
         text = Text(_bytes(batch))
         at, _ = text.triggers()
@@ -250,14 +254,15 @@ def _starts(batches: Iterator[pa.RecordBatch], share: int, shares: int) -> Itera
             count = span[part] + 1
             own = np.repeat(row[part], count)
             start = np.repeat(low[part] + text.start[row[part]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            # a window's first bytes tell its share, before anything else is worked out of it
+            on = np.flatnonzero((text.rolling[start] >> np.uint64(32)) % np.uint64(shares) == np.uint64(share))
+            start, own = start[on], own[on]
             k = np.searchsorted(at, start, "right")
             some = at[k] <= start + REACH  # else the window is one phrase's, or the document ends in it
             cut = np.where(some, at[k] + TRIGGER, start + LENGTH)
             alpha = text.hash(start, cut)
-            on = np.flatnonzero((alpha >> np.uint64(32)) % np.uint64(shares) == np.uint64(share))
-            start, own, some, k = start[on], own[on], some[on], k[on]
             rest = (text.hash(np.where(some, at[k], start), start + LENGTH) >> np.uint64(32)).astype(np.uint32)
-            arrays = [alpha[on].view(np.int64), rest.view(np.int32), column(batch, "doc").to_numpy()[own], (start - text.start[own]).astype(np.int32)]
+            arrays = [alpha.view(np.int64), rest.view(np.int32), column(batch, "doc").to_numpy()[own], (start - text.start[own]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], _names(STARTS))
 
 
