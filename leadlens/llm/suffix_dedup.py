@@ -250,7 +250,7 @@ def _starts(batches: Iterator[pa.RecordBatch], share: int, shares: int) -> Itera
         per = pc.list_value_length(lows).to_numpy()
         row = np.repeat(np.arange(batch.num_rows), per)
         low, span = lows.flatten().to_numpy().astype(np.int64), spans.flatten().to_numpy().astype(np.int64)
-        for part in np.array_split(np.arange(len(low)), 1 + int((span + 1).sum()) // 50_000):
+        for part in np.array_split(np.arange(len(low)), 1 + int((span + 1).sum()) // 150_000):
             count = span[part] + 1
             own = np.repeat(row[part], count)
             start = np.repeat(low[part] + text.start[row[part]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
