@@ -70,6 +70,11 @@ def email_hash(email: Column) -> Column:
     return F.sha2(F.encode(F.lower(F.trim(email)), "UTF-8"), 256)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once a row; written out, each use in a lambda would work it out again."""
+    return F.transform(F.array(value), use)[0]
+
+
 def localpart(pattern: str, fn: Column, ln: Column) -> Column:
     """One pattern on normalised names; NULL if a part it needs is blank."""
     f1, l1 = F.substring(fn, 1, 1), F.substring(ln, 1, 1)
@@ -85,14 +90,20 @@ def localpart(pattern: str, fn: Column, ln: Column) -> Column:
 def permutations(first: Column, last: Column, preferred: Column | None = None, limit: int = MAX_PERMUTATIONS) -> Column:
     """array<struct(pattern, localpart)>: the preferred pattern first, then by preference, distinct, at most ``limit``."""
     fn, ln = (F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "") for c in (first, last))
-    every = F.array(*[F.struct(F.lit(p).alias("pattern"), localpart(p, fn, ln).alias("localpart")) for p in PATTERNS])
-    if preferred is not None:
-        own = F.filter(every, lambda x: x["pattern"] == preferred)
-        every = F.concat(own, F.filter(every, lambda x: ~F.coalesce(x["pattern"] == preferred, F.lit(False))))
-    usable = F.filter(every, lambda x: x["localpart"].isNotNull())
-    locals_ = F.transform(usable, lambda x: x["localpart"])
-    first_seen = F.filter(usable, lambda x, i: F.array_position(locals_, x["localpart"]) == i + 1)
-    return F.slice(first_seen, 1, limit)
+
+    def usable(n: Column) -> Column:
+        every = F.array(*[F.struct(F.lit(p).alias("pattern"), localpart(p, n["fn"], n["ln"]).alias("localpart")) for p in PATTERNS])
+        held = lambda rows: F.filter(rows, lambda x: x["localpart"].isNotNull())
+        if preferred is None:
+            return held(every)
+        return _once(held(every), lambda rows: F.concat(F.filter(rows, lambda x: x["pattern"] == n["preferred"]), F.filter(rows, lambda x: ~F.coalesce(x["pattern"] == n["preferred"], F.lit(False)))))
+
+    def distinct(rows: Column) -> Column:
+        locals_ = F.transform(rows, lambda x: x["localpart"])
+        return _once(locals_, lambda own: F.filter(rows, lambda x, i: F.array_position(own, x["localpart"]) == i + 1))
+
+    given = F.struct(fn.alias("fn"), ln.alias("ln"), (F.lit(None).cast("string") if preferred is None else preferred).alias("preferred"))
+    return F.slice(_once(_once(given, usable), distinct), 1, limit)
 
 
 def name_from_local(email: Column) -> Column:

@@ -325,7 +325,8 @@ PERM = """, n AS (SELECT id, regexp_replace(lower(first_name), '[^a-z0-9]', '',
 @query(sql("p", PERM))
 def permutations(spark, d):
     found = em.permutations(F.col("first_name"), F.col("last_name"))
-    return T.people(spark, d).select("id", F.array_join(F.transform(found, lambda x: x["localpart"]), ",").alias("locals"))
+    people = T.people(spark, d).repartition("id")  # behind a broadcast join a small file stays one task, whatever its rows cost
+    return people.select("id", F.array_join(F.transform(found, lambda x: x["localpart"]), ",").alias("locals"))
 
 
 @query(over_leads("""SELECT email_domain, pattern, hits, n FROM (SELECT email_domain, pattern, count(*) AS hits, any_value(n) AS n, min(rank) AS rank FROM (
