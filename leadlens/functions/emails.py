@@ -46,9 +46,12 @@ def deobfuscate(text: Column) -> Column:
 
 def is_role_or_placeholder(email: Column) -> Column:
     """A role's address, with or without a +tag, or one that takes no replies."""
-    loc = local(email)
+    return email.contains("@") & _role_local(local(email))
+
+
+def _role_local(loc: Column) -> Column:
     base = F.regexp_replace(loc, r"^([^+]+)\+.+$", "$1")
-    return email.contains("@") & (loc.isin(*ROLE_LOCALS) | base.isin(*ROLE_LOCALS) | loc.rlike("^no-?reply"))
+    return loc.isin(*ROLE_LOCALS) | (loc.contains("+") & base.isin(*ROLE_LOCALS)) | loc.startswith("noreply") | loc.startswith("no-reply")
 
 
 def is_export_role(email: Column) -> Column:
@@ -133,18 +136,21 @@ def candidates(first: Column, last: Column, domain: Column, folded_first: Column
     Patterns come first (the preferred one before all, cut to ``MAX_PERMUTATIONS`` before roles are
     left out), then older templates on names folded to ASCII. ``only``: one pattern, or one template as "{first}.{last}".
     """
-    fn, ln = (F.regexp_replace(c, "[^a-z0-9]", "") for c in (folded_first, folded_last))
     if only in PATTERNS:
         own = [x for x in (F.lower(F.coalesce(c, F.lit(""))) for c in (first, last))]
         locals_ = F.array(localpart(only, *(F.regexp_replace(c, "[^a-z0-9]", "") for c in own)))
-    elif only:
-        parts = re.fullmatch(r"\{(\w+)\}(.?)\{(\w+)\}", only)
-        locals_ = F.array(template(parts.groups(), fn, ln)) if parts else F.array(F.lit(""))
     else:
-        locals_ = F.concat(F.transform(permutations(first, last, preferred), lambda x: x["localpart"]), F.array(*[template(t, fn, ln) for t in TEMPLATES]))
+        folded = F.struct(*[F.regexp_replace(c, "[^a-z0-9]", "").alias(n) for n, c in (("fn", folded_first), ("ln", folded_last))])
+        filled = lambda every: _once(folded, lambda n: F.array(*[template(t, n["fn"], n["ln"]) for t in every]))
+        if only:
+            parts = re.fullmatch(r"\{(\w+)\}(.?)\{(\w+)\}", only)
+            locals_ = filled([parts.groups()]) if parts else F.array(F.lit(""))
+        else:
+            locals_ = F.concat(F.transform(permutations(first, last, preferred), lambda x: x["localpart"]), filled(TEMPLATES))
     dom = F.lower(F.trim(domain))
-    whole = F.transform(F.filter(locals_, lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.concat(x, F.lit("@"), dom))
-    kept = F.slice(F.array_distinct(F.filter(whole, lambda e: ~is_role_or_placeholder(e))), 1, max(cap, 0))
+    # local parts are lower case without a sign, so each is judged before the domain is put to it
+    own = F.filter(F.array_distinct(locals_), lambda x: (F.coalesce(x, F.lit("")) != "") & ~_role_local(x))
+    kept = F.slice(F.transform(own, lambda x: F.concat(x, F.lit("@"), dom)), 1, max(cap, 0))
     usable = (F.concat(F.coalesce(first, F.lit("")), F.coalesce(last, F.lit(""))) != "") & (F.coalesce(domain, F.lit("")) != "")
     return F.when(usable, kept).otherwise(F.array().cast("array<string>"))
 

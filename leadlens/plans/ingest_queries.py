@@ -79,7 +79,8 @@ SELECT id, CASE WHEN coalesce(fn, '') || coalesce(ln, '') = '' THEN '' ELSE arra
 
 @query(CANDIDATES)
 def candidate_addresses(spark, d):
-    rows = keyed(spark, d, fn=(FIRST, 1), ln=(LAST, 9)).withColumns({"a": names.ascii_fold(F.coalesce("fn", F.lit(""))), "b": names.ascii_fold(F.coalesce("ln", F.lit("")))})
+    rows = keyed(spark, d, fn=(FIRST, 1), ln=(LAST, 9)).repartition("id")  # a small file is one task, whatever its rows cost
+    rows = rows.withColumns({"a": names.ascii_fold(F.coalesce("fn", F.lit(""))), "b": names.ascii_fold(F.coalesce("ln", F.lit("")))})
     found = em.candidates(F.col("fn"), F.col("ln"), F.lit(" X.example"), F.col("a"), F.col("b"), cap=9)
     return rows.select("id", F.array_join(found, ",").alias("emails"))
 

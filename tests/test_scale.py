@@ -21,3 +21,12 @@ def test_permutations_normalise_a_name_once(spark):
     assert got[0] == "last:lee,first.last:ann.lee,first_last:ann_lee,firstlast:annlee,first:ann,flast:alee"
     assert got[1] == "first:ann" and got[2] == "last:lee" and got[4] == "last:ab"
     assert got[3] == "last:bo,first.last:bo.bo,first_last:bo_bo,firstlast:bobo,flast:bbo,firstl:bob"
+
+
+def test_candidates_fold_names_once_and_drop_roles(spark):
+    rows = people(spark).union(spark.createDataFrame([("info", ""), ("no", "reply")], "f string, l string"))
+    df = rows.select(em.candidates(F.col("f"), F.col("l"), F.lit(" X.example"), F.lower("f"), F.lower("l"), cap=20).alias("c"))
+    assert worked_out(df, "regexp_replace(") <= 5  # two names, as given and folded, and the tag of an address
+    got = [r["c"] for r in df.collect()]
+    assert got[0][:3] == ["ann.lee@x.example", "ann_lee@x.example", "annlee@x.example"] and len(got[0]) == len(set(got[0]))
+    assert "info@x.example" not in got[5] and "noreply@x.example" not in got[6] and "no.reply@x.example" in got[6]
