@@ -30,3 +30,9 @@ def test_candidates_fold_names_once_and_drop_roles(spark):
     got = [r["c"] for r in df.collect()]
     assert got[0][:3] == ["ann.lee@x.example", "ann_lee@x.example", "annlee@x.example"] and len(got[0]) == len(set(got[0]))
     assert "info@x.example" not in got[5] and "noreply@x.example" not in got[6] and "no.reply@x.example" in got[6]
+
+
+def test_pattern_of_normalises_a_name_once(spark):
+    df = spark.createDataFrame([("ann_lee", "Ann", "Lee"), ("bo", "Bo", "Bo"), ("x", "Ann", "Lee")], "x string, f string, l string").select(em.pattern_of(F.col("x"), F.col("f"), F.col("l")).alias("p"))
+    assert worked_out(df, "regexp_replace(") == 2
+    assert [r["p"] for r in df.collect()] == ["first_last", "first", None]
