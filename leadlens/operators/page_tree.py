@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,11 @@ FRAME_WORDS = ("footer", "nav", "menu", "sidebar")
 FRAME_CLASSES = ("header", "site-header", "quick-links", "useful-links")
 
 #: Of an element: range of its strings, last element within, parent, next sibling (-1: none), nearest ancestors of BOXES and BLOCKS,
-#: element children, PEERS among them and their strings, range of strings of the sibling before it (text or element), whether it lies in a frame.
-NUMBERS = ("at", "low", "high", "last", "parent", "next", "box", "block", "kids", "peers", "peer_strings", "before_low", "before_high")
+#: element children, PEERS among them and their strings, range of strings of the sibling before it (text or element), headings before it, whether it lies in a frame.
+NUMBERS = ("at", "low", "high", "last", "parent", "next", "box", "block", "kids", "peers", "peer_strings", "before_low", "before_high", "heads")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Characters of pages, and pages, that are parsed before their trees are handed on: an element takes over a kilobyte as an object.
+BUNCH, BUNCH_PAGES = 1_000_000, 200
 WORDS = ("tag", "id", "class", "href", "alt")
 ELEMENT = "struct<" + ",".join([f"{n}:int" for n in NUMBERS] + ["framed:boolean"] + [f"{n}:string" for n in WORDS]) + ">"
 TREE = f"page_id long, strings array<string>, owners array<int>, elements array<{ELEMENT}>, attributes array<struct<owner:int,link:boolean,value:string>>, data array<string>"
@@ -47,6 +51,7 @@ class _Tree(HTMLParser):
         self.open: list[int] = []
         self.ends: dict[int, tuple[int, int, int]] = {}  # of a parent: last child element and the strings of the last child
         self.framing: list[bool] = []
+        self.heads = 0
 
     def _inner(self, names: tuple[str, ...]) -> int:
         return next((k for k in reversed(self.open) if self.elements[k]["tag"] in names), -1)
@@ -58,7 +63,8 @@ class _Tree(HTMLParser):
         if child >= 0:
             self.elements[child]["next"] = at
         classes = held.get("class", "").lower()
-        element = {n: -1 for n in NUMBERS} | {"at": at, "low": len(self.strings), "parent": parent, "box": self._inner(BOXES), "block": self._inner(BLOCKS), "kids": 0, "peers": 0, "peer_strings": 0, "before_low": low, "before_high": high}
+        element = {n: -1 for n in NUMBERS} | {"at": at, "low": len(self.strings), "parent": parent, "box": self._inner(BOXES), "block": self._inner(BLOCKS), "kids": 0, "peers": 0, "peer_strings": 0, "before_low": low, "before_high": high, "heads": self.heads}
+        self.heads += tag in HEADINGS
         element |= {"tag": tag, "id": held.get("id", "").strip().lower(), "class": classes, "href": held.get("href", ""), "alt": held.get("alt", ""), "framed": bool(self.framing) and self.framing[-1]}
         self.elements.append(element)
         self.attributes += [(at, name == "href" and tag == "a", value) for name, value in held.items() if "@" in value or "%40" in value or " at " in value.lower() or "[at]" in value.lower() or "(at)" in value.lower()]
@@ -119,9 +125,22 @@ def _lists(values: list, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind) if not isinstance(values, pa.Array) else values)
 
 
+def _bunches(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``BUNCH_PAGES`` pages and, unless a page alone is longer, ``BUNCH`` characters."""
+    sizes = [n or 0 for n in pc.utf8_length(whole.column(1)).to_pylist()]
+    start = held = 0
+    for k, n in enumerate(sizes):
+        if k > start and (held + n > BUNCH or k - start == BUNCH_PAGES):
+            yield whole.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield whole.slice(start)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
+        for batch in _bunches(whole):
             trees = []
             for html in batch.column(1).to_pylist():
                 tree = _Tree()
