@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadlens.functions.once import once
+
 EMAIL = r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 #: Local parts of roles and placeholders; those that an export counts as roles; role words on pages; roles left out of pattern inference.
 ROLE_LOCALS = ("info", "hello", "support", "help", "sales", "contact", "team", "office", "careers", "jobs", "hr", "billing", "accounts", "privacy", "legal", "security", "admin", "webmaster", "newsletter", "press", "media", "example")
@@ -73,11 +75,6 @@ def email_hash(email: Column) -> Column:
     return F.sha2(F.encode(F.lower(F.trim(email)), "UTF-8"), 256)
 
 
-def _once(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once a row; written out, each use in a lambda would work it out again."""
-    return F.transform(F.array(value), use)[0]
-
-
 def localpart(pattern: str, fn: Column, ln: Column) -> Column:
     """One pattern on normalised names; NULL if a part it needs is blank."""
     f1, l1 = F.substring(fn, 1, 1), F.substring(ln, 1, 1)
@@ -99,14 +96,14 @@ def permutations(first: Column, last: Column, preferred: Column | None = None, l
         held = lambda rows: F.filter(rows, lambda x: x["localpart"].isNotNull())
         if preferred is None:
             return held(every)
-        return _once(held(every), lambda rows: F.concat(F.filter(rows, lambda x: x["pattern"] == n["preferred"]), F.filter(rows, lambda x: ~F.coalesce(x["pattern"] == n["preferred"], F.lit(False)))))
+        return once(held(every), lambda rows: F.concat(F.filter(rows, lambda x: x["pattern"] == n["preferred"]), F.filter(rows, lambda x: ~F.coalesce(x["pattern"] == n["preferred"], F.lit(False)))))
 
     def distinct(rows: Column) -> Column:
         locals_ = F.transform(rows, lambda x: x["localpart"])
-        return _once(locals_, lambda own: F.filter(rows, lambda x, i: F.array_position(own, x["localpart"]) == i + 1))
+        return once(locals_, lambda own: F.filter(rows, lambda x, i: F.array_position(own, x["localpart"]) == i + 1))
 
     given = F.struct(fn.alias("fn"), ln.alias("ln"), (F.lit(None).cast("string") if preferred is None else preferred).alias("preferred"))
-    return F.slice(_once(_once(given, usable), distinct), 1, limit)
+    return F.slice(once(once(given, usable), distinct), 1, limit)
 
 
 def name_from_local(email: Column) -> Column:
@@ -141,7 +138,7 @@ def candidates(first: Column, last: Column, domain: Column, folded_first: Column
         locals_ = F.array(localpart(only, *(F.regexp_replace(c, "[^a-z0-9]", "") for c in own)))
     else:
         folded = F.struct(*[F.regexp_replace(c, "[^a-z0-9]", "").alias(n) for n, c in (("fn", folded_first), ("ln", folded_last))])
-        filled = lambda every: _once(folded, lambda n: F.array(*[template(t, n["fn"], n["ln"]) for t in every]))
+        filled = lambda every: once(folded, lambda n: F.array(*[template(t, n["fn"], n["ln"]) for t in every]))
         if only:
             parts = re.fullmatch(r"\{(\w+)\}(.?)\{(\w+)\}", only)
             locals_ = filled([parts.groups()]) if parts else F.array(F.lit(""))

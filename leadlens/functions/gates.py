@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadlens.functions.once import once
+
 # ---- Fixed values: words and patterns that results depend on.
 #: Standards and business abbreviations that look like names.
 COMPLIANCE = ("pci", "pcidss", "pci-dss", "pci dss", "soc", "soc1", "soc2", "soc 1", "soc 2", "soc-1", "soc-2", "iso", "iso27001", "iso 27001", "iso-27001", "iso27k", "hipaa", "hitech", "gdpr", "ccpa", "cpra", "ferpa", "glba", "sox", "sarbanes-oxley", "sarbanes oxley", "fedramp", "fed-ramp", "fed ramp", "nist", "cis", "cmmc", "fisma", "itar", "hitrust", "aicpa", "ssae", "ssae16", "ssae18", "api", "sdk", "saas", "paas", "iaas", "roi", "kpi", "okr", "nps", "crm", "erp", "hrm", "hris", "gdp", "cagr", "arr", "mrr")
@@ -57,8 +59,7 @@ def is_compliance_term(c: Column) -> Column:
 
 def is_geography_term(c: Column) -> Column:
     """A place, a direction, or a direction and a word ("north bethesda")."""
-    low = _low(c)
-    return low.isin(*GEOGRAPHY, *DIRECTIONS) | low.rlike(r"^(north|south|east|west)\s+[a-z][a-z\s'-]+$")
+    return once(_low(c), lambda low: low.isin(*GEOGRAPHY, *DIRECTIONS) | low.rlike(r"^(north|south|east|west)\s+[a-z][a-z\s'-]+$"))
 
 
 def is_navigation(c: Column) -> Column:
@@ -92,51 +93,61 @@ def is_placeholder(email: Column) -> Column:
 
 def person_name_reason(name: Column) -> Column:
     """Why a string can't be a person's name: the first of fifteen checks that fails; NULL if none does."""
-    clean = F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", "")
     edge = r"[ ,;:|/\\()\[\]{}<>]"
-    tokens = F.transform(F.split(F.regexp_replace(F.regexp_replace(clean, r"\s+", " "), r"^[ ,;:|/\\]+|[ ,;:|/\\]+$", ""), " "), lambda t: F.regexp_replace(t, f"^{edge}+|{edge}+$", ""))
-    tokens = F.filter(tokens, lambda t: t != "")
+    tokens_of = lambda clean: F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(clean, r"\s+", " "), r"^[ ,;:|/\\]+|[ ,;:|/\\]+$", ""), " "), lambda t: F.regexp_replace(t, f"^{edge}+|{edge}+$", "")), lambda t: t != "")
     dotless = lambda t: F.lower(F.regexp_replace(t, r"^\.+|\.+$", ""))
-    core = F.filter(tokens, lambda t: ~dotless(t).isin(*SUFFIXES))
-    other = F.try_element_at(F.filter(F.transform(core, dotless), lambda t: t.isin(*NOT_NAMES)), F.lit(1))
+    core_of = lambda tokens: F.filter(tokens, lambda t: ~dotless(t).isin(*SUFFIXES))
     letters = r"^\p{L}+$"
     spelt = lambda t: F.lower(t).isin(*PARTICLES) | dotless(t).rlike(r"^\p{L}$") | t.rlike(r"^[A-Za-z][A-Za-z'.-]*$")
     part = lambda t: (F.length(dotless(t)) >= 2) & F.regexp_replace(dotless(t), "['-]", "").rlike(letters)
-    words = F.split(clean, r"\s+")
-    return (
-        F.when(clean == "", "empty_name")
-        .when(is_compliance_term(clean), "compliance_term")
-        .when(is_geography_term(clean), "geography_term")
-        .when(is_navigation(clean), "nav_boilerplate")
-        .when(clean.rlike(r"^[\p{Nd}\s.-]+$"), "numeric_only")
-        .when(clean.rlike(r"\p{Nd}"), "contains_digits")
-        .when(clean.contains("@"), "contains_at_sign")
-        .when(F.size(tokens) == 0, "empty_tokens")
-        .when(F.size(core) > 5, "too_many_tokens")
-        .when(other.isNotNull(), F.concat(F.lit("non_person_token:"), other))
-        .when((F.size(core) >= 3) & F.exists(core, lambda t: F.lower(t).isin(*GLUE)), "looks_like_phrase")
-        .when(F.exists(core, lambda t: ~spelt(t)), "bad_token_chars")
-        .when((F.upper(clean) == clean) & (F.lower(clean) != clean) & (F.size(words) <= 3) & F.forall(words, lambda w: F.length(w) <= 6), "likely_acronym")
-        .when(F.size(core) == 1, F.when(F.length(dotless(core[0])) < 3, "single_token_too_short"))
-        .when(F.size(F.filter(core, part)) < 2, "not_enough_name_parts")
-    )
+
+    def of_tokens(clean: Column, tokens: Column, core: Column) -> Column:
+        other = F.try_element_at(F.filter(F.transform(core, dotless), lambda t: t.isin(*NOT_NAMES)), F.lit(1))
+        words = F.split(clean, r"\s+")
+        return (
+            F.when(F.size(tokens) == 0, "empty_tokens")
+            .when(F.size(core) > 5, "too_many_tokens")
+            .when(other.isNotNull(), F.concat(F.lit("non_person_token:"), other))
+            .when((F.size(core) >= 3) & F.exists(core, lambda t: F.lower(t).isin(*GLUE)), "looks_like_phrase")
+            .when(F.exists(core, lambda t: ~spelt(t)), "bad_token_chars")
+            .when((F.upper(clean) == clean) & (F.lower(clean) != clean) & (F.size(words) <= 3) & F.forall(words, lambda w: F.length(w) <= 6), "likely_acronym")
+            .when(F.size(core) == 1, F.when(F.length(dotless(core[0])) < 3, "single_token_too_short"))
+            .when(F.size(F.filter(core, part)) < 2, "not_enough_name_parts")
+        )
+
+    def of_clean(clean: Column) -> Column:
+        return (
+            F.when(clean == "", "empty_name")
+            .when(is_compliance_term(clean), "compliance_term")
+            .when(is_geography_term(clean), "geography_term")
+            .when(is_navigation(clean), "nav_boilerplate")
+            .when(clean.rlike(r"^[\p{Nd}\s.-]+$"), "numeric_only")
+            .when(clean.rlike(r"\p{Nd}"), "contains_digits")
+            .when(clean.contains("@"), "contains_at_sign")
+            .otherwise(once(tokens_of(clean), lambda tokens: once(core_of(tokens), lambda core: of_tokens(clean, tokens, core))))
+        )
+
+    return once(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", ""), of_clean)
 
 
 def title_reason(title: Column) -> Column:
     """Why a string can't be a job title; NULL if it can, and for a blank one."""
+
+    def told(clean: Column, low: Column) -> Column:
+        return (
+            F.when(clean == "", F.lit(None).cast("string"))
+            .when(F.length(clean) > LONGEST_TITLE, "title_too_long")
+            .when(is_geography_term(clean), "geography_as_title")
+            .when(is_navigation(clean), "nav_boilerplate_as_title")
+            .when(_holds(clean, BLURBS), "marketing_buzzword_in_title")
+            .when(low.contains(" in action") & low.rlike("^(see|watch) "), "cta_see_in_action")
+            .when(low.rlike(f"^({'|'.join(CALLS)})"), "cta_prefix")
+            .when(low.contains("opportunities") & low.contains("unlock"), "cta_unlock_opportunities")
+            .when(~low.rlike(rf"\b({'|'.join(ROLE_WORDS)})\b"), "missing_role_keyword")
+        )
+
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", " "), "^ | $", "")
-    low = F.lower(clean)
-    return (
-        F.when(clean == "", F.lit(None).cast("string"))
-        .when(F.length(clean) > LONGEST_TITLE, "title_too_long")
-        .when(is_geography_term(clean), "geography_as_title")
-        .when(is_navigation(clean), "nav_boilerplate_as_title")
-        .when(_holds(clean, BLURBS), "marketing_buzzword_in_title")
-        .when(low.contains(" in action") & low.rlike("^(see|watch) "), "cta_see_in_action")
-        .when(low.rlike(f"^({'|'.join(CALLS)})"), "cta_prefix")
-        .when(low.contains("opportunities") & low.contains("unlock"), "cta_unlock_opportunities")
-        .when(~low.rlike(rf"\b({'|'.join(ROLE_WORDS)})\b"), "missing_role_keyword")
-    )
+    return once(clean, lambda c: once(F.lower(c), lambda low: told(c, low)))
 
 
 def candidate_reason(name: Column, email: Column) -> Column:
@@ -148,7 +159,7 @@ def candidate_reason(name: Column, email: Column) -> Column:
         .when(~_blank(name) & why.isNotNull(), F.concat(F.lit("invalid_name:"), why))
         .when(_blank(name) & _blank(email), "no_name_or_email")
     )
-    return F.transform(F.array(person_name_reason(name)), told)[0]
+    return once(person_name_reason(name), told)
 
 
 def clean_title(title: Column) -> Column:

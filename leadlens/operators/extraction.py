@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlens.functions import emails, gates, url_rules, urls
+from leadlens.functions.once import once
 from leadlens.operators.ingest import without_credentials
-from leadlens.operators.page_tree import element, part, trees
+from leadlens.operators.page_tree import HEADINGS, element, part, trees
 
 # ---- Fixed values: words that results depend on.
 #: Parts of job titles: no name has one.
@@ -38,25 +39,29 @@ PEOPLE_SIGNALS = ("leadership team", "executive team", "executive leadership", "
 ENOUGH, SNIPPET, LEAST_SCORE = 3, 280, 4
 # ---- end of fixed values
 
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 CARD_TAGS = ("div", "li", "article", "section")
 CARD = "struct<name:string,title:string,kind:string>"
 
 
 def like_name(text: Column) -> Column:
     """Two to five capitalised words of letters, without titles, that the gate for names lets through; credentials don't count."""
-    clean = without_credentials(F.trim(text))
-    low = F.lower(clean)
-    shaped = F.length(clean).between(3, 80) & clean.rlike(r"^\S+(\s+\S+){1,4}$") & F.regexp_replace(clean, "[-'.]", "").rlike(r"^\p{Lu}\p{L}*(\s+(\p{Lu}\p{L}*)?)*$")
-    job = low.rlike("|".join(JOBS)) | low.rlike(rf"\b({'|'.join(TRADES)})\b")
-    return F.when(shaped & ~job, gates.person_name_reason(clean).isNull()).otherwise(False)
+
+    def told(clean: Column) -> Column:
+        shaped = F.length(clean).between(3, 80) & clean.rlike(r"^\S+(\s+\S+){1,4}$") & F.regexp_replace(clean, "[-'.]", "").rlike(r"^\p{Lu}\p{L}*(\s+(\p{Lu}\p{L}*)?)*$")
+        job = once(F.lower(clean), lambda low: low.rlike("|".join(JOBS)) | low.rlike(rf"\b({'|'.join(TRADES)})\b"))
+        return F.when(shaped, F.when(~job, gates.person_name_reason(clean).isNull()).otherwise(False)).otherwise(False)
+
+    return once(without_credentials(F.trim(text)), told)
 
 
 def like_title(text: Column) -> Column:
     """A job title: the gate for titles lets it through, and it is short or has a title's words."""
-    clean = F.trim(text)
-    plausible = (clean != "") & (F.length(clean) <= 100) & ((F.length(clean) <= 40) | F.lower(clean).rlike("|".join(JOBS)))
-    return F.when(plausible, gates.title_reason(clean).isNull()).otherwise(False)
+
+    def told(clean: Column) -> Column:
+        plausible = (clean != "") & (F.length(clean) <= 100) & ((F.length(clean) <= 40) | F.lower(clean).rlike("|".join(JOBS)))
+        return F.when(plausible, gates.title_reason(clean).isNull()).otherwise(False)
+
+    return once(F.trim(text), told)
 
 
 def _said(strings: Column) -> Column:
@@ -220,8 +225,9 @@ def addresses(tree: DataFrame) -> DataFrame:
         me = element(elements, owner)
         up = F.when(me.isNotNull(), element(elements, me["parent"]))
         before = F.when(up.isNotNull() & (up["before_low"] >= 0), F.array_join(part(strings, up["before_low"], up["before_high"]), " "))
-        heads = F.reverse(F.filter(F.col("heads"), lambda h: h["at"] < F.when(up.isNotNull(), up["at"]).otherwise(owner)))
-        near = F.when(text, F.array(words(me))).otherwise(F.concat(F.array(words(me), words(up), before), F.transform(F.slice(heads, 1, 20), words)))
+        seen = F.coalesce(up["heads"], me["heads"], F.lit(0))  # headings before the parent, or the element without one
+        heads = F.reverse(F.slice("heads", F.greatest(seen - 20, F.lit(0)) + 1, F.least(seen, F.lit(20))))
+        near = F.when(text, F.array(words(me))).otherwise(F.concat(F.array(words(me), words(up), before), F.transform(heads, words)))
         kind = F.when(text, "text").when((me["tag"] == "a") & F.lower(me["href"]).startswith("mailto:"), "mailto_link").when(me["tag"] == "a", "link").otherwise(me["tag"])
         said = F.when(text, value).otherwise(words(me))
         return F.struct(pass_.alias("pass"), at.alias("at"), value.alias("value"), link.alias("link"), near.alias("near"), kind.alias("kind"), F.substring(F.regexp_replace(said, r"\s+", " "), 1, SNIPPET).alias("snippet"))
@@ -234,7 +240,9 @@ def addresses(tree: DataFrame) -> DataFrame:
     rows = rows.select("page_id", "pass", "at", "near", "kind", "snippet", F.posexplode("mails").alias("k", "email"))
     found = rows.groupBy("page_id", "email").agg(F.min_by(F.struct("near", "kind", "snippet"), F.struct("pass", "at", "k")).alias("f")).select("page_id", "email", "f.*")
     role = emails.role_like(F.col("email"))
-    nearest = F.try_element_at(F.filter(F.transform(F.array_compact("near"), name_piece), lambda n: n.isNotNull()), F.lit(1))
+    found = found.withColumn("near", F.array_compact("near"))
+    first = lambda strings: F.try_element_at(F.filter(F.transform(strings, name_piece), lambda n: n.isNotNull()), F.lit(1))
+    nearest = F.coalesce(*[first(F.slice("near", at, n)) for at, n in ((1, 1), (2, 1), (3, 2), (5, 40))])  # the rest only where none was found
     return found.select("page_id", "email", F.coalesce(nearest, F.when(~role, emails.name_from_local(F.col("email")))).alias("name"), "kind", F.nullif("snippet", F.lit("")).alias("snippet"), role.alias("is_role"))
 
 
@@ -259,10 +267,10 @@ def candidates(pages: DataFrame) -> DataFrame:
     mails = mails.where(F.col("domain").isNull() | emails.same_org(F.split_part("email", F.lit("@"), F.lit(2)), F.col("domain")))
     people = cards(trees(own.where(card_gate(F.col("url"), F.col("html")))))
     people = people.where(gates.candidate_reason(F.col("name"), F.lit(None).cast("string")).isNull()).withColumn("key", F.lower("name"))
-    titles = people.groupBy("page_id", "key").agg(F.max_by("title", F.length("title")).alias("title"))
-    mails = mails.withColumn("key", F.lower("name")).join(titles, ["page_id", "key"], "left")
-    mails = mails.where(gates.candidate_reason(F.col("name"), F.col("email")).isNull()).select("page_id", "email", "name", "title", "kind", "snippet", "is_role")
-    named = mails.select("page_id", F.lower("name").alias("key")).where("key is not null").distinct()
-    alone = people.join(named, ["page_id", "key"], "left_anti")
     snippet = F.concat_ws(" - ", "name", "title")
-    return mails.unionByName(alone.select("page_id", F.lit(None).cast("string").alias("email"), "name", "title", "kind", snippet.alias("snippet"), F.lit(False).alias("is_role")))
+    alone = people.select("page_id", "key", F.lit(None).cast("string").alias("email"), "name", "title", "kind", snippet.alias("snippet"), F.lit(False).alias("is_role"), F.lit(True).alias("card"))
+    mails = mails.where(gates.candidate_reason(F.col("name"), F.col("email")).isNull()).select("page_id", F.lower("name").alias("key"), "email", "name", F.lit(None).cast("string").alias("title"), "kind", "snippet", "is_role", F.lit(False).alias("card"))
+    same = Window.partitionBy("page_id", "key")
+    both = alone.unionByName(mails).withColumns({"best": F.max_by("title", F.length("title")).over(same), "addressed": F.max(~F.col("card")).over(same)})
+    title = F.when(F.col("card"), F.col("title")).otherwise(F.col("best"))
+    return both.where(~(F.col("card") & F.col("addressed"))).select("page_id", "email", "name", title.alias("title"), "kind", "snippet", "is_role")

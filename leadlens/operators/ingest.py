@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.functions import names
+from leadlens.functions.once import once
 
 #: The row cap of an import; roles that say nothing; credentials behind names; words of headings that aren't names (with the general ones, ``STOPWORDS``); modes and their spellings.
 MAX_ROWS = 10_000
@@ -41,7 +42,7 @@ def without_credentials(name: Column) -> Column:
     """A name without CPA, MBA and the like, in any case, with commas and brackets around them."""
     pattern = rf"(?i),?\s*\(?\b({'|'.join(map(re.escape, CREDENTIALS))})\b\)?"
     clean = F.trim(F.regexp_replace(F.trim(F.regexp_replace(name, pattern, "")), ",+$", ""))
-    return F.when(clean == "", name).otherwise(clean)
+    return once(clean, lambda c: F.when(c == "", name).otherwise(c))
 
 
 def iso_z(at: Column) -> Column:
