@@ -17,11 +17,11 @@ def name_key(name: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\s+", " ")), F.lit(""))
 
 
-def _order(name: Column) -> list[Column]:
-    """Best first: with an address, a leader's title, any title, a page without a locale, by name; then by page and address, so ties have one order."""
+def _order(name: Column, columns: list[str]) -> list[Column]:
+    """Best first: with an address, a leader's title, any title, a page without a locale, by name; then by page, address, id, name and title, so ties have one order."""
     title = F.coalesce("title", F.lit(""))
     last = lambda hit: F.when(hit, 0).otherwise(1)
-    return [last(F.coalesce("email", F.lit("")) != ""), last(gates.has_leadership_title(title)), last(title != ""), F.when(urls.is_locale_url(F.col("url")), 1).otherwise(0), name, F.col("url").asc_nulls_first(), F.col("email").asc_nulls_last()]
+    return [last(F.coalesce("email", F.lit("")) != ""), last(gates.has_leadership_title(title)), last(title != ""), F.when(urls.is_locale_url(F.col("url")), 1).otherwise(0), name, F.col("url").asc_nulls_first(), F.col("email").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ("id", "name", "title") if c in columns]]
 
 
 def steps(candidates: DataFrame, most: int = MOST) -> DataFrame:
@@ -37,7 +37,7 @@ def steps(candidates: DataFrame, most: int = MOST) -> DataFrame:
     early = F.when(url_rules.is_news(F.col("url")), STEPS[0]).when(~addressed & (key.isNull() | gates.person_name_reason(F.col("name")).isNotNull()), STEPS[1])
     rows = candidates.withColumns({"key": key, "step": early, "path": urls.path_without_locale(F.col("url"))})
     left = F.col("step").isNull()
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*_order(F.col("key"))))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*_order(F.col("key"), candidates.columns)))
     named = left & F.col("key").isNotNull()
     rows = rows.withColumn("step", F.coalesce("step", F.when(named & (first("company", named, "key", "path") > 1), STEPS[2])))
     left = F.col("step").isNull()
