@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,10 +63,19 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()) or None, na_action="ignore")
 
 
-@arrow("string")
-def ascii_fold(s: pd.Series) -> pd.Series:
+#: Texts that are held as Python strings at once.
+AT_ONCE = 64
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    fold = lambda x: " ".join((x.lower() if x.isascii() else latin(x)).split())
+    parts = (texts.slice(k, AT_ONCE).to_pylist() for k in range(0, len(texts), AT_ONCE))
+    return pa.concat_arrays([pa.array([], pa.string())] + [pa.array([None if x is None else fold(x) for x in part], pa.string()) for part in parts])
+
+
+def ascii_fold(c: Column) -> Column:
     """Lower case in Latin letters (``transliteration``); what isn't ASCII then is dropped; white space collapsed."""
-    return s.map(lambda x: " ".join(latin(x).split()), na_action="ignore")
+    return F.arrow_udf(_folded, "string")(c)
 
 
 @arrow("string")
