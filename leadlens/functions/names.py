@@ -245,6 +245,8 @@ FAMILY_WORDS = (
 LADDER_WORDS = (
     ("C", ("chief", "ceo", "cfo", "coo", "cto", "cmo", "cio", "ciso", "president", "general counsel", "gc")), ("VP", ("svp", "evp", "vice president", "vp")), ("Director", ("director", "head of")), ("Manager", ("manager", "mgr")),
 )
+#: Family and seniority where nothing else tells them.
+UNTITLED = ("General Management", "IC")
 
 
 def canonical_title(title: Column) -> tuple[Column, Column]:
@@ -264,7 +266,7 @@ def canonical_title(title: Column) -> tuple[Column, Column]:
         found = first([(holds(own), name) for name, own in FAMILY_WORDS])
         ladder = first([(holds(own), name) for name, own in LADDER_WORDS])
         known = [(t == x, f"{fam}|{sen}") for x, fam, sen in EXACT_TITLES] + [(t.contains(x), f"{fam}|{sen}") for x, fam, sen in TITLE_RULES]
-        return F.coalesce(first(known), F.concat_ws("|", F.coalesce(found, F.lit("General Management")), F.coalesce(ladder, F.when(found == "Founder", "C"), F.lit("IC"))))
+        return F.coalesce(first(known), F.concat_ws("|", F.coalesce(found, F.lit(UNTITLED[0])), F.coalesce(ladder, F.when(found == "Founder", "C"), F.lit(UNTITLED[1]))))
 
     # within a lambda, so that filters which repeat it don't outgrow a compiled method
     told = F.transform(F.array(low), tell)[0]

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from leadlens.functions import emails as em
 from leadlens.functions import labels
-from leadlens.functions.names import canonical_title
+from leadlens.functions.names import UNTITLED, canonical_title
 from leadlens.operators.latest import first_by, latest
 
 #: Points of a score, and the default export policy.
@@ -53,15 +53,23 @@ def score(role_family: Column, seniority: Column, size: Column | None = None, in
     return F.when(missing, 0).otherwise(cut).cast("int"), F.when(missing, F.array(F.lit("missing_min_required"))).otherwise(why)
 
 
+def titled(people: DataFrame) -> DataFrame:
+    """``people`` with role_family and seniority of their titles; a title is judged once, however many people have it."""
+    # judged behind a count: else Spark moves a filter on the outcome below the aggregate and across the join, and judges every person several times
+    titles = people.select("title").distinct().groupBy("title").agg(F.count("*").alias("n"))
+    family, seniority = canonical_title(F.when(F.col("n") > 0, F.col("title")))
+    out = people.join(titles.select("title", family.alias("role_family"), seniority.alias("seniority")), "title", "left")
+    return out.fillna(dict(zip(("role_family", "seniority"), UNTITLED))).select(*people.columns, "role_family", "seniority")
+
+
 def view(emails: DataFrame, people: DataFrame, companies: DataFrame, results: DataFrame) -> DataFrame:
     """One row per address with its person, company and latest result."""
-    v = latest(results, "view").select(F.col("email_id").alias("id"), "verify_status", "verify_reason", "verified_at", "mx_host")
-    family, seniority = canonical_title(F.col("title"))
-    p = people.select(F.col("id").alias("person_id"), "first_name", "last_name", "full_name", "title", family.alias("role_family"), seniority.alias("seniority"))
+    told = ("verify_status", "verify_reason", "verified_at", "mx_host")
+    v = latest(results.select("email_id", "id", "checked_at", *told), "view").select(F.col("email_id").alias("id"), *told)
+    p = titled(people.select(F.col("id").alias("person_id"), "first_name", "last_name", "full_name", "title"))
     c = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"), "industry", "size_bucket")
     out = emails.join(v, "id", "left").join(p, "person_id", "left").join(c, "company_id", "left")
-    untitled = [c.cast("string") for c in canonical_title(F.lit(None).cast("string"))]  # of an address without a person
-    out = out.withColumns({"role_family": F.coalesce("role_family", untitled[0]), "seniority": F.coalesce("seniority", untitled[1])})
+    out = out.fillna(dict(zip(("role_family", "seniority"), UNTITLED)))  # an address without a person
     points, _ = score(F.col("role_family"), F.col("seniority"))
     return out.withColumn("icp_score", points).withColumn("email_domain", em.domain_split(F.col("email")))
 

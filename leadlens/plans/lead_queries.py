@@ -258,9 +258,8 @@ def facets_search(spark, d):
 
 @query(over_leads("SELECT person_id, icp_score::INT AS icp_score, CASE WHEN role_family IS NULL THEN 'missing_min_required' ELSE concat_ws(';', CASE WHEN role_family IN ('Sales','Engineering','Marketing','Customer Success','Operations') THEN 'role_family:' || role_family || '+' || CASE role_family WHEN 'Sales' THEN 35 WHEN 'Engineering' THEN 25 WHEN 'Customer Success' THEN 20 ELSE 10 END END, CASE WHEN seniority IN ('C','VP','Head','Director','Manager') THEN 'seniority:' || seniority || '+' || CASE seniority WHEN 'C' THEN 30 WHEN 'VP' THEN 25 WHEN 'Head' THEN 20 WHEN 'Director' THEN 18 ELSE 12 END END) END AS reasons FROM l WHERE is_published = 1"))
 def icp_score(spark, d):
-    p = T.people(spark, d).where("company_id is not null")
-    family, seniority = names.canonical_title(F.col("title"))
-    points, why = leads.score(family, seniority)
+    p = leads.titled(T.people(spark, d).where("company_id is not null"))
+    points, why = leads.score(F.col("role_family"), F.col("seniority"))
     return p.select(F.col("id").alias("person_id"), points.alias("icp_score"), F.array_join(why, ";").alias("reasons"))
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from leadlens.functions import emails as em
 from leadlens.functions import names
-from leadlens.operators import extraction, page_tree, selection
+from leadlens.operators import extraction, leads, page_tree, selection
+from leadlens.plans import lead_queries
 from leadlens.plans.page_queries import LIST_LINKS
 
 
@@ -42,6 +43,21 @@ def test_pattern_of_normalises_a_name_once(spark):
     assert [r["p"] for r in df.collect()] == ["first_last", "first", None]
 
 
+def test_titles_are_judged_once_whatever_filter_follows(spark, data):
+    plan = lead_queries.search_filtered(spark, data)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    judged = [k for k, line in enumerate(plan) if "RLIKE" in line]
+    assert len(judged) == 1 and "Aggregate [title" in plan[judged[0] + 1]  # on distinct titles, not on people or their addresses
+
+
+def test_titled_people(spark):
+    rows = [(1, "CEO"), (2, "CEO"), (3, None), (4, ""), (5, " vp, sales"), (6, None), (7, "Gardener")]
+    got = leads.titled(spark.createDataFrame(rows, "id int, title string"))
+    want = spark.createDataFrame(rows, "id int, title string").select("id", "title", *names.canonical_title(F.col("title")))
+    assert got.columns == ["id", "title", "role_family", "seniority"] and sorted(map(str, got.collect())) == sorted(map(str, want.toDF(*got.columns).collect()))
+    by_id = {r["id"]: (r["role_family"], r["seniority"]) for r in got.collect()}
+    assert len(by_id) == 7 and by_id[3] == names.UNTITLED and by_id[5] == ("Sales", "VP")
+
+
 def test_names_are_judged_on_values_worked_out_once(spark):
     df = spark.createDataFrame([("Jane Doe, CPA",), ("VP Sales",)], "s string").select(extraction.like_name(F.col("s")).alias("n"))
     assert worked_out(df, "regexp_replace(") < 40
