@@ -167,5 +167,6 @@ def shape(locals_: Column) -> Column:
 
 def pattern_of(local_part: Column, first: Column, last: Column) -> Column:
     """The first pattern that gives a local part from a name; NULL if none does."""
-    every = permutations(first, last, limit=len(PATTERNS))
-    return F.try_element_at(F.filter(every, lambda x: x["localpart"] == local_part), F.lit(1))["pattern"]
+    fn, ln = (F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "") for c in (first, last))
+    given = F.struct(fn.alias("fn"), ln.alias("ln"), local_part.alias("local"))
+    return once(given, lambda n: F.coalesce(*[F.when(localpart(p, n["fn"], n["ln"]) == n["local"], F.lit(p)) for p in PATTERNS]))

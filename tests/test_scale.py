@@ -43,6 +43,13 @@ def test_pattern_of_normalises_a_name_once(spark):
     assert [r["p"] for r in df.collect()] == ["first_last", "first", None]
 
 
+def test_pattern_of_builds_no_list_of_every_pattern(spark):
+    rows = [("ann_lee", "Ann", "Lee"), ("lee", "Ann", "Lee"), ("leeann", "Ann", "Lee"), ("bob", "Bo", "Bo"), ("bo", "Bo", ""), ("lee", None, "Lee"), ("", "", ""), (None, "Ann", "Lee"), ("ann.lee", None, None)]
+    df = spark.createDataFrame(rows, "x string, f string, l string").select(em.pattern_of(F.col("x"), F.col("f"), F.col("l")).alias("p"))
+    assert worked_out(df, "array_position(") == 0 and worked_out(df, "filter(") == 0
+    assert [r["p"] for r in df.collect()] == ["first_last", "last", "lastfirst", "firstl", "first", "last", None, None, None]
+
+
 def test_titles_are_judged_once_whatever_filter_follows(spark, data):
     plan = lead_queries.search_filtered(spark, data)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     judged = [k for k, line in enumerate(plan) if "RLIKE" in line]
