@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -490,3 +491,34 @@ def test_cut_of_planted_repeats(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         assert got == want
     assert sum(r[2] > 0 for r in want) > 60
+
+
+def test_repeats_within_a_batch():
+    key = np.array([5, 1, 5, 7, 1, 5, 9], np.uint64)
+    again, goes = suffix_dedup._again(key)
+    assert again.tolist() == [0, 1, 2, 4, 5] and sorted(key[goes].tolist()) == [1, 5, 7, 9]
+    assert suffix_dedup._again(key[:0])[1].tolist() == [] and suffix_dedup._again(key[:2])[0].tolist() == []
+
+
+def test_starts_are_worked_out_once(spark, tmp_path, monkeypatch):
+    """A task a share and partition: nothing samples the starts first; and one passage in every row of many small partitions is found."""
+    own, folder = suffix_dedup._starts, str(tmp_path)
+
+    def counted(batches, share, shares):
+        import uuid
+
+        from pyspark import TaskContext
+
+        open(os.path.join(folder, f"{share}_{TaskContext.get().partitionId()}_{uuid.uuid4().hex}"), "w").close()
+        return own(batches, share, shares)
+
+    monkeypatch.setattr(suffix_dedup, "_starts", counted)
+    rng = np.random.default_rng(9)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    common = word(520)
+    rows = [(i, word(int(rng.integers(1, 400))) + common + word(int(rng.integers(1, 400)))) for i in range(60)]
+    got = sorted((tuple(r) for r in suffix_dedup.op2(spark.createDataFrame(rows, "doc_id long, text string").repartition(12)).collect()), key=str)
+    assert got == brute_cut(rows, suffix_dedup.LENGTH) and all(r[2] >= 520 for r in got)
+    tasks = collections.Counter(x.rsplit("_", 1)[0] for x in os.listdir(folder))
+    assert len({x.split("_")[0] for x in tasks}) == suffix_dedup.PASSES and set(tasks.values()) == {1}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
