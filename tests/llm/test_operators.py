@@ -493,6 +493,41 @@ def test_cut_of_planted_repeats(spark):
     assert sum(r[2] > 0 for r in want) > 60
 
 
+def test_cut_of_words_alike_modulo_a_power_of_two(spark):
+    """Two texts that differ in every other byte, by a Thue-Morse word and its complement, have one polynomial hash modulo 2**64; what they end in before the same passage is no repeat."""
+    rng = np.random.default_rng(10)
+    calm = lambda x: len(x) < 12 or suffix_dedup.Text([x[-12:]]).triggers()[0].size == 0
+    low = lambda p: next(k for k in range(64) if (int(suffix_dedup._VALUES[p[0]]) - int(suffix_dedup._VALUES[p[1]])) >> k & 1)
+    pair = max(((a, b) for a in range(97, 123) for b in range(97, a)), key=low)
+    one = two = b""
+    while len(one) < 1024 + 12:  # no trigger in either, so that all of it is one phrase
+        sign = (len(one) // 2).bit_count() % 2
+        step = (bytes([pair[sign]]), bytes([pair[1 - sign]])) if len(one) % 2 == 0 and len(one) < 1024 else (bytes([rng.integers(97, 123)]),) * 2
+        if calm(one + step[0]) and calm(two + step[1]):
+            one, two = one + step[0], two + step[1]
+        elif len(one) % 2 == 0 and len(one) < 1024:
+            one, two = one[:-1], two[:-1]
+    text = suffix_dedup.Text([one[:1024], two[:1024]])
+    first, second = text.hash(text.start, text.end)
+    assert first == second and not len(text.triggers()[0])
+    first, second = text.hash_any(text.start, text.end)
+    assert first != second
+    passage = bytes(rng.integers(97, 123, 900).astype(np.uint8))
+    rows = [(1, (one + passage).decode()), (2, (two + passage).decode())]
+    got = sorted((tuple(r) for r in suffix_dedup.op2(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()), key=str)
+    assert got == brute_cut(rows, suffix_dedup.LENGTH) and [r[2] for r in got] == [913, 913]
+
+
+def test_hash_of_a_long_block(monkeypatch):
+    """Sums modulo the prime that are taken piece by piece give the same hashes."""
+    text = bytes(np.random.default_rng(11).integers(0, 256, 5000).astype(np.uint8))
+    at = np.arange(0, 4600, 7)
+    want = suffix_dedup.Text([text]).hash_any(at, at + 400)
+    monkeypatch.setattr(suffix_dedup, "SUMMED", 512)
+    assert (suffix_dedup.Text([text]).hash_any(at, at + 400) == want).all()
+    assert suffix_dedup.Text([text[1001:1401]]).hash_any(np.array([0]), np.array([400])) == want[143]
+
+
 def test_repeats_within_a_batch():
     key = np.array([5, 1, 5, 7, 1, 5, 9], np.uint64)
     again, goes = suffix_dedup._again(key)
